@@ -1,12 +1,9 @@
-"""Cutting lineage and numbering rows across partitions, both safe under executor loss."""
+"""Cutting lineage in a way that survives executor loss."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -25,19 +22,3 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="evq-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def global_row_number(df: DataFrame, order: Sequence, name: str = "rn") -> DataFrame:
-    """Row number over a total order without gathering rows in one task.
-
-    Range-partition on the full (unique) sort key, so equal leading values still spread,
-    checkpoint the layout, then add each partition's offset. Only per-partition counts
-    (one row each) meet in a window.
-    """
-    order = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = cut(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = laid.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o"))
-    local = laid.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    return local.join(offsets, "_p").withColumn(name, F.col("_r") + F.col("_o")).drop("_p", "_r", "_o")

@@ -100,7 +100,7 @@ def valuation_probe(events: DataFrame, val: DataFrame, min_rows: int = 60) -> Da
     out = asof_join(events, valuation_state(val, min_rows), IND, "event_date", "d", cols)
     neutral = {"n_hist": F.lit(0).cast("long"), "pe_percentile": F.lit(0.5), "pb_percentile": F.lit(0.5)}
     out = out.withColumns({c: F.coalesce(F.col(c), neutral.get(c, F.lit(0.0))) for c in cols})
-    return out.withColumn("valuation_confidence", F.round("valuation_confidence", 4))
+    return out.withColumn("valuation_confidence", F.round(F.round("valuation_confidence", 6), 4))
 
 
 def froth_state(margin: DataFrame, mom_window: int = 20, hist_window: int = 250) -> DataFrame:

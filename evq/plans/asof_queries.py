@@ -15,7 +15,7 @@ CLEAN = "FROM feat WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in FC)
 
 
 def feat(s):
-    return features(s.px, s.mkt)
+    return s.feat
 
 
 @query("b1_pre_event", """SELECT event_id, industry_code, coalesce(n_rows, 0) AS n_rows, first_d, last_d, r4(total) AS total FROM scn LEFT JOIN

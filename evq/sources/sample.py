@@ -12,9 +12,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evq.functions.lineage import cut
+
 P_STAR = 2147483647
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Materialise a calendar-bound panel once: many branches of one plan read it, and
+    without the cut each of them would scan and aggregate the line items again."""
+    return cut(df)
+
+
 def seeded_prob(event_id="event_id", code="industry_code", seed: int = 0):
     """A reproducible pseudo prediction in [0, 1): the same integer formula on both engines."""
     mixed = (F.col(event_id) * 7919 + (F.ascii(F.col(code)) * 31 + F.length(F.col(code)) * 17) * 104729
@@ -39,7 +47,7 @@ class Sample:
     def px(self) -> DataFrame:
         li = self.t("lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount")
         pt = self.t("part").select("p_partkey", F.col("p_type").alias("industry_code"))
-        return (
+        return kept(
             li.join(pt, li.l_partkey == pt.p_partkey)
             .groupBy("industry_code", F.to_date(F.date_trunc("week", "l_shipdate")).alias("d"))
             .agg((dec_sum("l_extendedprice") / dec_sum("l_quantity")).alias("close"), dec_sum("l_quantity").alias("volume"),
@@ -48,7 +56,7 @@ class Sample:
 
     @cached_property
     def mkt(self) -> DataFrame:
-        return (
+        return kept(
             self.t("lineitem").groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("d"))
             .agg((dec_sum("l_extendedprice") / dec_sum("l_quantity")).alias("mkt_close"))
         )
@@ -120,6 +128,39 @@ class Sample:
             (F.when(F.col("car") >= 0, "+").otherwise("-") == F.when(p >= 0.5, "+").otherwise("-")).alias("dir_correct"),
             (F.abs(p - 0.5) * 2).alias("confidence"), (F.abs(p - 0.5) < 0.12).alias("abstain"))
 
+    @cached_property
+    def feat(self) -> DataFrame:
+        from evq.operators.features import features
+
+        return features(self.px, self.mkt)
+
+    @cached_property
+    def fc(self) -> DataFrame:
+        """Ten-step forecast paths per industry and day: half of the last ten returns,
+        a fixed interval, and the returns that followed."""
+        w = Window.partitionBy("industry_code").orderBy("d")
+        rows = self.feat.filter("ret is not null").select(
+            "industry_code", "d", F.collect_list("ret").over(w.rowsBetween(-10, -1)).alias("p"),
+            F.collect_list("ret").over(w.rowsBetween(0, 9)).alias("a")).filter("size(p) = 10 and size(a) = 10")
+        step = rows.select("industry_code", "d", F.posexplode(F.arrays_zip("p", "a")).alias("step", "x"))
+        half = 0.2 + 0.02 * F.col("step")
+        mean = F.col("x.p") * 0.5
+        return step.select("industry_code", "d", "step", mean.alias("mean"), F.col("x.a").alias("actual"),
+                           (mean - 0.65 * half).alias("lower_80"), (mean + 0.65 * half).alias("upper_80"),
+                           (mean - half).alias("lower_95"), (mean + half).alias("upper_95"))
+
+    def risk_rows(self, seed: int = 0, scales=None) -> DataFrame:
+        """Scenario by horizon: predicted VaR next to the realised active path (six digits)."""
+        from evq.functions.cols import r6
+        from evq.operators.events import realized_path
+        from evq.operators.portfolio import vol_var
+
+        pred = vol_var(self.res(seed), self.feat, **({"scales": scales} if scales else {}))
+        real = realized_path(self.scn, self.px, self.mkt).select(
+            "event_id", "industry_code", "horizon", *[r6(c).alias(c) for c in ("realized_car", "realized_mdd", "realized_downside")])
+        return pred.join(real, ["event_id", "industry_code", "horizon"]).withColumns({
+            "pred_var": r6("pred_var"), "pred_es": r6("pred_es"), "pred_mdd": r6(-0.8 * F.col("pred_var"))})
+
     @cached_property
     def kg_nodes(self) -> DataFrame:
         def node(t, key, name, layer, rank):
@@ -200,6 +241,22 @@ VIEWS: dict[str, str] = {
               volume / lag(volume) OVER o - 1 AS vol_chg, mkt_close / lag(mkt_close) OVER o - 1 AS mkt_ret
               FROM px LEFT JOIN mkt USING (d) WINDOW o AS (PARTITION BY industry_code ORDER BY d))
         WINDOW w5 AS (PARTITION BY industry_code ORDER BY d ROWS 4 PRECEDING), w20 AS (PARTITION BY industry_code ORDER BY d ROWS 19 PRECEDING)""",
+    "fc": """SELECT a.industry_code, a.d, CAST(b.k - a.k + 10 AS INT) AS step, b.ret * 0.5::DOUBLE AS mean, c.ret AS actual,
+        b.ret * 0.5::DOUBLE - 0.65::DOUBLE * (0.2::DOUBLE + 0.02::DOUBLE * (b.k - a.k + 10)) AS lower_80, b.ret * 0.5::DOUBLE + 0.65::DOUBLE * (0.2::DOUBLE + 0.02::DOUBLE * (b.k - a.k + 10)) AS upper_80,
+        b.ret * 0.5::DOUBLE - (0.2::DOUBLE + 0.02::DOUBLE * (b.k - a.k + 10)) AS lower_95, b.ret * 0.5::DOUBLE + (0.2::DOUBLE + 0.02::DOUBLE * (b.k - a.k + 10)) AS upper_95
+        FROM fnum a JOIN fnum b ON b.industry_code = a.industry_code AND b.k BETWEEN a.k - 10 AND a.k - 1
+        JOIN fnum c ON c.industry_code = a.industry_code AND c.k = b.k + 10 WHERE a.k >= 10 AND a.k + 9 <= a.n - 1""",
+    "fnum": """SELECT industry_code, d, ret, row_number() OVER (PARTITION BY industry_code ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY industry_code) AS n
+        FROM feat WHERE ret IS NOT NULL""",
+    "rp0": """SELECT industry_code, event_date, t0, h, day_idx, sum(ln((1 + coalesce(r, 0)) / (1 + coalesce(m, 0)))) OVER w AS lg
+        FROM probe JOIN anch USING (event_date) CROSS JOIN (VALUES (1), (5), (20)) g(h) JOIN ret USING (industry_code)
+        WHERE day_idx BETWEEN t0_idx AND t0_idx + h WINDOW w AS (PARTITION BY industry_code, event_date, h ORDER BY day_idx)""",
+    "rp": """SELECT industry_code, event_date, t0, h AS horizon, r6(exp(arg_max(lg, day_idx)) - 1) AS realized_car, r6(max((peak - exp(lg)) / peak)) AS realized_mdd,
+        r6(greatest(1 - exp(arg_max(lg, day_idx)), 0)) AS realized_downside FROM (
+        SELECT *, greatest(1.0, max(exp(lg)) OVER (PARTITION BY industry_code, event_date, h ORDER BY day_idx)) AS peak FROM rp0) GROUP BY 1, 2, 3, 4 HAVING count(*) = h + 1""",
+    "sig": """SELECT industry_code, event_date, stddev_pop(ret) AS sigma FROM (SELECT industry_code, event_date, ret FROM probe JOIN feat USING (industry_code)
+        WHERE d < event_date AND ret IS NOT NULL AND vol_chg IS NOT NULL AND volatility IS NOT NULL AND mkt_ret IS NOT NULL AND ma5_gap IS NOT NULL AND ma20_gap IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY industry_code, event_date ORDER BY d DESC) <= 120) GROUP BY 1, 2""",
     "kg_edges": """SELECT 's:' || n_regionkey AS src, 'i:' || n_nationkey AS dst, 'hosts' AS relation, 0.8::DOUBLE AS weight, 0.9::DOUBLE AS confidence,
           NULL::DATE AS created_at, NULL::DOUBLE AS ttl_days FROM nation
         UNION ALL SELECT 'i:' || s_nationkey, 'c:' || s_suppkey, 'has', 0.9, 0.8, NULL, NULL FROM supplier
@@ -219,45 +276,44 @@ for _s in range(4):
         FROM car WHERE "window" = 5))"""
 
 
+for _s in range(4):
+    for _tag, _sc in (("rr", (0.4, -0.4, -0.4)), ("rw", (1.4, 0.6, 0.6))):
+        VIEWS[f"{_tag}{_s}"] = f"""SELECT *, r6(-0.8::DOUBLE * pred_var) AS pred_mdd FROM (
+        SELECT event_id, event_date, event_type, industry_code, horizon, prob_up, confidence, abstain, dir_correct, real_dir, realized_car, realized_mdd, realized_downside,
+        r6(-1.645::DOUBLE * coalesce(sigma, 0.01) * sqrt(horizon) * (1 + sc * greatest(0, 1 - confidence))) AS pred_var,
+        r6(1.15::DOUBLE * -1.645::DOUBLE * coalesce(sigma, 0.01) * sqrt(horizon) * (1 + sc * greatest(0, 1 - confidence))) AS pred_es
+        FROM res{_s} LEFT JOIN sig USING (industry_code, event_date) JOIN rp USING (industry_code, event_date)
+        JOIN (VALUES (1, {_sc[0]}::DOUBLE), (5, {_sc[1]}::DOUBLE), (20, {_sc[2]}::DOUBLE)) g(horizon, sc) USING (horizon))"""
+
+
 def _macro(sql: str, name: str, digits: int) -> str:
-    out, mark = "", name + "("
-    while (i := sql.find(mark)) >= 0 and (i == 0 or not sql[i - 1].isalnum()):
-        depth, j = 1, i + len(mark)
+    """Expand name(expr) innermost last; -0.0 becomes 0.0 as in the Spark helper."""
+    mark = re.compile(rf"\b{name}\(")
+    while m := mark.search(sql):
+        depth, j = 1, m.end()
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[j], 0)
             j += 1
-        inner = sql[i + len(mark):j - 1]
-        out += sql[:i] + f"(round(CAST({inner} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE))"
-        sql = sql[j:]
-    return out + sql
+        sql = f"{sql[:m.start()]}(round(CAST({sql[m.end():j - 1]} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE)){sql[j:]}"
+    return sql
 
 
 def with_views(sql: str) -> str:
     """Prefix an oracle with the views it names, and expand r6(x) / r4(x) to a rounding."""
     body = sql.strip().rstrip(";")
-    for name, digits in (("r6", 6), ("r4", 4)):
-        body = _macro(body, name, digits)
-    seen: set[str] = set()
     order: list[str] = []
 
-    def walk(v: str) -> None:
-        if v in seen:
-            return
-        seen.add(v)
-        for u in VIEWS:
-            if u != v and re.search(rf"\b(FROM|JOIN)\s+{u}\b", VIEWS[v]):
-                walk(u)
-        order.append(v)
-
-    for v in VIEWS:
-        if re.search(rf"\b(FROM|JOIN)\s+{v}\b", body):
-            walk(v)
-    if not order:
-        return body
-    ctes = ", ".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in order)
-    if re.match(r"WITH\s", body, re.I):
-        rest = re.sub(r"^WITH\s+", "", body, flags=re.I)
-        rec = re.match(r"RECURSIVE\s+", rest, re.I)
-        rest = rest[rec.end():] if rec else rest
-        return f"WITH {'RECURSIVE ' if rec else ''}{ctes}, {rest}"
-    return f"WITH {ctes} {body}"
+    def walk(text: str) -> None:
+        for v in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)\b", text):
+            if v in VIEWS and v not in order:
+                walk(VIEWS[v])
+                order.append(v)
+
+    walk(body)
+    if order:
+        ctes = ", ".join(f"{v} AS MATERIALIZED ({VIEWS[v]})" for v in order)
+        head = re.match(r"WITH\s+(RECURSIVE\s+)?", body, re.I)
+        body = f"WITH {head.group(1) or ''}{ctes}, {body[head.end():]}" if head else f"WITH {ctes} {body}"
+    for name, digits in (("r6", 6), ("r4", 4)):
+        body = _macro(body, name, digits)
+    return body
