@@ -1,24 +1,42 @@
-"""Cutting lineage in a way that survives executor loss."""
+"""Cutting lineage in ways that survive executor loss."""
 
 from __future__ import annotations
 
 import tempfile
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names in spark.checkpoint.dir.
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder named by the session's spark.checkpoint.dir.
 
     A local session that names none (tests) gets its own temporary folder; a cluster
     session must name a shared one.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return known.get() if known.isDefined() else tempfile.mkdtemp(prefix="evq-checkpoint-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="evq-checkpoint-")
-        sc.setCheckpointDir(folder)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once to the shared folder and read it back: columnar, prunable, with real sizes."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

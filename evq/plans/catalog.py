@@ -12,7 +12,7 @@ from evq.sources.sample import Sample, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("events", "asof", "features", "risk",)
+MODULES = ("events", "asof", "features", "risk", "portfolio", "evaluation",)
 
 
 def query(name: str, sql: str | None = None):
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf_dir: fn(Sample(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Sample.of(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = with_views(sql)
         return fn

@@ -12,17 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evq.functions.lineage import cut
+from evq.functions.lineage import stage
 
 P_STAR = 2147483647
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Materialise a calendar-bound panel once: many branches of one plan read it, and
-    without the cut each of them would scan and aggregate the line items again."""
-    return cut(df)
-
-
 def seeded_prob(event_id="event_id", code="industry_code", seed: int = 0):
     """A reproducible pseudo prediction in [0, 1): the same integer formula on both engines."""
     mixed = (F.col(event_id) * 7919 + (F.ascii(F.col(code)) * 31 + F.length(F.col(code)) * 17) * 104729
@@ -35,30 +29,45 @@ def dec_sum(c: str):
 
 
 class Sample:
-    """Lazy DataFrames over one folder of sample tables."""
+    """Lazy DataFrames over one folder of sample tables.
+
+    The panel, index, scenario and label tables are written once per application and
+    read by every query after that, as the stored tables they stand for would be.
+    """
+
+    _open: dict[tuple[str, str], "Sample"] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Sample":
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._open:
+            cls._open[key] = cls(spark, sf_dir)
+        return cls._open[key]
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._read = spark, sf_dir, {}
 
     def t(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._read[name]
 
     @cached_property
     def px(self) -> DataFrame:
         li = self.t("lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount")
         pt = self.t("part").select("p_partkey", F.col("p_type").alias("industry_code"))
-        return kept(
+        return stage(
             li.join(pt, li.l_partkey == pt.p_partkey)
             .groupBy("industry_code", F.to_date(F.date_trunc("week", "l_shipdate")).alias("d"))
             .agg((dec_sum("l_extendedprice") / dec_sum("l_quantity")).alias("close"), dec_sum("l_quantity").alias("volume"),
-                 (dec_sum("l_discount") / F.count("*")).alias("dividend_yield"))
+                 (dec_sum("l_discount") / F.count("*")).alias("dividend_yield")), "px"
         )
 
     @cached_property
     def mkt(self) -> DataFrame:
-        return kept(
+        return stage(
             self.t("lineitem").groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("d"))
-            .agg((dec_sum("l_extendedprice") / dec_sum("l_quantity")).alias("mkt_close"))
+            .agg((dec_sum("l_extendedprice") / dec_sum("l_quantity")).alias("mkt_close")), "mkt"
         )
 
     @cached_property
@@ -93,7 +102,7 @@ class Sample:
         pt = self.t("part").select("p_partkey", F.col("p_type").alias("industry_code"))
         pairs = li.join(pt, li.l_partkey == pt.p_partkey).select(
             F.col("l_orderkey").alias("event_id"), "industry_code").distinct()
-        return self.ev.join(pairs, "event_id")
+        return stage(self.ev.join(pairs, "event_id"), "scn")
 
     @cached_property
     def docs(self) -> DataFrame:
@@ -115,7 +124,7 @@ class Sample:
     def car(self) -> DataFrame:
         from evq.operators.events import car_diff
 
-        return car_diff(self.scn, self.px, self.mkt, (1, 5, 20))
+        return stage(car_diff(self.scn, self.px, self.mkt, (1, 5, 20)), "car")
 
     def res(self, seed: int = 0) -> DataFrame:
         """Prediction rows: a seeded probability next to the realised five-step direction."""
