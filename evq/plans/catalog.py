@@ -12,7 +12,7 @@ from evq.sources.sample import Sample, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("events", "asof", "features", "risk", "portfolio", "evaluation",)
+MODULES = ("events", "asof", "features", "risk", "portfolio", "evaluation", "priors", "signals",)
 
 
 def query(name: str, sql: str | None = None):

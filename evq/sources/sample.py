@@ -168,7 +168,7 @@ class Sample:
         real = realized_path(self.scn, self.px, self.mkt).select(
             "event_id", "industry_code", "horizon", *[r6(c).alias(c) for c in ("realized_car", "realized_mdd", "realized_downside")])
         return pred.join(real, ["event_id", "industry_code", "horizon"]).withColumns({
-            "pred_var": r6("pred_var"), "pred_es": r6("pred_es"), "pred_mdd": r6(-0.8 * F.col("pred_var"))})
+            "pred_var": r6("pred_var"), "pred_mdd": r6(-0.8 * F.col("pred_var"))})
 
     @cached_property
     def kg_nodes(self) -> DataFrame:
@@ -290,7 +290,7 @@ for _s in range(4):
         VIEWS[f"{_tag}{_s}"] = f"""SELECT *, r6(-0.8::DOUBLE * pred_var) AS pred_mdd FROM (
         SELECT event_id, event_date, event_type, industry_code, horizon, prob_up, confidence, abstain, dir_correct, real_dir, realized_car, realized_mdd, realized_downside,
         r6(-1.645::DOUBLE * coalesce(sigma, 0.01) * sqrt(horizon) * (1 + sc * greatest(0, 1 - confidence))) AS pred_var,
-        r6(1.15::DOUBLE * -1.645::DOUBLE * coalesce(sigma, 0.01) * sqrt(horizon) * (1 + sc * greatest(0, 1 - confidence))) AS pred_es
+        1.15::DOUBLE * (-1.645::DOUBLE * coalesce(sigma, 0.01) * sqrt(horizon) * (1 + sc * greatest(0, 1 - confidence))) AS pred_es
         FROM res{_s} LEFT JOIN sig USING (industry_code, event_date) JOIN rp USING (industry_code, event_date)
         JOIN (VALUES (1, {_sc[0]}::DOUBLE), (5, {_sc[1]}::DOUBLE), (20, {_sc[2]}::DOUBLE)) g(horizon, sc) USING (horizon))"""
 
