@@ -109,18 +109,18 @@ def _(s):
     return convicted(s).select("event_id", "industry_code", "n_past", r6("conviction").alias("conviction"))
 
 
-NET = "((event_id * 31 % 41 - 20) / 10.0::DOUBLE)"
+NET = "((event_id * 31 % 41 - 20) / 7.0::DOUBLE)"
 PD = "CAST(ascii(industry_code) % 3 - 1 AS INT)"
 
 
 def signalled(s):
     """Scenarios with a derived net signal and a prior per industry."""
     return convicted(s).withColumns({
-        "net_signal": (F.col("event_id") * 31 % 41 - 20) / F.lit(10.0), "prior_direction": (F.ascii("industry_code") % 3 - 1).cast("int"),
-        "prior_strength": (F.ascii("industry_code") % 3 - 1) * F.length("industry_code") / F.lit(10.0), "prior_verified": F.length("industry_code") != 5})
+        "net_signal": (F.col("event_id") * 31 % 41 - 20) / F.lit(7.0), "prior_direction": (F.ascii("industry_code") % 3 - 1).cast("int"),
+        "prior_strength": (F.ascii("industry_code") % 3 - 1) * F.length("industry_code") / F.lit(9.0), "prior_verified": F.length("industry_code") != 5})
 
 
-@query("e10_recalibrate_strength", f"WITH {CONV} SELECT event_id, industry_code, r6(CASE WHEN n = 0 THEN 0 WHEN n < 3 THEN 0.3 ELSE 1 END * c * {PD} * length(industry_code) / 10.0) AS strength FROM cv")
+@query("e10_recalibrate_strength", f"WITH {CONV} SELECT event_id, industry_code, r6(CASE WHEN n = 0 THEN 0 WHEN n < 3 THEN 0.3 ELSE 1 END * c * {PD} * length(industry_code) / 9.0) AS strength FROM cv")
 def _(s):
     x = signalled(s)
     return x.select("event_id", "industry_code", r6(P.recalibrate_strength(F.col("prior_strength"), F.col("conviction"), F.col("n_past"))).alias("strength"))
@@ -130,7 +130,7 @@ def tanh_sql(x):
     return f"((exp(2 * ({x})) - 1) / (exp(2 * ({x})) + 1))"
 
 
-BL = f"""bl AS (SELECT *, {NET} AS x, {PD} AS pd, CASE WHEN n = 0 THEN 0 WHEN n < 3 THEN 0.3 ELSE 1 END * c * {PD} * length(industry_code) / 10.0 AS st FROM cv),
+BL = f"""bl AS (SELECT *, {NET} AS x, {PD} AS pd, CASE WHEN n = 0 THEN 0 WHEN n < 3 THEN 0.3 ELSE 1 END * c * {PD} * length(industry_code) / 9.0 AS st FROM cv),
   bt AS (SELECT *, {tanh_sql('x / 2')} AS own, CASE WHEN abs(x) > 1e-6 THEN abs(x) ELSE 1 END AS env FROM bl)"""
 
 

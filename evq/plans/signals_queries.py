@@ -27,7 +27,7 @@ def chain_resp(s):
     return rows.select("response_id", F.concat(F.lit("answer:\n"), F.to_json(F.struct("chain")), F.lit("\nend")).alias("content"))
 
 
-STEPS = """stp AS (SELECT l_orderkey AS response_id, l_linenumber AS pos, l_returnflag || l_linestatus AS entity, l_linestatus AS industry_code, round(1 - l_discount * 5, 2) AS c,
+STEPS = """stp AS (SELECT l_orderkey AS response_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag || l_linestatus, round(1 - l_discount * 5, 2), CASE WHEN l_quantity < 15 THEN '低' WHEN l_quantity < 35 THEN '中' WHEN l_quantity < 48 THEN '高' ELSE '未知' END) AS pos, l_returnflag || l_linestatus AS entity, l_linestatus AS industry_code, round(1 - l_discount * 5, 2) AS c,
   CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END AS d, CASE WHEN l_quantity < 15 THEN 0.2::DOUBLE WHEN l_quantity < 35 THEN 0.5 WHEN l_quantity < 48 THEN 0.9 ELSE 0 END AS m FROM lineitem)"""
 FAC = STEPS + """, fac AS (SELECT response_id, entity, arg_max((CASE WHEN d = 1 THEN 1 ELSE -1 END) * m * c, pos) AS factor FROM stp GROUP BY 1, 2)"""
 CEL = """cel AS (SELECT response_id, industry_code, max(m) AS magnitude, max(c) AS confidence, coalesce(arg_min(d, pos) FILTER (d <> 0), 0) AS direction FROM stp GROUP BY 1, 2)"""
