@@ -117,16 +117,17 @@ def validate_edges(edges: DataFrame, verdicts: DataFrame, keys: Sequence[str]) -
 
 
 def pagerank(edges: DataFrame, personalization: DataFrame | None = None, damping: float = 0.85, tol: float = 1e-6, rounds: int = 200, every: int = 4) -> DataFrame:
-    """Weighted PageRank of (source, target, weight) rows with dangling mass returned.
+    """Weighted PageRank of (source, target, weight) rows with dangling mass returned by v.
 
-    Stops when the summed change is below tol per node. One aggregate per round comes
-    back to the driver; lineage is cut every few rounds. A hub's incoming shares combine
-    on the map side.
+    With y = d P'y + v, the rank is y / sum(y): returning dangling mass by the start
+    vector only rescales the solution. So a round is one join and one aggregate, and an
+    acyclic graph is done after its depth. Stops when the summed change is below tol per
+    node; lineage is cut every few rounds. A hub's shares combine on the map side.
     """
     e = edges.filter(F.col("weight") > 0).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
     out = e.groupBy("source").agg(F.sum("weight").alias("_o"))
     e = cut(e.join(out, "source").select("source", "target", (F.col("weight") / F.col("_o")).alias("p")))
-    nodes = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
+    nodes = cut(e.select(F.col("source").alias("node")).union(e.select("target")).distinct())
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
@@ -134,21 +135,19 @@ def pagerank(edges: DataFrame, personalization: DataFrame | None = None, damping
         base = nodes.withColumn("v", F.lit(1.0 / n))
     else:
         tot = personalization.agg(F.sum("value")).first()[0]
-        base = nodes.join(personalization.select("node", (F.col("value") / tot).alias("v")), "node", "left").fillna(0.0, ["v"])
-    base = cut(base.join(e.select(F.col("source").alias("node")).distinct().withColumn("_s", F.lit(True)), "node", "left").select(
-        "node", "v", F.col("_s").isNull().alias("dangling")))
-    rank = base.withColumn("rank", F.lit(1.0 / n))
+        base = cut(nodes.join(personalization.select("node", (F.col("value") / tot).alias("v")), "node", "left").fillna(0.0, ["v"]))
+    cur = base.withColumn("y", F.col("v"))
+    total = 1.0
     for i in range(rounds):
-        lost = rank.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))).first()[0]
-        got = e.join(rank.select(F.col("node").alias("source"), "rank"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("p") * F.col("rank")).alias("_in"))
-        new = rank.withColumnRenamed("rank", "_old").join(got, "node", "left").withColumn(
-            "rank", damping * (F.coalesce("_in", F.lit(0.0)) + F.lit(lost) * F.col("v")) + (1 - damping) * F.col("v"))
+        got = e.join(cur.select(F.col("node").alias("source"), "y"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("p") * F.col("y")).alias("_in"))
+        new = cur.withColumnRenamed("y", "_old").join(got, "node", "left").select(
+            "node", "v", (damping * F.coalesce("_in", F.lit(0.0)) + F.col("v")).alias("y"), "_old")
         new = cut(new) if i % every == every - 1 else new.persist()
-        err = new.agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
-        rank = new.drop("_old", "_in")
-        if err < n * tol:
+        err, total = new.agg(F.sum(F.abs(F.col("y") - F.col("_old"))), F.sum("y")).first()
+        cur = new.drop("_old")
+        if err / total < n * tol:
             break
-    return rank.select("node", "rank")
+    return cur.select("node", (F.col("y") / F.lit(total)).alias("rank"))
 
 
 def temporal_weight(as_of: Column, half_life: float = 60.0) -> Column:

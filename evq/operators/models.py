@@ -337,5 +337,5 @@ def text_features(docs: DataFrame, key: str, text: str = "text", n_terms: int =
     w = tf.join(vocab, "term").withColumn("w", F.col("tf") * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "term"))
-    w = w.join(norm, key).withColumn("weight", F.round(F.col("w") / F.col("norm"), 9))
+    w = w.join(norm, key).withColumn("weight", F.round(F.col("w") / F.col("norm"), 12))
     return w.withColumn("rank", rank).filter(F.col("rank") <= top).select(key, "rank", "term", "weight")

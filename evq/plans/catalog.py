@@ -12,7 +12,8 @@ from evq.sources.sample import Sample, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("events", "asof", "features", "risk", "portfolio", "evaluation", "priors", "signals", "models", "retrieval", "graph",)
+MODULES = ("events", "asof", "features", "risk", "portfolio", "evaluation", "priors", "signals", "models", "retrieval",
+           "graph", "quality", "ticks", "sources")
 
 
 def query(name: str, sql: str | None = None):

@@ -129,18 +129,25 @@ def _(s):
 
 
 def timeline(s):
-    """One entry per day: the day's causal edges as an ordered list."""
+    """One entry per event row: its own causal edge, then the edge from capital flow."""
     e = causal(s)
-    item = F.struct("seq", "source", "target", "relation", "weight", "evidence_ids")
-    return e.groupBy(F.col("time").alias("date"), F.col("source").alias("k")).agg(F.sort_array(F.collect_list(item)).alias("causal_paths"))
 
+    def path(source, target, relation):
+        return F.struct(source.alias("source"), target.alias("target"), relation.alias("relation"), F.col("weight").alias("weight"), F.col("evidence_ids").alias("evidence_ids"))
 
-@query("k13_flip_first_edge", f"WITH {CE} SELECT time, source, seq, target, CASE WHEN row_number() OVER (PARTITION BY time, source ORDER BY seq) = 1 THEN 'contradicts' ELSE relation END AS relation FROM ce")
+    return e.select("seq", F.col("time").alias("date"), F.array(path(F.col("source"), F.col("target"), F.col("relation")),
+                                                                 path(F.lit("capital_flow"), F.col("source"), F.lit("causes"))).alias("causal_paths"))
+
+
+TL = """tl AS (SELECT seq, time, source, target, relation, weight, 0 AS i FROM ce UNION ALL SELECT seq, time, 'capital_flow', source, 'causes', weight, 1 FROM ce)"""
+
+
+@query("k13_flip_first_edge", f"WITH {CE}, {TL} SELECT seq, source, target, CASE WHEN i = 0 THEN 'contradicts' ELSE relation END AS relation FROM tl")
 def _(s):
-    p = G.flip_first_edge(timeline(s), "causal_paths").select(F.col("date").alias("time"), F.explode("causal_paths").alias("e"))
-    return p.select("time", "e.source", "e.seq", "e.target", "e.relation")
+    p = G.flip_first_edge(timeline(s), "causal_paths").select("seq", F.explode("causal_paths").alias("e"))
+    return p.select("seq", "e.source", "e.target", "e.relation")
 
 
-@query("k14_edges_from_timeline", f"WITH {CE} SELECT source, target, relation, time, r6(weight) AS weight, 0.7::DOUBLE AS confidence FROM ce")
+@query("k14_edges_from_timeline", f"WITH {CE}, {TL} SELECT source, target, relation, time, r6(weight) AS weight, 0.7::DOUBLE AS confidence FROM tl")
 def _(s):
     return G.edges_from_timeline(timeline(s)).select("source", "target", "relation", "time", r6("weight").alias("weight"), "confidence")

@@ -28,7 +28,7 @@ def rows(s):
   g AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, greatest(len(w), 1))])) AS term FROM t),
   tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), v AS (SELECT term, sum(tf) AS ctf, count(*) AS df FROM tf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 128),
   w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM docs)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM tf JOIN v USING (term)),
-  n AS (SELECT *, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM w)
+  n AS (SELECT *, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 12) AS weight FROM w)
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS INT) AS rank, term, r6(weight) AS weight FROM n QUALIFY rank <= 16""")
 def _(s):
     return M.text_features(s.docs, "doc_id").select("doc_id", "rank", "term", r6("weight").alias("weight"))
