@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evq.functions.lineage import cut
+from evq.functions.sizing import small, spread
 from evq.functions.windows import asof_join, past_totals
 from evq.operators.asof import visible_from
 
@@ -19,16 +21,28 @@ STOP = ("的", "了", "在", "是", "和", "与", "对", "为", "将", "等", "
 
 def tokens(text: Column, min_len: int = 2) -> Column:
     """Lower-case alphanumeric tokens of at least min_len characters, without stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    if min_len > 1:  # only alphanumeric runs can be that long, so the pattern does the filtering
+        return F.regexp_extract_all(low, F.lit(r"([a-z0-9]{%d,})" % min_len), F.lit(1))
+    found = F.regexp_extract_all(low, F.lit(TOKEN), F.lit(1))
     return F.filter(found, lambda t: (F.length(t) >= min_len) & ~t.isin(*STOP))
 
 
-def postings(docs: DataFrame, keep: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, token, tf, dl); `keep` restricts to the tokens some query needs before the shuffle."""
-    toks = docs.select("doc_id", *carry, tokens(F.col("text")).alias("_t"))
-    rows = toks.select("doc_id", *carry, F.size("_t").alias("dl"), F.explode("_t").alias("token"))
+def postings(docs: DataFrame, keep: DataFrame | None = None, carry: Sequence[str] = (), marker: bool = False) -> DataFrame:
+    """(doc_id, token, tf, dl); `keep` restricts to the tokens some query needs before the shuffle.
+
+    Occurrences are laid out by doc_id once; counting here and any later sum per
+    (query, document) reuse that layout without another shuffle. With `marker` every
+    document also has one row with an empty token, which carries its length.
+    """
+    toks = spread(docs.select("doc_id", *carry, "text")).select("doc_id", *carry, tokens(F.col("text")).alias("_t"))
+    if marker:
+        rows = toks.select("doc_id", *carry, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("token"))
+        keep = keep.select("token").union(keep.sparkSession.createDataFrame([("",)], "token string"))
+    else:
+        rows = toks.select("doc_id", *carry, F.size("_t").alias("dl"), F.explode("_t").alias("token"))
     if keep is not None:
-        rows = rows.join(keep.select("token").distinct(), "token", "left_semi")
+        rows = rows.join(small(keep.select("token").distinct(), keep), "token", "left_semi").repartition("doc_id")
     return rows.groupBy("doc_id", *carry, "dl", "token").agg(F.count("*").alias("tf"))
 
 
@@ -37,14 +51,14 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return rows.groupBy(*[c for c in rows.columns]).agg(F.count("*").alias("qtf"))
 
 
-def bm25_stats(qtok: DataFrame, posts: DataFrame, docs: DataFrame) -> DataFrame:
+def bm25_stats(qtok: DataFrame, posts: DataFrame) -> DataFrame:
     """df, n and avgdl of every query token as of the query's date.
 
     Document counts accumulate over first-visible dates per token, so each query reads
     its state by an as-of lookup; queries never meet documents here.
     """
-    by_token = past_totals(posts.filter("vf is not null"), ["token"], "vf", {"df": F.lit(1)}, inclusive=True)
-    sizes = docs.select(visible_from().alias("vf"), F.size(tokens(F.col("text"))).alias("dl")).filter("vf is not null")
+    by_token = past_totals(posts.filter("vf is not null and token <> ''"), ["token"], "vf", {"df": F.lit(1)}, inclusive=True)
+    sizes = posts.filter("vf is not null and token = ''").select("vf", "dl")
     whole = past_totals(sizes, [], "vf", {"n": F.lit(1), "len": F.col("dl")}, inclusive=True)
     got = asof_join(qtok, by_token, ["token"], "as_of", "vf", ["df"], strict=False)
     got = asof_join(got, whole, [], "as_of", "vf", ["n", "len"], strict=False)
@@ -60,9 +74,9 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 over the documents visible at each query's date, statistics included."""
     qtok = query_tokens(queries)
-    posts = postings(docs.withColumn("vf", visible_from()), qtok, ["vf"])
-    stats = bm25_stats(qtok, posts, docs)
-    j = posts.join(stats, "token").filter(F.col("vf") <= F.col("as_of"))
+    posts = cut(postings(docs.withColumn("vf", visible_from()), qtok, ["vf"], marker=True))
+    stats = bm25_stats(qtok, posts)
+    j = posts.join(small(stats, qtok), "token").filter(F.col("vf") <= F.col("as_of"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1e-8))))
     scored = j.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
@@ -71,16 +85,21 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: f
 
 def tfidf_topk(queries: DataFrame, docs: DataFrame, k: int, n_terms: int = 512) -> DataFrame:
     """Cosine over the n_terms most frequent tokens with smoothed idf; documents visible at the query's date."""
-    posts = postings(docs.withColumn("vf", visible_from()), None, ["vf"])
     n = docs.agg(F.count("*")).scalar()
-    vocab = posts.groupBy("token").agg(F.sum("tf").alias("ctf"), F.count("*").alias("df")).orderBy(F.desc("ctf"), "token").limit(n_terms)
-    vocab = vocab.select("token", "df")
+    toks = spread(docs.select("text")).select(tokens(F.col("text")).alias("_t"))
+    seen = toks.select(F.explode(F.concat(F.transform("_t", lambda t: F.struct(t.alias("token"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
+                                          F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("c"), F.lit(1).alias("d"))))).alias("x"))
+    # the limit bounds the vocabulary, so cutting it gives a table of at most n_terms rows
+    vocab = cut(seen.groupBy("x.token").agg(F.sum("x.c").alias("ctf"), F.sum("x.d").alias("df")).orderBy(F.desc("ctf"), "token").limit(n_terms).select("token", "df"))
+    posts = postings(docs.withColumn("vf", visible_from()), vocab, ["vf"])
+    vocab = small(vocab)
     idf = F.ln((1 + n) / (1 + F.col("df"))) + 1
     dw = posts.join(vocab, "token").withColumn("w", F.col("tf") * idf)
     dnorm = dw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     qw = query_tokens(queries).join(vocab, "token").withColumn("qw", F.col("qtf") * idf)
     qnorm = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    j = dw.select("doc_id", "vf", "token", "w").join(qw.select("query_id", "as_of", "token", "qw"), "token").filter(F.col("vf") <= F.col("as_of"))
+    qside = small(qw.select("query_id", "as_of", "token", "qw"))
+    j = dw.select("doc_id", "vf", "token", "w").join(qside, "token").filter(F.col("vf") <= F.col("as_of"))
     dot = j.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(dnorm, "doc_id").join(qnorm, "query_id")
     return top_k(dot.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9).alias("score")), k)
 

@@ -39,8 +39,8 @@ def _(s):
 @query("j2_bm25_stats", f"WITH {TOK}, {QT}, {STAT} SELECT query_id, token, coalesce(df, 0) AS df, n, r6(avgdl) AS avgdl FROM qt LEFT JOIN dfq USING (query_id, token) LEFT JOIN nn USING (query_id)")
 def _(s):
     qt = R.query_tokens(s.qry)
-    posts = R.postings(s.docs.withColumn("vf", R.visible_from()), qt, ["vf"])
-    return R.bm25_stats(qt, posts, s.docs).select("query_id", "token", "df", "n", r6("avgdl").alias("avgdl"))
+    posts = R.postings(s.docs.withColumn("vf", R.visible_from()), qt, ["vf"], marker=True)
+    return R.bm25_stats(qt, posts).select("query_id", "token", "df", "n", r6("avgdl").alias("avgdl"))
 
 
 @query("j3_bm25_topk", f"WITH {TOK}, {QT}, {STAT}, {BM} SELECT query_id, doc_id, {HIT} FROM bm WHERE rank <= 10")
