@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evq.functions.lineage import cut
+
 MAX_ROWS = 500_000
 
 
@@ -18,6 +20,15 @@ def small(df: DataFrame, counted: DataFrame | None = None, max_rows: int = MAX_R
     return F.broadcast(df) if n <= max_rows else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Materialise a table bounded by keys and dates, then hint a broadcast if it is small.
+
+    Joined to scenario rows, it saves the shuffle of the large side: without the known
+    size both sides would be exchanged before the small one turns out to be small.
+    """
+    return small(cut(df))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance a scan that has fewer splits than cores before heavy per-row work.
 

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evq.functions.sizing import settled
+
 
 def past_totals(
     df: DataFrame, by: Sequence[str], on: str, totals: dict[str, Column], inclusive: bool = False
@@ -38,13 +40,15 @@ def asof_join(
     strict: bool = True,
     fact_date: str | None = None,
     how: str = "left",
+    settle: bool = False,
 ) -> DataFrame:
     """As-of join by union and fill: linear, no range join.
 
     backward+strict takes the last fact with fact_on < probe_on, forward non-strict the
     first fact with fact_on >= probe_on. Probes are made distinct per (by, date) before
     the window and joined back by equality, so a hot key is split by the join, not
-    gathered in a window. Facts must be unique per (by, fact_on).
+    gathered in a window. Facts must be unique per (by, fact_on). settle materialises the
+    per-key result first and broadcasts it if small; worth it when the probes are many.
     """
     by = list(by)
     fields = [F.col(c) for c in payload] + ([F.col(fact_on).alias(fact_date)] if fact_date else [])
@@ -67,7 +71,7 @@ def asof_join(
         both.withColumn("_f", filled).filter("_m")
         .select(*by, F.col("_t").alias(probe_on), *[F.col("_f")[n].alias(n) for n in names], F.col("_f").isNotNull().alias("_hit"))
     )
-    out = probes.join(found, [*by, probe_on], "left" if how == "left" else "inner")
+    out = probes.join(settled(found) if settle else found, [*by, probe_on], "left" if how == "left" else "inner")
     return (out if how == "left" else out.filter("_hit")).drop("_hit")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evq.functions.cols import clip, log1p_or_zero, r6
+from evq.functions.sizing import settled
 from evq.operators.asof import anchor, calendar, dense_returns
 
 
@@ -23,7 +24,7 @@ def scenarios(events: DataFrame, industries: DataFrame, list_col: str = "affecte
 
 def _anchored(scn: DataFrame, panel: DataFrame, mkt: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = anchor(scn.select("event_date").distinct(), calendar(panel, mkt)).filter("t0 is not null")
-    return scn.join(at, "event_date"), dense_returns(panel, mkt)
+    return scn.join(settled(at), "event_date"), dense_returns(panel, mkt)
 
 
 def car_diff(scn: DataFrame, panel: DataFrame, mkt: DataFrame, windows: Sequence[int] = (1, 5, 20)) -> DataFrame:
@@ -43,7 +44,7 @@ def car_diff(scn: DataFrame, panel: DataFrame, mkt: DataFrame, windows: Sequence
     per_day = per_day.select("industry_code", "t0_idx", F.explode("a").alias("c")).filter("c is not null")
     per_day = per_day.select("industry_code", "t0_idx", "c.window", r6("c.i").alias("cum_ind_ret"),
                              r6("c.m").alias("cum_mkt_ret"), r6(F.col("c.i") - F.col("c.m")).alias("car"))
-    return anchored.join(per_day, ["industry_code", "t0_idx"]).drop("t0_idx")
+    return anchored.join(settled(per_day), ["industry_code", "t0_idx"]).drop("t0_idx")
 
 
 def forward_path_metrics(rets: DataFrame, horizons: Sequence[int], inclusive_end: bool) -> DataFrame:
@@ -78,7 +79,7 @@ def realized_path(scn: DataFrame, panel: DataFrame, mkt: DataFrame, horizons: Se
                   inclusive_end: bool = True) -> DataFrame:
     """Active-return path metrics per scenario and horizon (h+1 returns if inclusive_end, else h)."""
     anchored, rets = _anchored(scn, panel, mkt)
-    return anchored.join(forward_path_metrics(rets, horizons, inclusive_end), ["industry_code", "t0_idx"]).drop("t0_idx")
+    return anchored.join(settled(forward_path_metrics(rets, horizons, inclusive_end)), ["industry_code", "t0_idx"]).drop("t0_idx")
 
 
 def car_summary(car: DataFrame, direction: str | None = None) -> DataFrame:
@@ -147,15 +148,21 @@ def attach_event_type(results: DataFrame, car: DataFrame) -> DataFrame:
 
 
 def match_sets(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Assign each set in a (a_id, item) to its best set in b (b_id, item) by Jaccard.
+    """Assign each set in (a_id, item) to its best set in b (b_id, item) by Jaccard.
 
-    Pairs meet only through a shared item. Equal sets score one and so come first; ties
-    go to the smaller b_id. Several a sets may share a b set, unlike a one-by-one greedy pass.
+    Sets of equal content are matched once, through one representative, and pairs meet
+    only through a shared item. Equal sets score one and so come first; ties go to the
+    smaller b_id. Several a sets may share a b set, unlike a one-by-one greedy pass.
     """
     a, b = a.select("a_id", "item").distinct(), b.select("b_id", "item").distinct()
-    na, nb = a.groupBy("a_id").agg(F.count("*").alias("na")), b.groupBy("b_id").agg(F.count("*").alias("nb"))
-    both = a.join(b, "item").groupBy("a_id", "b_id").agg(F.count("*").alias("n_both")).join(na, "a_id").join(nb, "b_id")
+    h1, h2 = F.xxhash64("item"), F.xxhash64(F.lit(17), "item")
+    content = a.groupBy("a_id").agg(F.count("*").alias("na"), F.bit_xor(h1).alias("f1"), F.bit_xor(h2).alias("f2"))
+    finger = ["na", "f1", "f2"]
+    rep = content.groupBy(*finger).agg(F.min("a_id").alias("a_id"))
+    nb = b.groupBy("b_id").agg(F.count("*").alias("nb"))
+    items = a.join(rep.select("a_id"), "a_id", "left_semi")
+    both = items.join(b, "item").groupBy("a_id", "b_id").agg(F.count("*").alias("n_both")).join(rep, "a_id").join(nb, "b_id")
     j = both.withColumn("jaccard", F.col("n_both") / (F.col("na") + F.col("nb") - F.col("n_both")))
     w = Window.partitionBy("a_id").orderBy(F.desc("jaccard"), "b_id")
-    return j.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(
-        "a_id", "b_id", "jaccard", (F.col("jaccard") == 1).alias("exact"))
+    best = j.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(*finger, "b_id", "jaccard")
+    return content.join(best, finger).select("a_id", "b_id", "jaccard", (F.col("jaccard") == 1).alias("exact"))

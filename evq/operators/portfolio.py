@@ -22,7 +22,7 @@ def vol_var(rows: DataFrame, feat: DataFrame, scales: dict[int, float] = {1: 0.4
     """VaR from pre-event volatility, widened or narrowed by missing confidence; ES is 1.15 times VaR."""
     clean = feat.dropna(subset=list(FEATURE_COLS))
     sd = F.stddev_pop("ret").over(trailing(["industry_code"], "d", lookback))
-    got = asof_join(rows, clean.select("industry_code", "d", sd.alias("sigma")), ["industry_code"], "event_date", "d", ["sigma"])
+    got = asof_join(rows, clean.select("industry_code", "d", sd.alias("sigma")), ["industry_code"], "event_date", "d", ["sigma"], settle=True)
     grid = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(float(s)).alias("sc")) for h, s in scales.items()]))
     long = got.withColumn("sigma", F.coalesce("sigma", F.lit(default_sigma))).withColumn("_g", grid)
     var = -1.645 * F.col("sigma") * F.sqrt(F.col("_g.horizon")) * (1 + F.col("_g.sc") * F.greatest(F.lit(0.0), 1 - F.col("confidence")))
@@ -122,7 +122,7 @@ def beta_state(rets: DataFrame, window: int = 60, min_pairs: int | None = None)
 
 def beta_asof(events: DataFrame, rets: DataFrame, window: int = 60, min_pairs: int | None = None) -> DataFrame:
     """Beta from rows strictly before each event; one with a fallback flag when history is short."""
-    got = asof_join(events, beta_state(rets, window, min_pairs), ["industry_code"], "event_date", "d", ["_b"])
+    got = asof_join(events, beta_state(rets, window, min_pairs), ["industry_code"], "event_date", "d", ["_b"], settle=True)
     return got.withColumns({"beta": F.coalesce("_b", F.lit(1.0)), "beta_fallback": F.col("_b").isNull()}).drop("_b")
 
 
