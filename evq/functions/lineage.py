@@ -2,41 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by the session's spark.checkpoint.dir.
+    """Folder named by the session's spark.checkpoint.dir, else one below the session's warehouse."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    return known or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
 
-    A local session that names none (tests) gets its own temporary folder; a cluster
-    session must name a shared one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get() if known.isDefined() else tempfile.mkdtemp(prefix="evq-checkpoint-")
+
+def _checkpoints(spark: SparkSession) -> str:
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """Path of a new, unused folder for files of this session."""
+    return f"{_checkpoints(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    _checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and read it back: columnar, prunable, with real sizes."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:8]}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
