@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm import decontam, mixing, pii, quality, simhash
+from evq.llm import decontam, html, mixing, pii, quality, rules, simhash, tokencount, warc
 from evq.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,37 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["kind"] != "term")
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(code(base), 256).alias("base_sha256"), code(F.col("pii")).alias("spans"))
+
+
+@query("op1_warc_revisits")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write archives of all pages, read them back, resolve revisits."""
+    kind = table(spark, sf_dir, "pages").schema["page_id"].dataType
+    found = warc.archive(table(spark, sf_dir, "pages"))
+    number = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind)
+    return found.select(number("id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+
+#: Name of a vocabulary file of the public tokenizers.
+VOCABULARY = "byte_bpe_50k.json"
+LIMIT = 1024
+
+
+@query("op5_transducer_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+
+
+@query("op7_boosted_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), *rules.BASE, "base_failed", "kept")
+
+
+@query("op8_main_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
