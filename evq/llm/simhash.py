@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.common import batches, staged
+from evq.llm.common import batches, bounded_small, own_name, staged
 
 RADIUS = 3
 #: Fingerprints in one tile at most.
@@ -186,3 +186,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def hex_digits(fp: str = "fp"):
     """16 lower-case hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Pipeline form: of each component one row, that with the smallest id (nulls last), with its own columns.
+
+    Rows are numbered and written first, so that repeated and null ids are told apart.
+    """
+    key = own_name(docs.columns, "__row")
+    stamped = staged(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(stamped, key, text_col, **options).select(F.col("id").alias(key), "fp", F.col("component_id").alias("__component"))
+    ids = stamped.select(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("row")).alias("rank"))
+    ranked = found.join(ids, key)
+    best = ranked.groupBy("__component").agg(F.min("rank").alias("best"), F.count("*").alias("rows")).filter("rows > 1")
+    # Only the rows that go meet the texts again: few, and broadcast while they are.
+    gone = bounded_small(ranked.join(best, "__component").filter(F.col("rank.row") != F.col("best.row")).select(key), "gone", 32)
+    return stamped.join(gone, key, "left_anti").select(*docs.columns)
