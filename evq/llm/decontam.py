@@ -122,7 +122,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(blocks):
         part = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
         found = found.mapInArrow(searcher(spark.sparkContext.broadcast(Patterns([(r.item, r.text) for r in part], window))), schema)
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")).cast("long")
+    # Runs of the same characters before lower-casing: A-Z belong to words.
+    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
     bad = (n_hit > 0) & (share * n_hit >= n_words)
     if keep:

@@ -32,8 +32,8 @@ FLOOR = 1e-4
 
 
 def _share(part: Column, whole: Column) -> Column:
-    """Bin of a share: floor(log2(1 + per mille)), at most BINS - 1."""
-    return F.least(F.lit(BINS - 1), F.floor(F.log2(F.floor(1000 * part / F.greatest(whole, F.lit(1))) + 1)).cast("int"))
+    """Bin of a share: the whole part of log2(1 + per mille), at most BINS - 1."""
+    return F.least(F.lit(BINS - 1), F.length(F.bin(F.floor(1000 * part / F.greatest(whole, F.lit(1))) + 1)) - 1)
 
 
 def statistic_bins(text: Column) -> list[Column]:

@@ -7,22 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm import decontam, hmm, html, mixing, pii, quality, rules, simhash, tokencount, warc
+from evq.llm import decontam, hmm, html, mixing, oracles, pii, quality, rules, simhash, tokencount, warc
 from evq.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
         return fn
 
     return add
 
 
-@query("op2_source_mixing")
+@query("op2_source_mixing", oracles.MIXING)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its raked probability and whether it was drawn."""
     m = mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "mixture.*")
@@ -35,14 +37,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
-@query("op4_benchmark_contamination")
+@query("op4_benchmark_contamination", oracles.CONTAMINATION)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-@query("op6_quality_posterior")
+@query("op6_quality_posterior", oracles.QUALITY)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", F.round("quality_model.p_quality", 6).alias("p_quality"), F.col("quality_model.kept").alias("kept"))
@@ -57,7 +59,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(code(base), 256).alias("base_sha256"), code(F.col("pii")).alias("spans"))
 
 
-@query("op1_warc_revisits")
+@query("op1_warc_revisits", oracles.WARC)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write archives of all pages, read them back, resolve revisits."""
     kind = table(spark, sf_dir, "pages").schema["page_id"].dataType
