@@ -174,7 +174,9 @@ def main_text(source: str | None) -> str:
     for i in range(1, n):
         if page.drop[page.parent[i]] or page.tag[i] in ("ul", "ol", "table", "div") and density[i] > 0.8 and sum(1 for j in range(i + 1, min(n, i + 200)) if page.tag[j] == "a") > 2:
             page.drop[i] = True
-    best = max(range(n), key=lambda i: (score[i], -i))
+    # Where article elements hold a good part of the text, the best container is one of them.
+    articles = [i for i in range(n) if page.tag[i] == "article" and not page.drop[i] and whole[i]]
+    best = max(articles if 3 * sum(whole[i] for i in articles) >= whole[0] and articles else range(n), key=lambda i: (score[i], -i))
     if score[best] <= 0:
         return " ".join(blocks(page, lambda i: not page.drop[i]))
     for wide in ("article", "main"):
@@ -188,7 +190,9 @@ def main_text(source: str | None) -> str:
     if best:
         least, over = max(3.0, 0.2 * score[best]), page.parent[best]
         for i in range(1, n):
-            if page.parent[i] == over and not page.drop[i] and (score[i] >= least and page.tag[i] not in ("header",) or page.tag[i] == "p" and (whole[i] > 80 and density[i] < 0.25)):
+            # Beside an article element only other articles count.
+            alike = page.tag[best] not in ("article", "main") or page.tag[i] == "article"
+            if page.parent[i] == over and not page.drop[i] and alike and (score[i] >= least or page.tag[i] == "p" and whole[i] > 80 and density[i] < 0.25):
                 chosen.add(i)
     inside = [False] * n
     for i in range(n):
