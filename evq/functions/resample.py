@@ -1,68 +1,141 @@
-"""Counter-based resampling: the draw of (replicate, slot) is a pure function of both."""
+"""Counter-based resampling: a draw is a pure function of its replicate and its place.
+
+Uniform numbers are the leading 52 bits of an MD5 digest, so neighbouring places and replicates are
+unrelated and every index below 2**52 is equally likely up to 2**-52 n.
+
+`multinomial_sums` resamples rows through the counts of their distinct values: how often a value
+of multiplicity k is drawn among the draws left is binomial, found by inverting its distribution
+at the uniform of (replicate, value). The work grows with the distinct values, not with the rows.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PRIME = 2147483647
+from evq.functions.lineage import cut
+from evq.functions.ordered import ordered_rank
+
+BITS = 52
+#: Distinct values that one task resamples; larger tables are cut into chunks with multinomial totals of their own.
+CHUNK = 1 << 15
+#: Replicates in one task.
+BLOCK = 250
+#: Half-width of an inverted binomial table in standard deviations; the mass beyond is under 1e-30.
+WIDTH = 12.0
+
+
+def uniform(rep: Column, place: Column) -> Column:
+    """Number in [0, 1) of a replicate and a place."""
+    digest = F.md5(F.concat(rep.cast("string"), F.lit(":"), place.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long") / F.lit(float(1 << BITS))
 
 
 def draw(rep: Column, slot: Column, n: Column) -> Column:
     """Index in [0, n) for a replicate and slot counted from zero."""
-    h1 = ((rep + 1) * 7919 + (slot + 1) * 104729) % PRIME
-    h2 = (h1 * 48271) % PRIME
-    h3 = (h2 * h2 + 12345) % PRIME
-    h4 = (h3 * h3 + 67891) % PRIME
-    return F.when(n <= PRIME, h4 % n).otherwise((h3 * PRIME + h4) % n)
+    return F.floor(uniform(rep, slot) * n).cast("long")
 
 
 def draws(spark: SparkSession, n: int, reps: int) -> DataFrame:
-    """reps * n rows (rep, idx), generated in parallel; nothing is joined or shuffled."""
+    """reps * n rows (rep, idx), generated in parallel; for tables bounded by a calendar."""
     ids = spark.range(reps * n)
-    rep = F.floor(F.col("id") / F.lit(n)).cast("long") if n * reps < 2**52 else F.expr(f"id div {n}")
-    return ids.select(rep.alias("rep"), (F.col("id") % n).alias("slot")).select(
-        "rep", draw(F.col("rep"), F.col("slot"), F.lit(n).cast("long")).alias("idx"))
+    return ids.select(F.expr(f"id div {n}").alias("rep"), (F.col("id") % n).alias("slot")).select("rep", draw(F.col("rep"), F.col("slot"), F.lit(n).cast("long")).alias("idx"))
+
+
+def _uniforms(reps: np.ndarray, place: object) -> np.ndarray:
+    scale = 1 << BITS
+    return np.array([int(hashlib.md5(f"{r}:{place}".encode()).hexdigest()[:BITS // 4], 16) / scale for r in reps.tolist()])
 
 
-def resample_classes(counts: DataFrame, values: list[str], reps: int) -> DataFrame:
-    """Bootstrap rows that take few distinct values, from the value counts alone.
+def _log_factorials(k: np.ndarray) -> np.ndarray:
+    """ln k! by Stirling's series from 32 on and by products below."""
+    small = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 32)))))
+    x = np.maximum(k, 32).astype(np.float64) + 1
+    series = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return np.where(k < 32, small[np.minimum(k, 31).astype(np.int64)], series)
 
-    Rows are numbered as if sorted by value, so drawing an index is a look-up in the
-    cumulative counts. Result: rep, the sums of each value column, and n.
+
+def binomial_quantiles(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+    """Smallest k with P(Binomial(n, p) <= k) >= u, elementwise; one table per distinct n."""
+    out = np.zeros(len(n), dtype=np.int64)
+    if p <= 0:
+        return out
+    if p >= 1:
+        return n.astype(np.int64)
+    for m in np.unique(n).tolist():
+        at = n == m
+        half = WIDTH * math.sqrt(m * p * (1 - p)) + 60
+        lo, hi = max(0, math.floor(m * p - half)), min(m, math.ceil(m * p + half))
+        k = np.arange(lo, hi + 1)
+        logs = _log_factorials(np.array([m]))[0] - _log_factorials(k) - _log_factorials(m - k) + k * math.log(p) + (m - k) * math.log1p(-p)
+        out[at] = np.minimum(lo + np.searchsorted(np.cumsum(np.exp(logs)), u[at], side="left"), hi)
+    return out
+
+
+def multinomial_counts(sizes: Sequence[int], reps: np.ndarray, total: np.ndarray, label: str) -> np.ndarray:
+    """(len(sizes), len(reps)) counts of `total` draws over groups of the given sizes, one group after another."""
+    left, rest = total.copy(), int(sum(sizes))
+    out = np.zeros((len(sizes), len(reps)), dtype=np.int64)
+    for i, k in enumerate(sizes):
+        if i == len(sizes) - 1:
+            out[i] = left
+        elif k:
+            out[i] = binomial_quantiles(left, k / rest, _uniforms(reps, f"{label}{i}"))
+        left = left - out[i]
+        rest -= int(k)
+    return out
+
+
+def multinomial_sums(counts: DataFrame, values: list[str], reps: int, by: Sequence[str] = ()) -> DataFrame:
+    """Bootstrap rows from the counts `n` of their distinct values, per group `by`.
+
+    Result: by, rep, the sums of each value column, and n. Values are ordered and cut into chunks;
+    a chunk's share of the draws comes from the multinomial over the chunk totals, which every task
+    of a replicate finds alike.
     """
-    spark = counts.sparkSession
-    rows = counts.groupBy(*values).agg(F.sum("n").alias("n")).orderBy(*values).limit(4097).collect()
-    if len(rows) > 4096:
-        raise ValueError("too many distinct values; use resample_rows")
-    n = sum(r["n"] for r in rows)
-    if not n:
-        return spark.createDataFrame([], "rep long, n long, " + ", ".join(f"{v} double" for v in values))
-    edge, cols = 0, {v: None for v in values}
-    bounds = []
-    for r in rows:
-        edge += r["n"]
-        bounds.append((edge, r))
-    for v in values:
-        c = None
-        for e, r in bounds:
-            c = F.when(F.col("idx") < e, float(r[v])) if c is None else c.when(F.col("idx") < e, float(r[v]))
-        cols[v] = c
-    return draws(spark, n, reps).groupBy("rep").agg(*[F.sum(c).alias(v) for v, c in cols.items()], F.count("*").alias("n"))
+    merged = counts.groupBy(*by, *values).agg(F.sum("n").cast("long").alias("n")).filter("n > 0")
+    ranked = cut(ordered_rank(merged, list(by), values, "_rn").withColumn("_chunk", F.expr(f"cast((_rn - 1) div {CHUNK} as int)")))
+    sizes = ranked.groupBy(*by, "_chunk").agg(F.sum("n").alias("k"))
+    totals = sizes.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "k"))), lambda s: s["k"]).alias("_sizes"))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK))).alias("_from")
+    rows = ranked.join(totals, list(by)) if by else ranked.crossJoin(totals)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name in by), "rep long", *(f"`{v}` double" for v in values), "n long"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn")
+        first, chunk = pdf.iloc[0], int(pdf["_chunk"].iloc[0])
+        r = np.arange(first["_from"], min(reps, first["_from"] + BLOCK))
+        sizes = [int(k) for k in first["_sizes"]]
+        share = multinomial_counts(sizes, r, np.full(len(r), sum(sizes)), "chunk")[chunk]
+        c = multinomial_counts(pdf["n"].tolist(), r, share, f"{chunk}/")
+        out = pd.DataFrame({b: [first[b]] * len(r) for b in by} | {"rep": r})
+        for v in values:
+            out[v] = pdf[v].to_numpy(dtype=np.float64) @ c
+        out["n"] = share
+        return out
+
+    parts = rows.select(*by, *values, "n", "_rn", "_chunk", "_sizes", starts).groupBy(*by, "_chunk", "_from").applyInPandas(run, fields)
+    return parts.groupBy(*by, "rep").agg(*[F.sum(v).alias(v) for v in values], F.sum("n").alias("n"))
 
 
 def resample_rows(rows: DataFrame, idx: str, n: int, values: list[str], reps: int) -> DataFrame:
-    """Bootstrap of indexed rows (idx from zero, dense): sums of each value per replicate."""
+    """Bootstrap of indexed rows (idx from zero, dense), few enough to be a calendar: sums of each value per replicate."""
     d = draws(rows.sparkSession, n, reps)
     return d.join(rows.withColumnRenamed(idx, "idx"), "idx").groupBy("rep").agg(*[F.sum(v).alias(v) for v in values], F.count("*").alias("n"))
 
 
-def interval(reps: DataFrame, stat: Column, observed: Column | None = None, level: float = 0.95) -> DataFrame:
+def interval(reps: DataFrame, stat: Column, observed: Column | None = None, level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """Percentile interval of a replicate statistic; p-values if the observed value is given."""
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    r = reps.select(stat.alias("_s"))
+    r = reps.select(*by, stat.alias("_s"))
     aggs = [F.avg("_s").alias("boot_mean"), F.percentile("_s", F.lit(lo)).alias("ci_low"), F.percentile("_s", F.lit(hi)).alias("ci_high"),
             (2 * F.least(F.avg((F.col("_s") <= 0).cast("double")), F.avg((F.col("_s") >= 0).cast("double")))).alias("p_sign")]
     if observed is not None:
         aggs.append(F.avg((F.abs("_s") >= F.abs(observed)).cast("double")).alias("p_abs"))
-    return r.agg(*aggs)
+    return r.groupBy(*by).agg(*aggs)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evq.functions.ordered import ordered_rank
-from evq.functions.resample import interval, resample_classes, resample_rows
+from evq.functions.resample import interval, multinomial_sums, resample_rows
 
 KEYS = ("event_id", "event_date", "industry_code")
 
@@ -172,15 +172,16 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, committed: bool = False, reps:
     obs = counts.agg((F.sum(F.col("delta") * F.col("n")) / F.sum("n")).alias("d"), F.sum("n").alias("n")).first()
     if obs["n"] is None:
         raise ValueError("no aligned rows")
-    r = resample_classes(counts, ["delta"], reps)
+    r = multinomial_sums(counts, ["delta"], reps)
     return interval(r, F.col("delta") / F.col("n"), F.lit(float(obs["d"]))).withColumns({"n": F.lit(obs["n"]), "delta": F.lit(float(obs["d"]))})
 
 
-def bootstrap_ci(rows: DataFrame, value: str, reps: int = 2000) -> DataFrame:
-    """Percentile interval of the mean of a flag or other few-valued column."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(_d(value).alias("v")).agg(F.count("*").alias("n"))
-    return interval(resample_classes(counts, ["v"], reps), F.col("v") / F.col("n")).drop("p_sign").join(
-        counts.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("observed")), F.lit(True))
+def bootstrap_ci(rows: DataFrame, value: str, reps: int = 2000, by: Sequence[str] = ()) -> DataFrame:
+    """Percentile interval of the mean of a column per group, resampled through its value counts."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, _d(value).alias("v")).agg(F.count("*").alias("n"))
+    boot = interval(multinomial_sums(counts, ["v"], reps, by), F.col("v") / F.col("n"), by=by).drop("p_sign")
+    seen = counts.groupBy(*by).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("observed"))
+    return boot.join(seen, list(by)) if by else boot.join(seen, F.lit(True))
 
 
 def cluster_table(rows: DataFrame, cluster: str, value: Column) -> DataFrame:

@@ -17,6 +17,8 @@ from evq.functions.series import drawdown, mean, quantile, running, tail_mean, t
 
 # fixed values: standard normal quantiles
 Z = {0.05: -1.6448536269514722, 0.01: -2.3263478740408408, 0.025: -1.9599639845400545, 0.1: -1.2815515655446004}
+#: Replicates drawn from one copy of a series; forecast rows simulated at once.
+REP_BLOCK, SIMULATED_ROWS = 64, 256
 METHODS = ("historical", "bootstrap", "parametric", "ewma", "evt")
 
 
@@ -101,10 +103,12 @@ def risk_grid(rets: DataFrame, by: Sequence[str], alphas: Sequence[float] = (0.0
         out = df.select(*by, F.explode(F.array(*parts)).alias("g")).select(*by, "g.*")
     if "bootstrap" in methods:
         n = F.size("_x")
-        reps_rows = arr.select(*by, "_x", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition(*by, "rep")
-        pick = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(F.col("_x"), draw(
-            F.col("rep").cast("long"), k.cast("long"), n.cast("long")).cast("int")))
-        rs = reps_rows.filter(n > 0).select(*by, F.sort_array(pick).alias("_s"))
+        # A series is copied once per block of replicates and drawn from inside the row.
+        first = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REP_BLOCK))).alias("_from")
+        blocks = arr.filter(n > 0).select(*by, "_x", first).repartition(*by, "_from")
+        ids = F.sequence(F.col("_from"), F.least(F.col("_from") + REP_BLOCK, F.lit(reps)) - 1)
+        sample = lambda rep: F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(F.col("_x"), draw(rep, k, n).cast("int"))))
+        rs = blocks.select(*by, F.explode(F.transform(ids, sample)).alias("_s"))
         stats = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), quantile(F.col("_s"), a).alias("v")) for a in alphas]))
         each = rs.select(*by, "_s", stats.alias("g")).select(*by, "g.alpha", "g.v", tail_mean(F.col("_s"), F.col("g.v")).alias("e"))
         boot = each.groupBy(*by, "alpha").agg(F.avg("v").alias("var"), F.avg("e").alias("es")).withColumn("method", F.lit("bootstrap"))
@@ -127,26 +131,30 @@ def max_drawdown(cum: Column) -> Column:
 
 
 def _simulate(n_paths: int):
+    """Expected drawdown and breach probability; rows of one path length are simulated together, each from its own seed."""
+
     @F.pandas_udf("mdd double, breach double")
     def simulate(point: pd.Series, sigma: pd.Series, floor: pd.Series, seed: pd.Series) -> pd.DataFrame:
-        mdd, breach = [], []
-        for p, s, lo, key in zip(point, sigma, floor, seed):
-            rng = np.random.default_rng(int(key) & 0x7FFFFFFFFFFFFFFF)
-            cum = np.cumsum(rng.normal(p, s, size=(n_paths, len(p))), axis=1)
-            nav = np.concatenate([np.ones((n_paths, 1)), 1 + cum], axis=1)
-            peak = np.maximum.accumulate(nav, axis=1)
-            dd = ((peak - nav) / np.maximum(peak, 1e-12)).max(axis=1)
-            mdd.append(float(np.clip(dd, 0, 1).mean()))
-            sd = math.sqrt(float((np.asarray(s) ** 2).sum()))
-            gap = lo - float(np.sum(p))
-            breach.append(0.5 * math.erfc(-gap / (sd * math.sqrt(2))) if sd > 0 else float(gap >= 0))
-        return pd.DataFrame({"mdd": mdd, "breach": breach})
+        sizes = point.map(len).to_numpy()
+        mdd, sd, total_ = np.zeros(len(point)), np.zeros(len(point)), np.zeros(len(point))
+        for k in np.unique(sizes):
+            rows = np.flatnonzero(sizes == k)
+            for part in np.array_split(rows, -(-len(rows) // SIMULATED_ROWS)):
+                p, s = np.stack(point.iloc[part].to_numpy()).astype(float), np.stack(sigma.iloc[part].to_numpy()).astype(float)
+                z = np.stack([np.random.default_rng(int(x) & 0x7FFFFFFFFFFFFFFF).standard_normal((n_paths, k)) for x in seed.iloc[part]])
+                nav = 1 + np.cumsum(p[:, None, :] + s[:, None, :] * z, axis=2)
+                peak = np.maximum(np.maximum.accumulate(nav, axis=2), 1)
+                mdd[part] = np.clip(((peak - nav) / np.maximum(peak, 1e-12)).max(axis=2, initial=0), 0, 1).mean(axis=1)
+                sd[part], total_[part] = np.sqrt((s**2).sum(axis=1)), p.sum(axis=1)
+        gap = floor.to_numpy() - total_
+        tail = np.array([0.5 * math.erfc(-g / (d * math.sqrt(2))) if d > 0 else float(g >= 0) for g, d in zip(gap, sd)])
+        return pd.DataFrame({"mdd": mdd, "breach": tail})
 
     return simulate
 
 
 def event_risk(paths: DataFrame, by: Sequence[str], k: int = 5, alpha: float = 0.05, dispersion: Column | None = None,
-               method: str = "simulation", n_paths: int = 1000) -> DataFrame:
+               method: str = "simulation", n_paths: int = 2000) -> DataFrame:
     """Risk of the cumulative forecast at step k.
 
     The sum of independent normal steps is normal, so VaR, CVaR and the interval are

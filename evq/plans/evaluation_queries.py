@@ -11,7 +11,7 @@ from evq.operators import asof as A
 from evq.operators import evaluation as V
 from evq.operators import metrics as M
 from evq.plans.catalog import query
-from evq.plans.risk_queries import draw_sql
+from evq.plans.risk_queries import draw_sql, uniform_sql
 
 EK = ["event_id", "industry_code"]
 TYPES = ["1-URGENT"]
@@ -107,19 +107,28 @@ def _(s):
     return c.select("bin", "cumulative_rows", *[r6(x).alias(x) for x in ("coverage", "accuracy", "min_confidence")])
 
 
-BOOT = f"""dr AS (SELECT rep, {draw_sql(n='(SELECT count(*) FROM v)')} AS idx FROM range(200) a(rep) CROSS JOIN range((SELECT count(*) FROM v)) b(slot)),
-  rp_ AS (SELECT rep, sum(v) / CAST(count(*) AS DOUBLE) AS st FROM dr JOIN v USING (idx) GROUP BY 1)"""
+def binomial_sql(table, source, rest, k, place):
+    """`table`(rep, k): how many of `rest` draws (a column of source) hit a value of k among what is left (l), by inverted distribution."""
+    return f"""{table}n AS (SELECT DISTINCT {rest} AS m, CAST({k} AS DOUBLE) / l AS p, l FROM {source}),
+  {table}t AS (SELECT m, i, sum(CASE WHEN p >= 1 THEN CAST(i = m AS INT) WHEN p <= 0 THEN CAST(i = 0 AS INT) ELSE exp(lgamma(m + 1.0) - lgamma(i + 1.0) - lgamma(m - i + 1.0) + i * ln(p) + (m - i) * ln(1 - p)) END)
+    OVER (PARTITION BY m ORDER BY i) AS f FROM (SELECT m, p, unnest(range(0, m + 1)) AS i FROM {table}n)),
+  {table} AS (SELECT rep, {rest} AS m, least(count(t.i), any_value({rest})) AS k FROM (SELECT *, {uniform_sql('rep', f"'{place}'")} AS u FROM {source}) s LEFT JOIN {table}t t ON t.m = s.{rest} AND t.f < s.u GROUP BY 1, 2)"""
+
+
 OUT = """r6(avg(st)) AS boot_mean, r6(quantile_cont(st, 0.025)) AS ci_low, r6(quantile_cont(st, 0.975)) AS ci_high"""
 
 
 def _paired_sql(where):
-    return f"""WITH v AS (SELECT CAST(v AS DOUBLE) AS v, row_number() OVER (ORDER BY v) - 1 AS idx FROM (SELECT CAST(b.dir_correct AS INT) - CAST(a.dir_correct AS INT) AS v FROM res0 a JOIN res1 b USING (event_id, industry_code) {where})),
-    {BOOT}, ob AS (SELECT avg(v) AS d, count(*) AS n FROM v)
+    return f"""WITH v AS (SELECT CAST(b.dir_correct AS INT) - CAST(a.dir_correct AS INT) AS v FROM res0 a JOIN res1 b USING (event_id, industry_code) {where}),
+    ob AS (SELECT avg(v) AS d, count(*) AS n, count(*) FILTER (v = -1) AS a, count(*) FILTER (v = 0) AS z FROM v),
+    s0 AS (SELECT rep, n AS r0, a AS k0, n AS l FROM range(2000) g(rep), ob), {binomial_sql("q0", "s0", "r0", "k0", "0/0")},
+    s1 AS (SELECT rep, n - q0.k AS r1, z AS k1, n - a AS l FROM q0, ob), {binomial_sql("q1", "s1", "r1", "k1", "0/1")},
+    rp_ AS (SELECT (n - q0.k - q1.k - q0.k) / CAST(n AS DOUBLE) AS st FROM q0 JOIN q1 USING (rep), ob)
     SELECT {OUT}, r6(2 * least(avg(CAST(st <= 0 AS INT)), avg(CAST(st >= 0 AS INT)))) AS p_sign, r6(avg(CAST(abs(st) >= abs(d) AS INT))) AS p_abs, any_value(n) AS n, r6(any_value(d)) AS delta FROM rp_, ob"""
 
 
 def _paired(s, committed):
-    p = V.paired_bootstrap(s.res(0), s.res(1), committed, 200)
+    p = V.paired_bootstrap(s.res(0), s.res(1), committed)
     return p.select(*[r6(c).alias(c) for c in ("boot_mean", "ci_low", "ci_high", "p_sign", "p_abs", "delta")], "n")
 
 
@@ -136,7 +145,7 @@ def _(s):
 def _cluster_sql(val, where="", name=""):
     return f"""SELECT {OUT}, r6(any_value(o)) AS observed, r6(any_value(mac)) AS macro, any_value(nc) AS n_clusters{name} FROM (
     WITH v AS (SELECT *, row_number() OVER (ORDER BY event_date) - 1 AS idx FROM (SELECT event_date, sum({val}) AS s, CAST(count(*) AS DOUBLE) AS k FROM jj {where} GROUP BY 1)),
-    dr AS (SELECT rep, {draw_sql(n='(SELECT count(*) FROM v)')} AS idx FROM range(200) a(rep) CROSS JOIN range((SELECT count(*) FROM v)) b(slot))
+    dr AS (SELECT rep, {draw_sql(n='(SELECT count(*) FROM v)')} AS idx FROM range(2000) a(rep) CROSS JOIN range((SELECT count(*) FROM v)) b(slot))
     SELECT rep, sum(s) / sum(k) AS st, (SELECT sum(s) / sum(k) FROM v) AS o, (SELECT avg(s / k) FROM v) AS mac, (SELECT count(*) FROM v) AS nc FROM dr JOIN v USING (idx) GROUP BY 1)"""
 
 
@@ -146,16 +155,22 @@ CL = ("boot_mean", "ci_low", "ci_high", "observed", "macro")
 
 @query("g12_cluster_bootstrap", f"WITH {JJ} {_cluster_sql('x')}")
 def _(s):
-    c = V.cluster_bootstrap(s.res(0), F.col("dir_correct").cast("double"), reps=200)
+    c = V.cluster_bootstrap(s.res(0), F.col("dir_correct").cast("double"))
     return c.select(*[r6(x).alias(x) for x in CL], "n_clusters")
 
 
-@query("g13_bootstrap_ci", f"""WITH v AS (SELECT CAST(v AS DOUBLE) AS v, row_number() OVER (ORDER BY v) - 1 AS idx FROM (SELECT CAST(realized_car < pred_var AS INT) AS v FROM rr0 WHERE horizon = 5)), {BOOT}
-  SELECT {OUT}, r6((SELECT avg(v) FROM v)) AS observed FROM rp_""")
+def _breach_sql(h):
+    return f"""SELECT * FROM (WITH ob AS (SELECT count(*) AS n, avg(CAST(realized_car < pred_var AS INT)) AS o, count(*) FILTER (NOT realized_car < pred_var) AS a FROM rr0 WHERE horizon = {h} AND realized_car < pred_var IS NOT NULL),
+    s0 AS (SELECT rep, n AS r0, a AS k0, n AS l FROM range(2000) g(rep), ob), {binomial_sql("q0", "s0", "r0", "k0", "0/0")},
+    rp_ AS (SELECT (n - k) / CAST(n AS DOUBLE) AS st FROM q0, ob)
+    SELECT {h} AS horizon, {OUT}, r6((SELECT o FROM ob)) AS observed FROM rp_)"""
+
+
+@query("g13_bootstrap_ci", " UNION ALL ".join(_breach_sql(h) for h in (1, 5, 20)))
 def _(s):
-    rows = s.risk_rows().filter("horizon = 5").withColumn("breach", F.col("realized_car") < F.col("pred_var"))
-    b = V.bootstrap_ci(rows, "breach", 200)
-    return b.select(*[r6(x).alias(x) for x in ("boot_mean", "ci_low", "ci_high", "observed")])
+    rows = s.risk_rows().withColumn("breach", F.col("realized_car") < F.col("pred_var"))
+    b = V.bootstrap_ci(rows, "breach", by=["horizon"])
+    return b.select("horizon", *[r6(x).alias(x) for x in ("boot_mean", "ci_low", "ci_high", "observed")])
 
 
 @query("g14_class_accuracy", f"""SELECT event_type, count(*) AS n, r6({ACC}) AS overall, count(*) FILTER (real_dir = '+') AS n_pos, r6(avg(CASE WHEN real_dir = '+' THEN CAST(dir_correct AS INT) END)) AS pos,
@@ -167,7 +182,7 @@ def _(s):
 @query("g15_leakage_bias", f"""WITH {JJ} {_cluster_sql('dx', '', ", 'overall' AS klass")} UNION ALL {_cluster_sql('dx', "WHERE real_dir = '+'", ", 'positive' AS klass")}
   UNION ALL {_cluster_sql('dx', "WHERE real_dir = '-'", ", 'negative' AS klass")}""")
 def _(s):
-    b = V.leakage_bias(s.res(0), s.res(1), 200)
+    b = V.leakage_bias(s.res(0), s.res(1))
     return b.select("klass", *[r6(x).alias(x) for x in CL], "n_clusters")
 
 

@@ -11,7 +11,6 @@ from evq.operators.portfolio import vol_var
 from evq.plans.catalog import query
 
 ORDER = ["event_date", "event_id", "industry_code"]
-DRAW = """CAST({rep} AS BIGINT)"""
 
 
 def rets(s):
@@ -19,7 +18,7 @@ def rets(s):
 
 
 def _ve(s, method):
-    v = R.var_es(rets(s), ["industry_code"], method, 0.05, reps=100)
+    v = R.var_es(rets(s), ["industry_code"], method, 0.05)
     return v.select("industry_code", r6("var").alias("var"), r6("es").alias("es"))
 
 
@@ -37,16 +36,18 @@ def _(s):
     return _ve(s, "historical")
 
 
+def uniform_sql(rep="rep", place="slot"):
+    """Leading 52 bits of the MD5 of replicate and place, as a number in [0, 1)."""
+    return f"(('0x' || substr(md5({rep} || ':' || {place}), 1, 13))::UBIGINT / 4503599627370496.0)"
+
+
 def draw_sql(rep="rep", slot="slot", n="n"):
-    """Resample index as SQL text (BIGINT arithmetic)."""
-    h1 = f"((({rep} + 1) * 7919 + ({slot} + 1) * 104729) % 2147483647)"
-    h2 = f"(({h1} * 48271) % 2147483647)"
-    h3 = f"(({h2} * {h2} + 12345) % 2147483647)"
-    return f"((({h3} * {h3} + 67891) % 2147483647) % {n})"
+    """Resample index as SQL text."""
+    return f"CAST(floor({uniform_sql(rep, slot)} * {n}) AS BIGINT)"
 
 
 @query("i2_var_es_bootstrap", f"""WITH v AS (SELECT industry_code, r, row_number() OVER (PARTITION BY industry_code ORDER BY d) - 1 AS idx, count(*) OVER (PARTITION BY industry_code) AS n FROM ret WHERE r IS NOT NULL),
-  dr AS (SELECT industry_code, rep, {draw_sql()} AS idx FROM (SELECT industry_code, idx AS slot, n, rep FROM v CROSS JOIN range(100) g(rep))),
+  dr AS (SELECT industry_code, rep, {draw_sql()} AS idx FROM (SELECT industry_code, idx AS slot, n, rep FROM v CROSS JOIN range(1000) g(rep))),
   sm AS (SELECT industry_code, rep, r FROM dr JOIN v USING (industry_code, idx)), q AS (SELECT industry_code, rep, quantile_cont(r, 0.05) AS q FROM sm GROUP BY 1, 2),
   e AS (SELECT industry_code, rep, q, avg(r) AS e FROM sm JOIN q USING (industry_code, rep) WHERE r <= q GROUP BY 1, 2, 3)
   SELECT industry_code, r6(avg(q)) AS var, r6(avg(e)) AS es FROM e GROUP BY 1""")
@@ -92,14 +93,14 @@ FORM = """SELECT industry_code, d, sum(mean) AS mu, sqrt(sum(power(abs(upper_95
 @query("i7_event_risk", f"""SELECT industry_code, d, r6(mu - 1.6448536269514722 * sd) AS event_var, r6(mu - sd * {PDF5}) AS cvar, r6(mu - 1.9599639845400545 * sd) AS risk_lo, r6(mu + 1.9599639845400545 * sd) AS risk_hi,
   true AS mdd_in_range FROM ({FORM})""")
 def _(s):
-    e = R.event_risk(s.fc, ["industry_code", "d"], 5, dispersion=F.lit(0.25), n_paths=200)
+    e = R.event_risk(s.fc, ["industry_code", "d"], 5, dispersion=F.lit(0.25))
     return e.select("industry_code", "d", *[r6(c).alias(c) for c in ("event_var", "cvar", "risk_lo", "risk_hi")],
                     F.col("expected_mdd").between(0, 1).alias("mdd_in_range"))
 
 
 @query("i7_event_risk_simulated")
 def _(s):
-    return R.event_risk(s.fc, ["industry_code", "d"], 5, dispersion=F.lit(0.25), n_paths=200).select(
+    return R.event_risk(s.fc, ["industry_code", "d"], 5, dispersion=F.lit(0.25)).select(
         "industry_code", "d", r6("expected_mdd").alias("expected_mdd"), r6("prob_breach").alias("prob_breach"), r6("tail_prob").alias("tail_prob"))
 
 

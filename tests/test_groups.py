@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evq.functions.ordered import exact_quantiles, ordered_lag, ordered_rank
-from evq.functions.resample import draws, resample_classes
+from evq.functions import resample
+from evq.functions.resample import binomial_quantiles, draw, multinomial_sums
 from evq.operators import metrics as M
 from evq.operators import models as L
 from evq.operators import portfolio as P
@@ -42,13 +43,48 @@ def test_exact_quantiles(skewed):
         np.testing.assert_allclose(got[n].sort_index(), pdf.groupby("g")["v"].quantile(q).sort_index(), atol=1e-12)
 
 
-def test_resample_classes_equals_rows(spark):
-    values = np.sort(np.array([-1.0] * 7 + [0.0] * 20 + [1.0] * 11))
-    counts = spark.createDataFrame([(-1.0, 7), (0.0, 20), (1.0, 11)], "v double, n long")
-    got = resample_classes(counts, ["v"], 25).toPandas().set_index("rep")["v"].sort_index()
-    idx = draws(spark, len(values), 25).toPandas()
-    want = pd.Series(values[idx["idx"]]).groupby(idx["rep"]).sum()
-    np.testing.assert_allclose(got, want)
+@pytest.mark.parametrize(("n", "reps"), [(7, 4000), (300, 4000), (20_000, 4000), (30_000_000, 150)])
+def test_replicate_means_have_the_right_spread(spark, n, reps):
+    """Variance and interval width of replicate means against theory, for any n at equal cost."""
+    p = (0.2, 0.5, 0.3)
+    k = [round(n * x) for x in p[:2]]
+    counts = spark.createDataFrame([(-1.0, k[0]), (0.0, k[1]), (1.0, n - sum(k))], "v double, n long")
+    r = multinomial_sums(counts, ["v"], reps).toPandas()
+    assert (r["n"] == n).all() and r["rep"].nunique() == reps
+    m = (n - sum(k) - k[0]) / n
+    var = ((n - k[1]) / n - m * m) / n
+    means = r["v"] / n
+    assert abs(means.var() / var - 1) < 5 * (2 / reps) ** 0.5 and abs(means.mean() - m) < 5 * (var / reps) ** 0.5
+    if n == 20_000:
+        assert abs((means.quantile(0.975) - means.quantile(0.025)) / (2 * 1.96 * var**0.5) - 1) < 0.05
+
+
+def test_continuous_values_in_chunks(spark, monkeypatch):
+    """Distinct values over many chunks and a group column; the totals are those of n draws."""
+    monkeypatch.setattr(resample, "CHUNK", 64)
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"g": np.repeat(["a", "b"], [500, 37]), "v": rng.normal(size=537), "n": 1})
+    r = multinomial_sums(spark.createDataFrame(pdf), ["v"], 600, ["g"]).toPandas()
+    for g, x in pdf.groupby("g")["v"]:
+        means = r[r.g == g]["v"] / len(x)
+        assert (r[r.g == g]["n"] == len(x)).all() and len(means) == 600
+        assert abs(means.std() / (x.std(ddof=0) / len(x) ** 0.5) - 1) < 0.1
+
+
+def test_binomial_quantiles():
+    u = np.array([0.0, 1e-9, 0.3, 0.5, 0.999])
+    for n, p in ((1, 0.5), (10, 0.3), (40, 0.9), (500, 0.01)):
+        cdf = np.cumsum([math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+        assert (binomial_quantiles(np.full(5, n), p, u) == np.minimum(np.searchsorted(cdf, u), n)).all()
+    assert (binomial_quantiles(np.full(5, 9), 0.0, u) == 0).all() and (binomial_quantiles(np.full(5, 9), 1.0, u) == 9).all()
+
+
+def test_draws_are_uniform_and_unrelated(spark):
+    d = spark.range(200000).select((F.col("id") % 400).alias("r"), F.floor(F.col("id") / 400).alias("s")).select("r", "s", draw(F.col("r"), F.col("s"), F.lit(10)).alias("i")).toPandas()
+    assert abs(d["i"].value_counts(normalize=True) - 0.1).max() < 0.004
+    table = d.pivot(index="s", columns="r", values="i").to_numpy(dtype=float)
+    c = np.corrcoef(table.T)
+    assert np.abs(c[np.triu_indices(400, 1)]).max() < 0.25
 
 
 def test_kupiec_accepts_and_rejects(spark):
