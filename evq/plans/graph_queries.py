@@ -91,12 +91,25 @@ def _(s):
     return G.validate_edges(e, v, ["seq"]).select("seq", r6("confidence").alias("confidence"))
 
 
-@query("k9_pagerank")
+RANK = """WITH RECURSIVE e AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM (SELECT src, dst, sum(weight) AS w FROM kg_edges WHERE weight > 0 GROUP BY 1, 2)),
+  n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), v AS (SELECT node, {start} AS v FROM n),
+  f(node, m, h) AS (SELECT node, v, 0 FROM v WHERE v > 0 UNION ALL SELECT dst, sum(0.85::DOUBLE * m * p), h + 1 FROM f JOIN e ON src = node GROUP BY dst, h), y AS (SELECT node, sum(m) AS y FROM f GROUP BY 1)
+  SELECT node, r6(1000 * coalesce(y, 0) / (SELECT sum(y) FROM y)) AS rank_k FROM n LEFT JOIN y USING (node)"""
+
+
+@query("k9_pagerank", RANK.format(start="1.0::DOUBLE / (SELECT count(*) FROM n)"))
 def _(s):
     e = s.kg_edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "weight")
     return G.pagerank(e).select("node", r6(F.col("rank") * 1000).alias("rank_k"))
 
 
+@query("k9_pagerank_personalised", RANK.format(start="CASE node WHEN 's:1' THEN 0.75::DOUBLE WHEN 's:2' THEN 0.25::DOUBLE ELSE 0 END"))
+def _(s):
+    e = s.kg_edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "weight")
+    start = s.kg_nodes.filter("node in ('s:1', 's:2')").select("node", F.when(F.col("node") == "s:1", 3.0).otherwise(1.0).alias("value"))
+    return G.pagerank(e, start).select("node", r6(F.col("rank") * 1000).alias("rank_k"))
+
+
 @query("k9_pagerank_decayed")
 def _(s):
     t = F.lit("2024-02-01").cast("date")
@@ -105,11 +118,11 @@ def _(s):
 
 
 @query("k10_causal_paths", """WITH RECURSIVE e AS (SELECT src, dst, greatest(1e-6, 1 - least(weight * confidence, 0.999)) AS c, confidence AS f FROM kg_edges),
-  p(nodes, node, cost, conf, h) AS (SELECT 's:1', 's:1', 0.0::DOUBLE, 1.0::DOUBLE, 0 UNION ALL SELECT nodes || '>' || dst, dst, cost + c, conf * f, h + 1 FROM p JOIN e ON src = node WHERE h < 3)
+  p(nodes, node, cost, conf, h) AS (SELECT 's:1', 's:1', 0.0::DOUBLE, 1.0::DOUBLE, 0 UNION ALL SELECT nodes || '>' || dst, dst, cost + c, conf * f, h + 1 FROM p JOIN e ON src = node WHERE node <> 'a:7' AND NOT list_contains(string_split(nodes, '>'), dst))
   SELECT CAST(row_number() OVER (ORDER BY round(cost, 9), nodes) AS INT) AS rank, nodes, r6(cost) AS cost, r6(conf) AS confidence FROM p WHERE node = 'a:7' QUALIFY rank <= 5""")
 def _(s):
     e = s.kg_edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), (F.col("weight") * F.col("confidence")).alias("w"), "confidence")
-    p = G.causal_paths(e, "s:1", "a:7", 5, 3)
+    p = G.causal_paths(e, "s:1", "a:7", 5)
     return p.select("rank", F.concat_ws(">", "nodes").alias("nodes"), r6("cost").alias("cost"), r6("confidence").alias("confidence"))
 
 

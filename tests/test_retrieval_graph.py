@@ -70,7 +70,7 @@ def test_pagerank_matches_power_iteration(spark, personal):
 
 def test_causal_path_and_cycle(spark):
     e = spark.createDataFrame([("event", "bank", 0.81, 0.9), ("bank", "market", 0.64, 0.8), ("event", "x", 0.1, 0.1)], "source string, target string, w double, confidence double")
-    p = G.causal_paths(e, "event", "market", 3, 3).collect()
+    p = G.causal_paths(e, "event", "market", 3).collect()
     assert len(p) == 1 and p[0].nodes == ["event", "bank", "market"] and abs(p[0].confidence - 0.72) < 1e-9
     assert not G.has_cycle(e) and G.has_cycle(e.unionByName(spark.createDataFrame([("market", "event", 1.0, 1.0)], e.schema)))
 
@@ -176,3 +176,38 @@ def test_registry_and_sample_oracles(spark):
         got, want = canon(qs[n](spark, d).toPandas()), canon(con.execute(sqls[n]).fetchdf())
         assert got.equals(want), n
     assert entry.entry(spark).count() > 0
+
+
+def test_propagation_goes_on_to_the_last_level(spark):
+    """Forty levels of undiminished impact; then a loop that must end."""
+    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(41)], "node string, rank int")
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0, 1.0, None, None) for i in range(40)] + [("n40", "n40", 1.0, 1.0, None, None)],
+                                  "src string, dst string, weight double, confidence double, ttl_days double, created_at date")
+    got = {r.node: r.level for r in G.propagate(nodes, edges, nodes.filter("node = 'n0'").select("node"), F.lit("2024-01-01").cast("date")).collect()}
+    assert got == {f"n{i}": i for i in range(41)}
+
+
+def test_cycles_in_deep_graphs(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(3000)]
+    frame = lambda rows: spark.createDataFrame(rows, "source string, target string")
+    assert not G.has_cycle(frame(chain + [("c5", "c900"), ("x", "c7")]))
+    assert G.has_cycle(frame(chain + [("c3000", "c0")]))
+    assert G.has_cycle(frame([("a", "b"), ("b", "b")])) and G.has_cycle(frame([("a", "b"), ("b", "a")])) and not G.has_cycle(frame([("a", "b"), ("a", "c"), ("c", "b")]))
+
+
+def test_cheapest_path_may_be_the_longest(spark):
+    """Eight cheap edges beat one dear edge; edges and the evidence union come along and feed the counterfactual."""
+    rows = [(f"p{i}", f"p{i + 1}", 0.99, 0.9, [f"d{i}", "d0"]) for i in range(8)] + [("p0", "p8", 0.2, 0.9, ["z"]), ("p2", "p0", 0.9, 0.9, ["y"]), ("q", "p3", 0.9, 0.9, ["w"])]
+    e = spark.createDataFrame(rows, "source string, target string, w double, confidence double, evidence_ids array<string>")
+    got = G.causal_paths(e, "p0", "p8", 2)
+    a, b = got.orderBy("rank").collect()
+    assert a.hops == 8 and a.nodes == [f"p{i}" for i in range(9)] and a.evidence_ids == sorted({f"d{i}" for i in range(8)}) and [x.source for x in a.edges] == a.nodes[:-1]
+    assert b.nodes == ["p0", "p8"] and b.evidence_ids == ["z"]
+    flipped = G.flip_first_edge(got).filter("rank = 1").first().edges
+    assert [x.relation for x in flipped] == ["contradicts"] + ["affects"] * 7
+
+
+def test_pagerank_reports_failure(spark):
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0)], "source string, target string, weight double")
+    with pytest.raises(ArithmeticError):
+        G.pagerank(e, tol=1e-12, rounds=3)
