@@ -1,4 +1,4 @@
-"""Broadcast hints behind a row count, and spreading of small scans."""
+"""Broadcast hints behind a measured size in bytes."""
 
 from __future__ import annotations
 
@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from evq.functions.lineage import cut
 
-MAX_ROWS = 500_000
+MAX_BYTES = 48 << 20
 
 
-def small(df: DataFrame, counted: DataFrame | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Hint a broadcast when `counted` (default: the table itself) holds at most max_rows rows.
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the rows as JSON text, which no type's binary form exceeds by much; a distributed sum."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})))).first()[0] or 0
 
-    `counted` must bound the table's row count and be cheap to evaluate. A larger table is
-    returned without hint and joins by shuffle.
+
+def small(df: DataFrame, counted: DataFrame | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Hint a broadcast when `counted` (default: the table itself) holds at most max_bytes.
+
+    `counted` must bound the table's size and be materialised (a checkpoint or written table), so
+    that measuring reads it and computes nothing twice. A larger table is returned without hint
+    and joins by shuffle.
     """
-    n = (df if counted is None else counted).limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if written_bytes(df if counted is None else counted) <= max_bytes else df
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -27,12 +32,3 @@ def settled(df: DataFrame) -> DataFrame:
     size both sides would be exchanged before the small one turns out to be small.
     """
     return small(cut(df))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan that has fewer splits than cores before heavy per-row work.
-
-    A large table has more splits than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evq.functions.lineage import cut
-from evq.functions.sizing import small, spread
+from evq.functions.sizing import small
 from evq.functions.windows import asof_join, past_totals
 from evq.operators.asof import visible_from
 
@@ -35,14 +35,14 @@ def postings(docs: DataFrame, keep: DataFrame | None = None, carry: Sequence[str
     (query, document) reuse that layout without another shuffle. With `marker` every
     document also has one row with an empty token, which carries its length.
     """
-    toks = spread(docs.select("doc_id", *carry, "text")).select("doc_id", *carry, tokens(F.col("text")).alias("_t"))
+    toks = docs.select("doc_id", *carry, tokens(F.col("text")).alias("_t"))
     if marker:
         rows = toks.select("doc_id", *carry, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("token"))
         keep = keep.select("token").union(keep.sparkSession.createDataFrame([("",)], "token string"))
     else:
         rows = toks.select("doc_id", *carry, F.size("_t").alias("dl"), F.explode("_t").alias("token"))
     if keep is not None:
-        rows = rows.join(small(keep.select("token").distinct(), keep), "token", "left_semi").repartition("doc_id")
+        rows = rows.join(small(cut(keep.select("token").distinct())), "token", "left_semi").repartition("doc_id")
     return rows.groupBy("doc_id", *carry, "dl", "token").agg(F.count("*").alias("tf"))
 
 
@@ -73,39 +73,103 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 over the documents visible at each query's date, statistics included."""
-    qtok = query_tokens(queries)
+    qtok = cut(query_tokens(queries))
     posts = cut(postings(docs.withColumn("vf", visible_from()), qtok, ["vf"], marker=True))
     stats = bm25_stats(qtok, posts)
-    j = posts.join(small(stats, qtok), "token").filter(F.col("vf") <= F.col("as_of"))
+    j = posts.join(small(cut(stats)), "token").filter(F.col("vf") <= F.col("as_of"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1e-8))))
     scored = j.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
     return top_k(scored, k)
 
 
-def tfidf_topk(queries: DataFrame, docs: DataFrame, k: int, n_terms: int = 512) -> DataFrame:
-    """Cosine over the n_terms most frequent tokens with smoothed idf; documents visible at the query's date."""
-    n = docs.agg(F.count("*")).scalar()
-    toks = spread(docs.select("text")).select(tokens(F.col("text")).alias("_t"))
-    seen = toks.select(F.explode(F.concat(F.transform("_t", lambda t: F.struct(t.alias("token"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
-                                          F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("c"), F.lit(1).alias("d"))))).alias("x"))
-    # the limit bounds the vocabulary, so cutting it gives a table of at most n_terms rows
-    vocab = cut(seen.groupBy("x.token").agg(F.sum("x.c").alias("ctf"), F.sum("x.d").alias("df")).orderBy(F.desc("ctf"), "token").limit(n_terms).select("token", "df"))
-    posts = postings(docs.withColumn("vf", visible_from()), vocab, ["vf"])
-    vocab = small(vocab)
-    idf = F.ln((1 + n) / (1 + F.col("df"))) + 1
-    dw = posts.join(vocab, "token").withColumn("w", F.col("tf") * idf)
-    dnorm = dw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    qw = query_tokens(queries).join(vocab, "token").withColumn("qw", F.col("qtf") * idf)
-    qnorm = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    qside = small(qw.select("query_id", "as_of", "token", "qw"))
-    j = dw.select("doc_id", "vf", "token", "w").join(qside, "token").filter(F.col("vf") <= F.col("as_of"))
-    dot = j.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot")).join(dnorm, "doc_id").join(qnorm, "query_id")
-    return top_k(dot.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9).alias("score")), k)
+def tfidf_vocabulary(queries: DataFrame, docs: DataFrame, n_terms: int = 512) -> DataFrame:
+    """(as_of, token, df, n): the n_terms most frequent tokens among the documents visible at each query date, their document counts and the number of documents.
+
+    Counts are summed per (token, first query date that sees them) and run forward over the query
+    dates; ranks are limited on the map side, so at most n_terms rows a date meet.
+    """
+    dates = cut(queries.select("as_of").distinct())
+    seen = docs.withColumn("vf", visible_from()).filter("vf is not null").select("vf", tokens(F.col("text")).alias("_t"))
+    # the calendar of query dates is one small row
+    cal = dates.agg(F.sort_array(F.collect_set("as_of")).alias("_days"))
+    first = seen.join(F.broadcast(cal)).select(F.expr("get(filter(_days, d -> d >= vf), 0)").alias("_day"), "_days", "_t").filter("_day is not null")
+    both = F.explode(F.concat(F.transform("_t", lambda t: F.struct(t.alias("token"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
+                              F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("c"), F.lit(1).alias("d"))))).alias("x")
+    added = first.select("_day", both).groupBy("x.token", "_day").agg(F.sum("x.c").alias("c"), F.sum("x.d").alias("d"))
+    steps = added.groupBy("token").agg(F.collect_list(F.struct("_day", "c", "d")).alias("_s")).join(F.broadcast(cal))
+    later = steps.select("token", "_s", F.explode("_days").alias("as_of")).withColumn("_s", F.expr("filter(_s, s -> s._day <= as_of)")).filter(F.size("_s") > 0)
+    run = later.select("as_of", "token", F.expr("aggregate(_s, 0L, (a, s) -> a + s.c)").alias("ctf"), F.expr("aggregate(_s, 0L, (a, s) -> a + s.d)").alias("df"))
+    top = run.withColumn("_r", F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc("ctf"), "token"))).filter(F.col("_r") <= n_terms).select("as_of", "token", "df")
+    sizes = first.groupBy("_day").agg(F.count("*").alias("_k"))
+    n = dates.join(F.broadcast(cut(sizes)), F.col("_day") <= F.col("as_of"), "left").groupBy("as_of").agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("n"))
+    return top.join(F.broadcast(n), "as_of")
+
+
+def tfidf_topk(queries: DataFrame, docs: DataFrame, k: int, n_terms: int = 512, max_queries: int = 2048) -> DataFrame:
+    """Cosine over the n_terms most frequent tokens with smoothed idf, all statistics as of the query's date.
+
+    Queries go in blocks of about max_queries by key hash; a block's weights are one matrix over its
+    vocabulary. Each block scans the documents once: token counts of a batch times the matrix give
+    all products, and their squares times the squared idf of each date the norms.
+    """
+    spark = docs.sparkSession
+    vocab = cut(tfidf_vocabulary(queries, docs, n_terms))
+    qtok = cut(query_tokens(queries))
+    blocks = max(1, -(-queries.count() // max_queries))
+    qtype, dtype = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
+    rows = docs.withColumn("vf", visible_from()).filter("vf is not null").select("doc_id", "vf", tokens(F.col("text")).alias("t"))
+    out = None
+    for i in range(blocks):
+        mine = qtok.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        q = mine.join(vocab.select("as_of", "token"), ["as_of", "token"]).toPandas()
+        if not len(q):
+            continue
+        v = vocab.join(mine.select("as_of").distinct(), "as_of", "left_semi").toPandas()
+        words, days = {t: j for j, t in enumerate(sorted(set(v["token"])))}, {d: j for j, d in enumerate(sorted(set(v["as_of"])))}
+        idf = np.zeros((len(days), len(words)))
+        idf[v["as_of"].map(days), v["token"].map(words)] = np.log((1 + v["n"]) / (1 + v["df"])) + 1
+        ids = sorted(set(q["query_id"]))
+        at = q["query_id"].map({x: j for j, x in enumerate(ids)}).to_numpy()
+        day = np.zeros(len(ids), dtype=int)
+        day[at] = q["as_of"].map(days)
+        w = np.zeros((len(ids), len(words)))
+        w[at, q["token"].map(words)] = q["qtf"].to_numpy() * idf[day[at], q["token"].map(words)]
+        w /= np.linalg.norm(w, axis=1, keepdims=True)
+        limits = np.array(sorted(days), dtype="datetime64[D]")[day]
+        shared = spark.sparkContext.broadcast((words, ids, day, limits, w * idf[day], idf**2))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            words, ids, day, limits, weights, squares = shared.value
+            best_s, best_d = None, None
+            for b in batches:
+                for lo in range(0, len(b), 1024):
+                    part = b.iloc[lo:lo + 1024]
+                    tf = np.zeros((len(part), len(words)))
+                    for r, t in enumerate(part["t"]):
+                        hit = [words[x] for x in t if x in words]
+                        np.add.at(tf[r], hit, 1.0)
+                    s, norm = weights @ tf.T, np.sqrt(squares @ (tf**2).T)[day]
+                    seen = (part["vf"].to_numpy(dtype="datetime64[D]")[None, :] <= limits[:, None]) & (s > 0)
+                    s = np.where(seen, np.round(s / np.where(norm > 0, norm, 1), 9), -1.0)
+                    d = np.broadcast_to(part["doc_id"].to_numpy(), s.shape)
+                    if best_s is not None:
+                        s, d = np.hstack([best_s, s]), np.hstack([best_d, d])
+                    order = np.lexsort((d, -s), axis=1)[:, :k]
+                    best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+            if best_s is not None:
+                keep = best_s.ravel() >= 0
+                yield pd.DataFrame({"query_id": np.repeat(np.array(ids), best_s.shape[1])[keep], "doc_id": best_d.ravel()[keep], "score": best_s.ravel()[keep]})
+
+        part = rows.mapInPandas(scan, f"query_id {qtype}, doc_id {dtype}, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], f"query_id {qtype}, doc_id {dtype}, score double")
+    return top_k(out, k)
 
 
 def vector_topk(queries: DataFrame, docs: DataFrame, k: int, max_queries: int = 4096) -> DataFrame:
-    """Exact inner-product search of L2-normalised vectors.
+    """Exact inner-product search of L2-normalised vectors; with `as_of` on queries and `vf` on docs, of visible documents only.
 
     Queries (query_id, vec) travel as one matrix whose row count is checked; a larger
     query table is cut into blocks of about that size by key hash and each block scans the
@@ -115,19 +179,21 @@ def vector_topk(queries: DataFrame, docs: DataFrame, k: int, max_queries: int =
     spark = docs.sparkSession
     total = queries.count()
     blocks = max(1, -(-total // max_queries))
-    numbered = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
+    dated = "as_of" in queries.columns and "vf" in docs.columns
+    numbered = queries.select("query_id", "vec", *(["as_of"] if dated else []), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
     qtype, dtype = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
+    rows = docs.filter("vf is not null").select("doc_id", "vec", "vf") if dated else docs.select("doc_id", "vec")
     out = None
     for i in range(blocks):
-        pdf = numbered.filter(F.col("_b") == i).select("query_id", "vec").toPandas()
+        pdf = numbered.filter(F.col("_b") == i).drop("_b").toPandas()
         if not len(pdf):
             continue
         q = np.asarray(pdf["vec"].tolist(), dtype=float)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        shared = spark.sparkContext.broadcast((pdf["query_id"].tolist(), q))
+        shared = spark.sparkContext.broadcast((pdf["query_id"].tolist(), q, pdf["as_of"].to_numpy(dtype="datetime64[D]") if dated else None))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, qm = shared.value
+            ids, qm, days = shared.value
             best_s, best_d = None, None
             for b in batches:
                 if not len(b):
@@ -135,16 +201,22 @@ def vector_topk(queries: DataFrame, docs: DataFrame, k: int, max_queries: int =
                 m = np.asarray(b["vec"].tolist(), dtype=float)
                 m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
                 s = np.round(qm @ m.T, 9)
+                if days is not None:
+                    s = np.where(b["vf"].to_numpy(dtype="datetime64[D]")[None, :] <= days[:, None], s, -np.inf)
+                # only scores that reach the k-th best so far are sorted
+                if best_s is not None and best_s.shape[1] == k:
+                    reach = (s >= best_s[:, -1:]).any(axis=0)
+                    s, b = s[:, reach], b[reach]
                 d = np.broadcast_to(b["doc_id"].to_numpy(), s.shape)
                 if best_s is not None:
                     s, d = np.hstack([best_s, s]), np.hstack([best_d, d])
                 order = np.lexsort((d, -s), axis=1)[:, :k]
                 best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
             if best_s is not None:
-                width = best_s.shape[1]
-                yield pd.DataFrame({"query_id": np.repeat(ids, width), "doc_id": best_d.ravel(), "score": best_s.ravel()})
+                keep = np.isfinite(best_s.ravel())
+                yield pd.DataFrame({"query_id": np.repeat(np.array(ids), best_s.shape[1])[keep], "doc_id": best_d.ravel()[keep], "score": best_s.ravel()[keep]})
 
-        part = docs.select("doc_id", "vec").mapInPandas(scan, f"query_id {qtype}, doc_id {dtype}, score double")
+        part = rows.mapInPandas(scan, f"query_id {qtype}, doc_id {dtype}, score double")
         out = part if out is None else out.unionByName(part)
     return top_k(out, k)
 
@@ -174,10 +246,10 @@ def decay_rerank(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int,
     return top_k(j.withColumn("score", F.round(F.col("score") * F.exp(-age / days), 15)).drop("as_of", "pub_date"), k)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, k: int = 8, days: float = 30.0) -> DataFrame:
-    """Visible documents, sparse and TF-IDF lists of 2k, fused, decayed, cut to k."""
-    fused = rrf([bm25_topk(queries, docs, 2 * k), tfidf_topk(queries, docs, 2 * k)])
-    return decay_rerank(fused, queries, docs, k, days)
+def retrieve(queries: DataFrame, docs: DataFrame, k: int = 8, days: float = 30.0, dense: DataFrame | None = None, weights: Sequence[float] | None = None) -> DataFrame:
+    """Visible documents: BM25, TF-IDF and, if given, dense lists (query_id, doc_id, rank) of 2k, fused, decayed, cut to k."""
+    lists = [bm25_topk(queries, docs, 2 * k), tfidf_topk(queries, docs, 2 * k), *([dense] if dense is not None else [])]
+    return decay_rerank(rrf(lists, weights), queries, docs, k, days)
 
 
 def packages(hits: DataFrame, docs: DataFrame) -> DataFrame:
@@ -188,13 +260,13 @@ def packages(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def retrieval_truth(events: DataFrame, docs: DataFrame) -> DataFrame:
-    """Documents tied to the event's date and published by the next day, per event.
+    """Documents tied to an event date and published by the next day, as rows (event_date, as_of, doc_id).
 
-    Lists are built once per date, then joined to the events of that date.
+    Rows belong to the date; events of a date share them by a join on it and no list is copied.
     """
-    ok = F.col("pub_date") <= F.date_add("event_date", 1)
-    by_date = docs.filter(ok).groupBy("event_date").agg(F.sort_array(F.collect_set("doc_id")).alias("relevant"))
-    return events.join(by_date, "event_date").withColumn("as_of", F.date_add("event_date", 1))
+    dates = events.select("event_date").distinct()
+    tied = docs.filter(F.col("pub_date") <= F.date_add("event_date", 1)).select("event_date", "doc_id").distinct()
+    return tied.join(dates, "event_date", "left_semi").select("event_date", F.date_add("event_date", 1).alias("as_of"), "doc_id")
 
 
 def retrieval_quality(hits: DataFrame, truth: DataFrame, leaked: DataFrame | None = None) -> DataFrame:

@@ -16,10 +16,12 @@ STAT = """dfq AS (SELECT query_id, token, count(*) AS df FROM qt JOIN dt USING (
   nn AS (SELECT query_id, count(*) AS n, avg(len(t)) AS avgdl FROM qry JOIN tk ON vf <= as_of GROUP BY 1)"""
 BM = """bm0 AS (SELECT query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM qt JOIN dfq USING (query_id, token) JOIN nn USING (query_id) JOIN dt USING (token) WHERE vf <= as_of GROUP BY 1, 2),
   bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm0)"""
-TI = """vo AS (SELECT token, count(*) AS df FROM dt GROUP BY 1 ORDER BY sum(tf) DESC, token LIMIT 512), dn0 AS (SELECT doc_id, vf, token, tf * (ln((1 + (SELECT count(*) FROM docs)) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM dt JOIN vo USING (token)),
-  dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dn FROM dn0 GROUP BY 1), qw AS (SELECT query_id, as_of, token, qtf * (ln((1 + (SELECT count(*) FROM docs)) / CAST(1 + df AS DOUBLE)) + 1) AS qw FROM qt JOIN vo USING (token)),
+TI = """qd AS (SELECT DISTINCT as_of FROM qry), nv AS (SELECT as_of, count(*) AS n FROM qd JOIN tk ON vf <= as_of GROUP BY 1),
+  vo AS (SELECT as_of, token, count(*) AS df, any_value(nv.n) AS n FROM qd JOIN nv USING (as_of) JOIN dt ON vf <= as_of GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY as_of ORDER BY sum(tf) DESC, token) <= 512),
+  vi AS (SELECT as_of, token, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM vo), dn0 AS (SELECT as_of, doc_id, token, tf * idf AS w FROM dt JOIN vi USING (token) WHERE vf <= as_of),
+  dn AS (SELECT as_of, doc_id, sqrt(sum(w * w)) AS dn FROM dn0 GROUP BY 1, 2), qw AS (SELECT query_id, as_of, token, qtf * idf AS qw FROM qt JOIN vi USING (as_of, token)),
   qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY 1),
-  ti0 AS (SELECT query_id, doc_id, round(sum(w * qw) / (any_value(dn) * any_value(qn)), 9) AS score FROM qw JOIN dn0 USING (token) JOIN dn USING (doc_id) JOIN qn USING (query_id) WHERE vf <= as_of GROUP BY 1, 2),
+  ti0 AS (SELECT query_id, doc_id, round(sum(w * qw) / (any_value(dn) * any_value(qn)), 9) AS score FROM qw JOIN dn0 USING (as_of, token) JOIN dn USING (as_of, doc_id) JOIN qn USING (query_id) GROUP BY 1, 2),
   ti AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ti0)"""
 RRF = """rr AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM bm WHERE rank <= {k} UNION ALL SELECT query_id, doc_id, rank FROM ti WHERE rank <= {k}) GROUP BY 1, 2)"""
 DEC = """de0 AS (SELECT query_id, doc_id, round(score * exp(-greatest(as_of - pub_date, 0) / 30.0::DOUBLE), 15) AS score FROM rr JOIN qry USING (query_id) JOIN docs USING (doc_id)),
@@ -69,6 +71,17 @@ def _(s):
     return hits(vectors(s, 20))
 
 
+VDATE = "date_add(DATE '1995-01-01', CAST({} * 37 % 2400 AS INT))"
+
+
+@query("j5_vector_topk_visible", f"""WITH {VEC}, s AS (SELECT query_id, doc_id, score FROM vs WHERE DATE '1995-01-01' + CAST(doc_id * 37 % 2400 AS INT) <= DATE '1996-01-01' + CAST(query_id * 53 % 1000 AS INT)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, {HIT} FROM r WHERE rank <= 20""")
+def _(s):
+    v = s.t("embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("vec"), F.expr(VDATE.format("vec_id")).alias("vf"))
+    q = R.centroids(v).withColumn("as_of", F.expr("date_add(DATE '1996-01-01', CAST(query_id * 53 % 1000 AS INT))"))
+    return hits(R.vector_topk(q, v, 20))
+
+
 @query("j6_rrf", f"WITH {TOK}, {QT}, {STAT}, {BM}, {TI}, {RRF.format(k=10)} SELECT query_id, doc_id, r6(score) AS score FROM rr")
 def _(s):
     return R.rrf([R.bm25_topk(s.qry, s.docs, 10), R.tfidf_topk(s.qry, s.docs, 10)]).select("query_id", "doc_id", r6("score").alias("score"))
@@ -92,14 +105,13 @@ def _(s):
     return p.select("query_id", F.array_join(F.transform("chunks", lambda c: c["doc_id"].cast("string")), ",").alias("doc_ids"), "tokens_est")
 
 
-TRUTH = """td AS (SELECT doc_id, pub_date - CAST(doc_id % 3 AS INT) AS event_date FROM docs WHERE pub_date IS NOT NULL), tr AS (SELECT td.event_date, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS relevant FROM td JOIN docs USING (doc_id) WHERE pub_date <= event_date + 1 GROUP BY 1)"""
+TRUTH = """td AS (SELECT doc_id, pub_date - CAST(doc_id % 3 AS INT) AS event_date FROM docs WHERE pub_date IS NOT NULL), tr AS (SELECT td.event_date, doc_id FROM td JOIN docs USING (doc_id) WHERE pub_date <= event_date + 1)"""
 
 
-@query("j10_retrieval_truth", f"WITH {TRUTH} SELECT event_id, event_date, event_date + 1 AS as_of, relevant FROM ev JOIN tr USING (event_date)")
+@query("j10_retrieval_truth", f"WITH {TRUTH} SELECT event_date, event_date + 1 AS as_of, doc_id FROM tr WHERE event_date IN (SELECT event_date FROM ev)")
 def _(s):
     d = s.docs.withColumn("event_date", F.date_sub("pub_date", (F.col("doc_id") % 3).cast("int")))
-    t = R.retrieval_truth(s.ev, d)
-    return t.select("event_id", "event_date", "as_of", F.array_join(F.transform("relevant", lambda x: x.cast("string")), ",").alias("relevant"))
+    return R.retrieval_truth(s.ev, d)
 
 
 @query("j11_retrieval_quality", f"""WITH {VEC}, h AS (SELECT query_id, doc_id, rank, label = query_id AS ok FROM vt JOIN (SELECT vec_id AS doc_id, label FROM embeddings) USING (doc_id) WHERE rank <= 20),

@@ -41,6 +41,22 @@ def test_bm25_sees_only_the_past(spark):
     assert abs(got[(1, 1)] - 2 * idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 3 / 2.5))) < 1e-8
 
 
+def test_future_documents_change_no_hit(spark):
+    """Cutting the corpus at the query's date leaves TF-IDF and hybrid hits as they are; small query blocks too."""
+    rng = np.random.default_rng(9)
+    words = ["rate", "cut", "bank", "oil", "war", "tax", "chip", "rice"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(2, 12))), D(2020, 1, 1) + dt.timedelta(days=int(rng.integers(0, 60))), None) for i in range(80)]
+    kinds = "doc_id long, text string, pub_date date, valid_from date"
+    q = spark.createDataFrame([(1, "rate cut war", D(2020, 1, 20)), (2, "bank oil", D(2020, 2, 10))], "query_id long, text string, as_of date")
+    whole = spark.createDataFrame(rows, kinds)
+    for run in (lambda a, d: J.tfidf_topk(a, d, 6, n_terms=4), lambda a, d: J.tfidf_topk(a, d, 6, n_terms=4, max_queries=1), lambda a, d: J.retrieve(a, d, 5)):
+        for i, day in ((1, D(2020, 1, 20)), (2, D(2020, 2, 10))):
+            one = q.filter(F.col("query_id") == i)
+            past = spark.createDataFrame([r for r in rows if r[2] < day], kinds)
+            key = lambda d: sorted((r.rank, r.doc_id, round(r.score, 9)) for r in d.collect())
+            assert key(run(q, whole).filter(F.col("query_id") == i)) == key(run(one, past))
+
+
 def _pagerank(edges, n, pers=None):
     m = np.zeros((n, n))
     for a, b, w in edges:
