@@ -61,11 +61,10 @@ def asof_join(
     marks = left.select(*by, "_t", F.lit(1 if fact_first else 0).alias("_k"), F.lit(None).cast(
         facts.select(state.alias("s")).schema["s"].dataType).alias("_s"))
     rows = facts.select(*by, F.col(fact_on).alias("_t"), F.lit(0 if fact_first else 1).alias("_k"), state.alias("_s"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_t", "_k")
-    if back:
-        filled = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        filled = F.first("_s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # a running last in either direction is linear
+    order = ["_t", "_k"] if back else [F.desc("_t"), F.desc("_k")]
+    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order)
+    filled = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     both = marks.withColumn("_m", F.lit(True)).unionByName(rows.withColumn("_m", F.lit(False)))
     found = (
         both.withColumn("_f", filled).filter("_m")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +68,39 @@ def share_below(values: Column, current: Column) -> Column:
     return F.when(F.size(values) > 0, F.size(F.filter(values, lambda x: x < current)) / F.size(values))
 
 
+def running_percentiles(rows: DataFrame, by: Sequence[str], on: str, columns: dict[str, str]) -> DataFrame:
+    """For each {value: name}, the share of the values so far that lie strictly below the latest one.
+
+    A series is bounded by its calendar; its values are kept sorted as they come, so a row costs a
+    binary search and no array per row is built.
+    """
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(on)
+        for value, name in columns.items():
+            seen, last, out = [], None, []
+            for v in pdf[value].tolist():
+                if v is not None and v == v:
+                    insort(seen, v)
+                    last = v
+                out.append(bisect_left(seen, last) / len(seen) if seen else None)
+            pdf[name] = pd.Series(out, index=pdf.index, dtype="float64")
+        return pdf
+
+    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"`{n}` double" for n in columns.values())])
+    return rows.groupBy(*by).applyInPandas(run, kinds)
+
+
 def valuation_state(val: DataFrame, min_rows: int = 60) -> DataFrame:
     """Percentile of the current PE and PB within the industry's history, per panel row."""
     rows = val.filter("pe_ttm is not null")
     w = Window.partitionBy(*IND).orderBy("d")
     run = trailing(IND, "d", None)
-    base = rows.select(
-        "industry_code", "d", "pe_ttm", F.count("*").over(run).alias("n_hist"), F.last("pb", True).over(run).alias("pb_now"),
-        F.last("dividend_yield", True).over(run).alias("dividend_yield"), F.lag("pe_ttm", 20).over(w).alias("_pe20"),
-        F.collect_list("pe_ttm").over(run).alias("_pe"), F.collect_list("pb").over(run).alias("_pb"))
+    ranked = running_percentiles(rows.select("industry_code", "d", "pe_ttm", "pb", "dividend_yield"), IND, "d", {"pe_ttm": "_pe", "pb": "_pb"})
+    base = ranked.select(
+        "industry_code", "d", "pe_ttm", "_pe", "_pb", F.count("*").over(run).alias("n_hist"), F.last("pb", True).over(run).alias("pb_now"),
+        F.last("dividend_yield", True).over(run).alias("dividend_yield"), F.lag("pe_ttm", 20).over(w).alias("_pe20"))
     ok = F.col("n_hist") >= min_rows
-    pct = base.withColumns({"pe_percentile": F.when(ok, share_below(F.col("_pe"), F.col("pe_ttm"))),
-                            "pb_percentile": F.when(ok, share_below(F.col("_pb"), F.col("pb_now")))})
+    pct = base.withColumns({"pe_percentile": F.when(ok, F.col("_pe")), "pb_percentile": F.when(ok, F.col("_pb"))})
     return pct.select(
         "industry_code", "d", "n_hist", F.when(ok, F.col("pe_ttm")).alias("pe_now"), "pe_percentile",
         F.when(ok, F.col("pb_now")).alias("pb_now"), "pb_percentile", F.when(ok, F.col("dividend_yield")).alias("dividend_yield"),

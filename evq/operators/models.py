@@ -286,9 +286,10 @@ def _classifier(kind: str, feats, rounds: int):
 def baseline_ml(rows: DataFrame, features: Sequence[str], kind: str, block: str, rounds: int = 120, min_rows: int = 20) -> DataFrame:
     """Expanding-window classifier refitted at each block value; earlier rows only.
 
-    The loop runs over block values (a few dates); each fit and score is distributed.
+    Rows before the first fit and rows without features take the majority baseline. The loop runs
+    over block values (a few dates); each fit and score is distributed.
     """
-    base = cut(rows.withColumn("_y", (F.col("real_dir") == "+").cast("double")))
+    base = cut(baseline_majority(rows).withColumn("_y", (F.col("real_dir") == "+").cast("double")))
     counts = {r[block]: (r["n"], r["u"]) for r in base.dropna(subset=list(features)).groupBy(block).agg(F.count("*").alias("n"), F.sum("_y").alias("u")).collect()}
     blocks = sorted(r[block] for r in base.select(block).distinct().collect())
     out = None
@@ -299,10 +300,10 @@ def baseline_ml(rows: DataFrame, features: Sequence[str], kind: str, block: str,
         if n >= min_rows and 0 < u < n:
             m = _classifier(kind, features, rounds).fit(base.filter(F.col(block) < b))
             scored = m.transform(part.dropna(subset=list(features))).select(*rows.columns, F.when(F.col("_pd") > 0.5, "+").otherwise("-").alias("pred"))
-            rest = part.filter(sum((F.col(c).isNull().cast("int") for c in features), F.lit(0)) > 0).select(*rows.columns, F.lit("+" if u * 2 >= n else "-").alias("pred"))
+            rest = part.filter(sum((F.col(c).isNull().cast("int") for c in features), F.lit(0)) > 0).select(*rows.columns, F.col("b1").alias("pred"))
             part = scored.unionByName(rest)
         else:
-            part = part.select(*rows.columns, F.lit("+").alias("pred"))
+            part = part.select(*rows.columns, F.col("b1").alias("pred"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -326,16 +327,22 @@ def baseline_text(train: DataFrame, test: DataFrame, text: str = "text", label:
 def text_features(docs: DataFrame, key: str, text: str = "text", n_terms: int = 128, top: int = 16) -> DataFrame:
     """Weights of a text's strongest terms: 1-2 grams, the n_terms most frequent terms, smoothed idf, unit length.
 
-    Counting, document frequency and the join are distributed; only the n_terms table is small.
+    Only the n_terms table leaves the rows; nothing is shuffled by document.
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
     base = docs.select(key, words.alias("_w"))
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size("_w") - 2), lambda i: (i >= 0) & (F.size("_w") > 1)), lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1)))
-    tf = base.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*")).scalar()
-    vocab = tf.groupBy("term").agg(F.sum("tf").alias("ctf"), F.count("*").alias("df")).orderBy(F.desc("ctf"), "term").limit(n_terms)
-    w = tf.join(vocab, "term").withColumn("w", F.col("tf") * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "term"))
-    w = w.join(norm, key).withColumn("weight", F.round(F.col("w") / F.col("norm"), 12))
-    return w.withColumn("rank", rank).filter(F.col("rank") <= top).select(key, "rank", "term", "weight")
+    pairs = F.when(F.size("_w") > 1, F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(1))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    rows = base.select(key, F.concat("_w", pairs).alias("_t"))
+    # Pass 1: counts combined on the map side; at most n_terms rows remain.
+    seen = rows.select(F.explode(F.concat(F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
+                                          F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))))).alias("x"))
+    n = docs.count()
+    vocab = seen.groupBy("x.term").agg(F.sum("x.c").alias("ctf"), F.sum("x.d").alias("df")).orderBy(F.desc("ctf"), "term").limit(n_terms).select("term", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    table = F.broadcast(cut(vocab.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_idf"))))
+    # Pass 2: everything inside the row.
+    held = rows.crossJoin(table).select(key, "_idf", F.filter("_t", lambda t: F.map_contains_key("_idf", t)).alias("_t"))
+    raw = held.select(key, F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), (F.size(F.filter("_t", lambda x: x == t)) * F.element_at("_idf", t)).alias("w"))).alias("_s"))
+    norm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    unit = raw.withColumn("_n", norm).withColumn("_s", F.transform("_s", lambda x: F.struct((-F.round(x["w"] / F.col("_n"), 12)).alias("neg"), x["term"].alias("term"))))
+    best = unit.select(key, F.posexplode(F.slice(F.array_sort("_s"), 1, top)).alias("rank", "x"))
+    return best.select(key, (F.col("rank") + 1).alias("rank"), "x.term", (-F.col("x.neg")).alias("weight"))

@@ -186,7 +186,7 @@ def _(s):
 
 def ml_rows(s):
     b = X.baseline_features(s.scn, s.px, s.mkt).select("event_id", "industry_code", *X.BASELINE)
-    return s.res(0).join(b, EK).withColumn("block", F.greatest(F.year("event_date"), F.lit(1999)))
+    return s.res(0).join(b, EK).withColumn("block", F.year("event_date"))
 
 
 @query("f17_baseline_logistic")
