@@ -18,6 +18,9 @@ def _checkpoints(spark: SparkSession) -> str:
     if held.isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        # The folder is this application's own and goes when it ends.
+        path = spark._jvm.org.apache.hadoop.fs.Path(held.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return held.get()
 
 

@@ -72,14 +72,21 @@ def leaks(package: DataFrame, chunks: DataFrame, mode: str = "strict") -> DataFr
     return package.join(dim, "doc_id", "left").filter(~F.coalesce(F.col("_from") <= F.col("as_of"), F.lit(False))).drop("_from")
 
 
-def visibility_counts(events: DataFrame, chunks: DataFrame, mode: str = "strict") -> DataFrame:
-    """Visible and hidden documents per event from one running count over dates."""
+def visibility_run(chunks: DataFrame, mode: str = "strict") -> tuple[DataFrame, int]:
+    """Running count of visible documents by date, and the number of documents."""
     starts = chunks.select(visible_from(mode=mode).alias("from_d")).filter("from_d is not null")
-    run = past_totals(starts, [], "from_d", {"n_visible": F.lit(1)}, inclusive=True)
-    total = chunks.agg(F.count("*")).scalar()
+    return past_totals(starts, [], "from_d", {"n_visible": F.lit(1)}, inclusive=True), chunks.count()
+
+
+def visible_at(events: DataFrame, run: DataFrame, total: int) -> DataFrame:
     out = asof_join(events, run, [], "event_date", "from_d", ["n_visible"], strict=False)
     seen = F.coalesce(F.col("n_visible"), F.lit(0).cast("long"))
-    return out.withColumn("n_visible", seen).withColumn("n_hidden", total - F.col("n_visible"))
+    return out.withColumn("n_visible", seen).withColumn("n_hidden", F.lit(total) - F.col("n_visible"))
+
+
+def visibility_counts(events: DataFrame, chunks: DataFrame, mode: str = "strict") -> DataFrame:
+    """Visible and hidden documents per event from one running count over dates."""
+    return visible_at(events, *visibility_run(chunks, mode))
 
 
 def n_past_events(events: DataFrame) -> DataFrame:

@@ -148,10 +148,10 @@ def _(s):
 
 @query("c15_drift_dampen", """WITH st AS (SELECT industry_code, d, sum(ret) OVER (PARTITION BY industry_code ORDER BY d ROWS 9 PRECEDING) AS pc FROM feat WHERE ret IS NOT NULL),
  k AS (SELECT industry_code, event_date, max(d) AS d FROM probe JOIN st USING (industry_code) WHERE d < event_date GROUP BY 1, 2),
- j AS (SELECT event_id, industry_code, prob_up - 0.5 AS strength, pc, abs(pc) / 0.3 AS ratio FROM res0 JOIN k USING (industry_code, event_date) JOIN st USING (industry_code, d))
+ j AS (SELECT event_id, industry_code, prob_up - 0.5 AS strength, pc, abs(pc) / 0.3 AS ratio FROM res0 LEFT JOIN k USING (industry_code, event_date) LEFT JOIN st USING (industry_code, d))
  SELECT event_id, industry_code, r6(pc) AS pre_cum, r6(strength * CASE WHEN (pc > 0) = (strength > 0) AND ratio > 0.3 THEN 1 - least(ratio * 0.6, 0.6) ELSE 1 END) AS dampened FROM j""")
 def _(s):
-    p = X.pre_drift(s.res(0).withColumn("strength", F.col("prob_up") - 0.5), feat(s)).filter("pre_cum is not null")
+    p = X.pre_drift(s.res(0).withColumn("strength", F.col("prob_up") - 0.5), feat(s))
     return rounded(X.drift_dampen(p, typical=0.3), ["event_id", "industry_code"], ["pre_cum", "dampened"])
 
 

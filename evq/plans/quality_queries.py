@@ -82,12 +82,12 @@ def _(s):
 @query("m7_kpi_table", f"""WITH {RSK}, {VW}, s AS (SELECT count(*) AS n, avg(CAST(dir_correct AS INT)) AS f, avg(CASE WHEN NOT abstain THEN CAST(dir_correct AS INT) END) AS c, avg(CAST(NOT abstain AS INT)) AS v FROM res0),
   o AS (SELECT r6(confidence) AS cf, dir_correct, row_number() OVER (ORDER BY r6(confidence) DESC, event_id, event_date, industry_code) AS rn, count(*) OVER () AS n FROM res0),
   c AS (SELECT b, count(*) / CAST(any_value(n) AS DOUBLE) AS cov, avg(CAST(dir_correct AS INT)) AS a, min(cf) AS m FROM o JOIN range(1, 6) g(b) ON rn <= floor(n * b / 10.0) GROUP BY 1),
-  p AS (SELECT horizon, sum(realized_car * weight) / sum(weight) AS rc, sum(pred_var * weight) / sum(weight) AS pv FROM wv GROUP BY 1)
+  p AS (SELECT horizon, sum(realized_car * weight) / sum(weight) AS rc, sum(pred_var * weight) / sum(weight) AS pv, sum(weight * weight) AS hh FROM wv GROUP BY 1)
   SELECT section, item, metric, r4(value) AS value FROM (SELECT 'direction' AS section, 'all' AS item, 'n' AS metric, CAST(n AS DOUBLE) AS value FROM s UNION ALL SELECT 'direction', 'all', 'full_accuracy', f FROM s UNION ALL SELECT 'direction', 'all', 'committed_accuracy', c FROM s UNION ALL SELECT 'direction', 'all', 'coverage', v FROM s
    UNION ALL SELECT 'curve', CAST(b AS VARCHAR), 'coverage', cov FROM c UNION ALL SELECT 'curve', CAST(b AS VARCHAR), 'accuracy', a FROM c UNION ALL SELECT 'curve', CAST(b AS VARCHAR), 'min_confidence', m FROM c
    UNION ALL SELECT 'risk', CAST(horizon AS VARCHAR), 'breach_rate', k / CAST(n AS DOUBLE) FROM q3 UNION ALL SELECT 'risk', CAST(horizon AS VARCHAR), 'pinball_loss', pin FROM q3
-   UNION ALL SELECT 'portfolio', CAST(horizon AS VARCHAR), 'realized_car', rc FROM p UNION ALL SELECT 'portfolio', CAST(horizon AS VARCHAR), 'predicted_var', pv FROM p)""")
+   UNION ALL SELECT 'portfolio', CAST(horizon AS VARCHAR), 'realized_car', rc FROM p UNION ALL SELECT 'portfolio', CAST(horizon AS VARCHAR), 'predicted_var', pv FROM p UNION ALL SELECT 'portfolio', CAST(horizon AS VARCHAR), 'hhi', hh FROM p)""")
 def _(s):
     rr = s.risk_rows()
     k = Q.kpi_table(s.res(0).withColumn("confidence", r6("confidence")), R.backtest_var(rr, ["horizon"]), P.portfolio_view(wrows(s)))
-    return k.filter("metric not in ('kupiec_p', 'hhi')").withColumn("value", r4("value"))
+    return k.filter("metric <> 'kupiec_p'").withColumn("value", r4("value"))

@@ -67,12 +67,15 @@ def _(s):
     return R.flat_priors(raw).select("event_type", "industry_code", "direction", r6("strength").alias("strength"), r6("signed_strength").alias("signed_strength"))
 
 
-@query("a7_read_results", "SELECT event_id, CAST(horizon AS INT) AS horizon, r6(CASE WHEN horizon = 5 THEN v END) AS risk FROM (SELECT event_id, horizon, max(pred_var) AS v FROM rr0 WHERE horizon <> 1 GROUP BY 1, 2)")
+@query("a7_read_results", "SELECT event_id, CAST(horizon AS INT) AS horizon, r6(CASE WHEN horizon = 5 THEN v END) AS risk FROM (SELECT event_id, horizon, max(pred_var) AS v FROM rr0 GROUP BY 1, 2)")
 def _(s):
-    rr = s.risk_rows().filter("horizon <> 1").groupBy("event_id", "horizon").agg(F.max("pred_var").alias("event_var"))
-    a, b = rr.filter("horizon = 5").withColumnRenamed("event_var", "event_VaR_T5"), rr.filter("horizon = 20").withColumn("event_VaR", F.lit(None).cast("double")).drop("event_var")
-    u = a.unionByName(b, allowMissingColumns=True)
-    return u.select("event_id", "horizon", r6(R.pred_col(u, "event_VaR", 5)).alias("risk"))
+    rr = s.risk_rows().groupBy("event_id", "horizon").agg(F.max("pred_var").alias("v"))
+    base, paths = folder(s, "results"), []
+    for h, name in ((1, "event_VaR_T1"), (5, "event_VaR_T5"), (20, "event_CVaR")):
+        paths.append(f"{base}/{h}")
+        rr.filter(F.col("horizon") == h).withColumnRenamed("v", name).write.option("header", True).csv(paths[-1])
+    u = R.read_results(s.spark, paths)
+    return u.select(F.col("event_id").cast("long").alias("event_id"), F.col("horizon").cast("int").alias("horizon"), r6(R.pred_col(u, "event_VaR", 5)).alias("risk"))
 
 
 @query("a8_latest_runs", """WITH r AS (SELECT o_orderpriority AS tag, o_orderstatus || year(o_orderdate) AS run, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2) SELECT tag, run, n FROM r WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY run DESC) = 1""")

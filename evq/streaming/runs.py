@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from evq.functions.lineage import shared_folder
-from evq.operators.asof import visibility_counts
+from evq.functions.lineage import shared_folder, stage
+from evq.operators.asof import visibility_run, visible_at
 from evq.operators.ticks import tick_windows
 
 
@@ -29,16 +30,17 @@ def run_available(stream: DataFrame, mode: str = "append", batch: Callable[[Data
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:8]}"
-    schema = {}
+    # a batch operator's schema is that of its result on no rows, so an empty stream has one too
+    shape = (batch(spark.createDataFrame([], stream.schema)) if batch else stream).schema
 
     def sink(df: DataFrame, epoch: int) -> None:
         out = batch(df) if batch else df
-        schema.setdefault("s", out.schema)
         out.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
-    return spark.read.schema(schema["s"]).parquet(f"{base}/out").drop("epoch")
+    wrote = q.lastProgress is not None and any(p["numInputRows"] for p in q.recentProgress)
+    return spark.read.schema(shape).parquet(f"{base}/out").drop("epoch") if wrote else spark.createDataFrame([], shape)
 
 
 def stream_windows(src: DataFrame, kind: str, watermark: str, size: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -47,35 +49,46 @@ def stream_windows(src: DataFrame, kind: str, watermark: str, size: str = "1 hou
 
 
 def stream_visible(src: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each micro-batch of ticks with the number of documents visible on its date."""
+    """Each micro-batch of ticks with the number of documents visible on its date.
+
+    The documents are counted once: their running count by date is a table of at most a calendar,
+    which every micro-batch reads.
+    """
+    run, total = visibility_run(docs)
+    run = stage(run, "visible-run")
     t = src.withColumn("event_date", F.to_date("ts"))
-    return run_available(t, batch=lambda df: visibility_counts(df, docs))
+    return run_available(t, batch=lambda df: visible_at(df, run, total))
+
+
+def rolling_mean(x: np.ndarray, n: int) -> np.ndarray:
+    """Mean of the last n values at each place; nan where there are fewer."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        out[n - 1:] = np.lib.stride_tricks.sliding_window_view(x, n).sum(axis=1) / n
+    return out
 
 
 MONITOR_STATE = "residuals array<double>, inside array<boolean>"
 
 
 def residual_monitor_stream(src: DataFrame, key: str, threshold: float, window: int = 5, coverage_window: int = 20,
-                            min_coverage: float = 0.70, keep: int = 100) -> DataFrame:
-    """Stateful monitor per key: the last `keep` residuals and interval hits are the state.
+                            min_coverage: float = 0.70) -> DataFrame:
+    """Stateful monitor per key: the residuals and interval hits that later windows reach back to are the state.
 
     Rows of a micro-batch are taken in seq order within a key.
     """
     ktype = dict(src.dtypes)[key]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        res, ins = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
         rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, r, i in zip(rows["seq"], rows["residual"], rows["in_interval"]):
-            res, ins = (res + [abs(float(r))])[-keep:], (ins + [bool(i)])[-keep:]
-            reason = None
-            if len(res) >= window and sum(res[-window:]) / window > threshold:
-                reason = "residual"
-            elif len(ins) >= coverage_window and sum(ins[-coverage_window:]) / coverage_window < min_coverage and len(res) >= window:
-                reason = "coverage"
-            out.append((k[0], int(seq), reason))
-        state.update((res, ins))
-        yield pd.DataFrame(out, columns=[key, "seq", "reason"])
+        held = [np.asarray(x) for x in state.get] if state.exists else [np.empty(0), np.empty(0)]
+        res = np.concatenate([held[0], rows["residual"].abs().to_numpy(dtype=float)])
+        ins = np.concatenate([held[1], rows["in_interval"].to_numpy(dtype=float)])
+        n = len(rows)
+        high = rolling_mean(res, window)[-n:] > threshold
+        thin = (rolling_mean(ins, coverage_window)[-n:] < min_coverage) & (np.arange(len(res))[-n:] + 1 >= window)
+        keep = max(window, coverage_window) - 1
+        state.update((res[len(res) - keep:].tolist() if keep < len(res) else res.tolist(), [bool(x) for x in ins[max(0, len(ins) - keep):]]))
+        yield pd.DataFrame({key: k[0], "seq": rows["seq"].astype("int64"), "reason": np.where(high, "residual", np.where(thin, "coverage", None))})
 
     return src.groupBy(key).applyInPandasWithState(step, f"{key} {ktype}, seq long, reason string", MONITOR_STATE, "append", GroupStateTimeout.NoTimeout)
