@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from evq.llm.common import bounded_small, own_name, staged
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
+#: A word whose next word is the same.
+SAME_AGAIN = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D]))"
 BINS = 10
 STATISTICS = ("symbols", "marks", "capitals", "digits", "repeats", "distinct")
 SMOOTH = 0.5
@@ -40,11 +42,10 @@ def statistic_bins(text: Column) -> list[Column]:
     """One bin number per statistic of a text, as named columns."""
     t = F.coalesce(text, F.lit(""))
     n = F.length(t)
-    less = lambda chars: n - F.length(F.translate(t, chars, ""))
+    count = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
     words = F.filter(F.split(t, WORD_GAP), lambda w: w != "")
-    again = F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: a.eqNullSafe(b)), lambda x: x))
-    return [_share(less("#*$%&|<>"), n).alias("symbols"), _share(less("!"), n).alias("marks"),
-            _share(less("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n).alias("capitals"), _share(less("0123456789"), n).alias("digits"),
+    again = F.regexp_count(t, F.lit(SAME_AGAIN))
+    return [_share(count("#*$%&|<>"), n).alias("symbols"), _share(count("!"), n).alias("marks"), _share(count("A-Z"), n).alias("capitals"), _share(count("0-9"), n).alias("digits"),
             _share(again, F.size(words)).alias("repeats"), _share(F.size(F.array_distinct(words)), F.size(words)).alias("distinct")]
 
 
