@@ -35,6 +35,30 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 MIN_CONTEXTS, LEAST_SHARE, MIN_BITS = 3, 0.5, 8.0
 
 
+SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+BLOCK = 128
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, as a lambda variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(values: Column) -> Column:
+    """Inclusive running sums of an int array, block by block, so that long arrays aren't copied once per element."""
+    def scan(x: Column, inclusive: bool) -> Column:
+        grow = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["out"], F.array(s["at"] + v if inclusive else s["at"])).alias("out"))
+        return F.aggregate(x, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), grow, lambda s: s["out"])
+
+    def whole(x: Column) -> Column:
+        count = F.floor((F.size(x) - 1) / BLOCK).cast("int")
+        local = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda b: scan(F.slice(x, b * BLOCK + 1, BLOCK), True))
+        last = lambda y: F.coalesce(F.get(y, F.size(y) - 1), F.lit(0))
+        return _bound(local, lambda ls: F.flatten(F.zip_with(ls, scan(F.transform(ls, last), False), lambda y, o: F.transform(y, lambda v: v + o))))
+
+    return _bound(values, whole)
+
+
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
@@ -59,19 +83,11 @@ def _valid(kind: str, m: Column) -> Column:
 
 def kind_spans(kind: str, text: Column) -> Column:
     """Array of (kind, start, end, value) of the valid matches of one kind; offsets in code points."""
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), 0)
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), F.length)
-    state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(s: Column, g: Column) -> Column:
-        m = g["m"]
-        a = s["at"] + g["gap"]
-        b = a + F.length(m)
-        return F.struct(b.alias("at"), F.when(_valid(kind, m), F.concat(s["out"], F.array(F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), m.alias("value"))))).otherwise(s["out"]).alias("out"))
-
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("m")), lambda g: g["m"].isNotNull())
-    return F.when(text.rlike(PATTERNS[kind]), F.aggregate(pairs, state, step, lambda s: s["out"])).otherwise(empty)
+    # A match ends after all gaps and matches up to it; the gap behind the last match has no partner.
+    ends = running_sums(F.zip_with(found, F.transform(F.split(text, PATTERNS[kind], -1), F.length), lambda m, g: F.coalesce(F.length(m), F.lit(0)) + g))
+    spans = F.zip_with(found, ends, lambda m, e: F.when(m.isNotNull(), F.struct(F.lit(kind).alias("kind"), (e - F.length(m)).alias("start"), e.alias("end"), m.alias("value"))))
+    return F.when(text.rlike(PATTERNS[kind]), F.filter(spans, lambda x: x.isNotNull() & _valid(kind, x["value"]))).otherwise(F.array().cast(SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -85,10 +101,8 @@ def entity(kind: Column, value: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """Array of (start, line) of the lines of a text; starts in code points."""
-    grow = lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), x.alias("line")))).alias("out"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("out"))
-    return F.aggregate(F.split(text, "\n", -1), first, grow, lambda s: s["out"])
+    """Array of (start, line) of the lines of a text; starts in code points. No base pattern reaches over a line end."""
+    return _bound(F.split(text, "\n", -1), lambda ls: F.zip_with(ls, running_sums(F.transform(ls, lambda x: F.length(x) + 1)), lambda x, e: F.struct((e - F.length(x) - 1).alias("start"), x.alias("line"))))
 
 
 def _terms(text: Column) -> Column:
@@ -100,9 +114,9 @@ def disclosing_terms(spotted: DataFrame, texts: DataFrame, min_contexts: int = M
 
     spotted: (row, text, base) of the rows with base spans; texts: (text) of all rows.
     """
-    lines = spotted.select("base", F.explode(_lines(F.col("text"))).alias("l")).withColumn("own", F.expr("filter(base, s -> s.start >= l.start and s.end <= l.start + length(l.line))")).filter(F.size("own") > 0)
-    held = staged(lines.select(F.explode(F.array_distinct(F.transform("own", lambda s: entity(s["kind"], s["value"])))).alias("entity"), F.col("l.line").alias("line"),
-                               F.xxhash64("l.line").alias("context")), "entity-lines")
+    lines = spotted.select(F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("own", base_spans(F.col("line"))).filter(F.size("own") > 0)
+    held = staged(lines.select(F.explode(F.array_distinct(F.transform("own", lambda s: entity(s["kind"], s["value"])))).alias("entity"), "line",
+                               F.xxhash64("line").alias("context")), "entity-lines")
     # A copied line counts once as a context and each time as an occurrence.
     contexts = held.groupBy("entity", "context").agg(F.first("line").alias("line"), F.count("*").alias("times"))
     several = contexts.groupBy("entity").agg(F.count("*").alias("different"), F.sum("times").alias("entity_lines")).filter(F.col("different") >= min_contexts)
@@ -127,14 +141,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thre
     terms = disclosing_terms(spotted, docs.select(F.col(text_col).alias("text")), **thresholds)
     by_entity = bounded_small(terms.groupBy("entity").agg(F.collect_set("term").alias("terms")), "disclosing", 4096)
     # Spans of terms: per distinct (text, base), only where an entity has disclosing terms.
-    lines = (spotted.distinct().withColumn("at", F.xxhash64("text")).select("text", "base", F.explode(_lines(F.col("text"))).alias("l"))
-             .withColumn("own", F.expr("filter(base, s -> s.start >= l.start and s.end <= l.start + length(l.line))")).filter(F.size("own") > 0))
-    hits = (lines.select("text", "base", "l", "own", F.explode(F.array_distinct(F.transform("own", lambda s: entity(s["kind"], s["value"])))).alias("entity")).join(by_entity, "entity")
-            .groupBy("text", "base", "l", "own").agg(F.flatten(F.collect_list("terms")).alias("terms")))
-    words = hits.withColumn("words", _word_spans(F.col("l.line"), F.col("l.start")))
+    lines = (spotted.select("text").distinct().select(F.sha2("text", 256).alias("text"), F.explode(_lines(F.col("text"))).alias("l"))
+             .withColumn("own", base_spans(F.col("l.line"))).filter(F.size("own") > 0))
+    hits = (lines.select("text", "l", "own", F.explode(F.array_distinct(F.transform("own", lambda s: entity(s["kind"], s["value"])))).alias("entity")).join(by_entity, "entity")
+            .groupBy("text", "l", "own").agg(F.flatten(F.collect_list("terms")).alias("terms")))
+    words = hits.withColumn("words", _word_spans(F.col("l.line")))
     keep = F.filter("words", lambda w: F.array_contains(F.col("terms"), F.lower(w["value"])) & ~F.exists("own", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
-    more = words.select("text", keep.alias("more")).groupBy("text").agg(F.sort_array(F.flatten(F.collect_list("more"))).alias("more"))
-    more = bounded_small(more.filter(F.size("more") > 0).select(F.sha2("text", 256).alias("__sha"), "more"), "term-spans", 4096)
+    moved = F.transform(keep, lambda w: F.struct(w["kind"].alias("kind"), (w["start"] + F.col("l.start")).alias("start"), (w["end"] + F.col("l.start")).alias("end"), w["value"].alias("value")))
+    more = words.select("text", moved.alias("more")).groupBy("text").agg(F.sort_array(F.flatten(F.collect_list("more"))).alias("more"))
+    more = bounded_small(more.filter(F.size("more") > 0).select(F.col("text").alias("__sha"), "more"), "term-spans", 4096)
     sha, extra = own_name(docs.columns, "__sha"), own_name(docs.columns, "__more")
     more = more.withColumnRenamed("__sha", sha).withColumnRenamed("more", extra)
     joined = marked.withColumn(sha, F.when(F.size(key) > 0, F.sha2(text, 256))).join(more, sha, "left")
@@ -142,14 +157,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thre
     return joined.select(*[marked[c] for c in docs.columns], spans.alias(out))
 
 
-def _word_spans(line: Column, start: Column) -> Column:
+def _word_spans(line: Column) -> Column:
     """Array of (kind 'term', start, end, value) of the words of a line."""
     words = F.filter(F.split(line, WORD_GAP), lambda w: w != "")
-    gaps = F.transform(F.split(line, r"[^\x20\x09-\x0D]+", -1), F.length)
-    grow = lambda s, g: F.struct((s["at"] + g["gap"] + F.length(g["m"])).alias("at"), F.concat(s["out"], F.array(F.struct(
-        F.lit("term").alias("kind"), (s["at"] + g["gap"]).alias("start"), (s["at"] + g["gap"] + F.length(g["m"])).alias("end"), g["m"].alias("value")))).alias("out"))
-    first = F.struct(start.alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("out"))
-    return F.aggregate(F.filter(F.arrays_zip(gaps.alias("gap"), words.alias("m")), lambda g: g["m"].isNotNull()), first, grow, lambda s: s["out"])
+    ends = running_sums(F.zip_with(words, F.transform(F.split(line, r"[^\x20\x09-\x0D]+", -1), F.length), lambda m, g: F.coalesce(F.length(m), F.lit(0)) + g))
+    spans = F.zip_with(words, ends, lambda m, e: F.when(m.isNotNull(), F.struct(F.lit("term").alias("kind"), (e - F.length(m)).alias("start"), e.alias("end"), m.alias("value"))))
+    return F.filter(spans, lambda x: x.isNotNull())
 
 
 def sanitised(text: Column, spans: Column) -> Column:
