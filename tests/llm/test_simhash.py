@@ -62,7 +62,7 @@ def test_edges(spark, edge):
 def test_hot_bucket_in_tiles(spark):
     """Fingerprints that share two blocks, far more than a tile holds: nothing is lost and pieces stay small."""
     rng = random.Random(3)
-    fps = {0x5555 | 1 << 40} | {sum(1 << rng.randrange(26, 64) for _ in range(rng.randrange(1, 9))) | 0x155 for _ in range(900)}
+    fps = {0x5555 | 1 << 40} | {sum(1 << b for b in {rng.randrange(26, 64) for _ in range(rng.randrange(1, 9))}) | 0x155 for _ in range(900)}
     nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     edges = simhash.links(nodes, tile=16)
     labels = {r.node & (1 << 64) - 1: r.label & (1 << 64) - 1 for r in simhash.components(edges).collect()}
