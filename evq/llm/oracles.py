@@ -55,7 +55,7 @@ e AS (SELECT doc_id, h, p, sum(coalesce(v, 0)) e FROM x LEFT JOIN r USING (s, bi
 pa AS (SELECT h, p, sum(good)::DOUBLE k, sum(good + bad)::DOUBLE n FROM d JOIN l USING (doc_id) GROUP BY ALL),
 ho AS (SELECT h, sum(k) hk, sum(n) hn, sum(n * n) nn FROM pa GROUP BY 1),
 g AS (SELECT (sum(hk) + 0.5) / (sum(hn) + 1) mu, sum(hn) n, count(*) c, sum(hn * hn) nn FROM ho),
-ab AS (SELECT 1 / least(greatest((sum(hn * power(hk / hn - mu, 2)) / any_value(mu * (1 - mu)) - any_value(c - 1)) / greatest(any_value(n - g.nn / n - (c - 1)), 1), 0.0001), 0.9999) - 1 a FROM ho, g),
+ab AS (SELECT 1 / least(greatest((sum(hn * power(hk / hn - mu, 2)) / any_value(mu * (1 - mu)) - any_value(c)) / greatest(any_value(n - c), 1), 0.0001), 0.9999) - 1 a FROM ho, g),
 hs AS (SELECT ho.*, (hk + a * mu) / (hn + a) hs FROM ho, g, ab),
 be AS (SELECT 1 / least(greatest((sum(n * power(k / n - hk / hn, 2) / (hs * (1 - hs))) - (count(*) - (SELECT count(*) FROM ho))) /
          greatest((SELECT sum(hn - nn / hn) FROM ho) - (count(*) - (SELECT count(*) FROM ho)), 1), 0.0001), 0.9999) - 1 b FROM pa JOIN hs USING (h)),

@@ -74,7 +74,7 @@ def site_posteriors(binned: DataFrame, labels: DataFrame) -> tuple[DataFrame, Da
         return 1 / min(max(rho, FLOOR), 1 - FLOOR) - 1
 
     spread = host.agg(F.sum(F.col("hn") * F.pow(F.col("hk") / F.col("hn") - mu, 2))).first()[0] / (mu * (1 - mu))
-    above = strength(spread, g.h - 1, g.n - g.nn / g.n)
+    above = strength(spread, g.h, g.n)
     host = host.withColumn("host_share", (F.col("hk") + above * mu) / (F.col("hn") + above))
     both = path.join(host, "host")
     p = both.agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("hk") / F.col("hn"), 2) / (F.col("host_share") * (1 - F.col("host_share")))).alias("spread"),
