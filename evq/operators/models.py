@@ -275,19 +275,24 @@ def baseline_momentum(rows: DataFrame, rel: str = "rel_r20") -> DataFrame:
     return rows.withColumn("b3", F.when(F.coalesce(rel, F.lit(0.0)) >= 0, "+").otherwise("-"))
 
 
-def _classifier(kind: str, feats, rounds: int):
+def _classifier(kind: str, feats, rounds: int, n: int):
+    """Unfitted pipeline; the ridge term of the logistic one has weight 1 against the summed loss of n rows."""
     vec = VectorAssembler(inputCols=list(feats), outputCol="_v", handleInvalid="skip")
     if kind == "logistic":
         sc = StandardScaler(inputCol="_v", outputCol="_f", withMean=True)
-        return Pipeline(stages=[vec, sc, LogisticRegression(featuresCol="_f", labelCol="_y", predictionCol="_pd", probabilityCol="_pr", rawPredictionCol="_rw", maxIter=100)])
+        return Pipeline(stages=[vec, sc, _logistic(n)])
     return Pipeline(stages=[vec, GBTClassifier(featuresCol="_v", labelCol="_y", predictionCol="_pd", maxDepth=4, maxIter=rounds, stepSize=0.05, subsamplingRate=0.9, seed=42)])
 
 
-def baseline_ml(rows: DataFrame, features: Sequence[str], kind: str, block: str, rounds: int = 120, min_rows: int = 20) -> DataFrame:
-    """Expanding-window classifier refitted at each block value; earlier rows only.
+def _logistic(n: int):
+    return LogisticRegression(featuresCol="_f", labelCol="_y", predictionCol="_pd", probabilityCol="_pr", rawPredictionCol="_rw", maxIter=100, regParam=1.0 / n)
+
+
+def _expanding(rows: DataFrame, features: Sequence[str], block: str, make, min_rows: int) -> DataFrame:
+    """Refit make(n) at each block value on all earlier rows; `pred` is '+' or '-'.
 
-    Rows before the first fit and rows without features take the majority baseline. The loop runs
-    over block values (a few dates); each fit and score is distributed.
+    Blocks without min_rows earlier rows of both directions, and rows without features, take the
+    majority baseline. The loop runs over block values (a few dates); each fit and score is distributed.
     """
     base = cut(baseline_majority(rows).withColumn("_y", (F.col("real_dir") == "+").cast("double")))
     counts = {r[block]: (r["n"], r["u"]) for r in base.dropna(subset=list(features)).groupBy(block).agg(F.count("*").alias("n"), F.sum("_y").alias("u")).collect()}
@@ -298,14 +303,19 @@ def baseline_ml(rows: DataFrame, features: Sequence[str], kind: str, block: str,
         u = sum(v[1] for k, v in counts.items() if k < b)
         part = base.filter(F.col(block) == b)
         if n >= min_rows and 0 < u < n:
-            m = _classifier(kind, features, rounds).fit(base.filter(F.col(block) < b))
+            m = make(n).fit(base.filter(F.col(block) < b).dropna(subset=list(features)))
             scored = m.transform(part.dropna(subset=list(features))).select(*rows.columns, F.when(F.col("_pd") > 0.5, "+").otherwise("-").alias("pred"))
             rest = part.filter(sum((F.col(c).isNull().cast("int") for c in features), F.lit(0)) > 0).select(*rows.columns, F.col("b1").alias("pred"))
             part = scored.unionByName(rest)
         else:
             part = part.select(*rows.columns, F.col("b1").alias("pred"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return rows.limit(0).withColumn("pred", F.lit(None).cast("string")) if out is None else out
+
+
+def baseline_ml(rows: DataFrame, features: Sequence[str], kind: str, block: str, rounds: int = 120, min_rows: int = 20) -> DataFrame:
+    """Logistic or boosted-tree classifier of the features, refitted on the past at each block value."""
+    return _expanding(rows, features, block, lambda n: _classifier(kind, features, rounds, n), min_rows)
 
 
 def char_ngrams(text: Column, lo: int = 2, hi: int = 4) -> Column:
@@ -315,13 +325,15 @@ def char_ngrams(text: Column, lo: int = 2, hi: int = 4) -> Column:
         F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - n, F.lit(1))), lambda i: F.substr(F.concat(F.lit(" "), w, F.lit(" ")), i, n))))))
 
 
-def baseline_text(train: DataFrame, test: DataFrame, text: str = "text", label: str = "label", n_features: int = 4096) -> DataFrame:
-    """Character n-gram TF-IDF and a logistic classifier on earlier texts."""
-    pipe = Pipeline(stages=[HashingTF(inputCol="_g", outputCol="_tf", numFeatures=n_features), IDF(inputCol="_tf", outputCol="_f"),
-                            LogisticRegression(featuresCol="_f", labelCol="_y", predictionCol="pred", probabilityCol="_pr", rawPredictionCol="_rw", maxIter=50, regParam=0.01)])
-    m = pipe.fit(cut(train.select(char_ngrams(F.col(text)).alias("_g"), F.col(label).cast("double").alias("_y"))))
-    out = m.transform(test.withColumn("_g", char_ngrams(F.col(text))))
-    return out.withColumn("prob", vector_to_array("_pr")[1]).drop("_g", "_tf", "_f", "_pr", "_rw")
+def baseline_text(rows: DataFrame, block: str, text: str = "text", n_features: int = 4096, min_rows: int = 20) -> DataFrame:
+    """Character n-gram TF-IDF and a logistic classifier, refitted on the past at each block value.
+
+    Counts are hashed once; inverse frequencies belong to each fit, so they hold earlier texts only. A null text is empty.
+    """
+    grams = rows.withColumn("_g", char_ngrams(F.coalesce(F.col(text), F.lit(""))))
+    tf = HashingTF(inputCol="_g", outputCol="_tf", numFeatures=n_features).transform(grams).drop("_g")
+    make = lambda n: Pipeline(stages=[IDF(inputCol="_tf", outputCol="_f"), _logistic(n)])
+    return _expanding(tf, ["_tf"], block, make, min_rows).drop("_tf")
 
 
 def text_features(docs: DataFrame, key: str, text: str = "text", n_terms: int = 128, top: int = 16) -> DataFrame:
