@@ -139,14 +139,14 @@ def _(s):
     return E.attach_event_type(s.res(1), s.car).select("event_id", "event_date", "industry_code", "prob_up", "event_type")
 
 
-@query("d15_match_sets", """WITH a AS (SELECT DISTINCT s_nationkey AS a_id, p_brand AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size > 45),
-  b AS (SELECT DISTINCT p_type AS b_id, p_brand AS item FROM part WHERE p_size > 40),
+@query("d15_match_sets", """WITH a AS (SELECT DISTINCT s_nationkey AS a_id, p_brand AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
+  b AS (SELECT DISTINCT p_type AS b_id, p_brand AS item FROM part),
   j AS (SELECT a_id, b_id, count(*) / CAST((SELECT count(*) FROM a x WHERE x.a_id = a.a_id) + (SELECT count(*) FROM b y WHERE y.b_id = b.b_id) - count(*) AS DOUBLE) AS jaccard
     FROM a JOIN b USING (item) GROUP BY a_id, b_id)
   SELECT a_id, b_id, r6(jaccard) AS jaccard, jaccard = 1 AS exact FROM j QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY jaccard DESC, b_id) = 1""")
 def _(s):
-    pt = s.t("part").select("p_partkey", "p_brand", "p_type", "p_size")
-    a = s.t("lineitem").join(s.t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(pt.filter("p_size > 45"), F.col("l_partkey") == F.col("p_partkey"))
+    pt = s.t("part").select("p_partkey", "p_brand", "p_type")
+    a = s.t("lineitem").join(s.t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(pt, F.col("l_partkey") == F.col("p_partkey"))
     a = a.select(F.col("s_nationkey").alias("a_id"), F.col("p_brand").alias("item"))
-    b = pt.filter("p_size > 40").select(F.col("p_type").alias("b_id"), F.col("p_brand").alias("item"))
+    b = pt.select(F.col("p_type").alias("b_id"), F.col("p_brand").alias("item"))
     return E.match_sets(a, b).withColumn("jaccard", r6("jaccard"))
