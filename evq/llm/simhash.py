@@ -35,19 +35,25 @@ BLOCKS = (13, 13, 13, 13, 12)
 CHUNK = 1 << 15
 
 
-def text_fingerprint(text: str | None, width: int = 3) -> int:
-    """64 majority bits over the shingles of one text; 0 without words."""
+def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
+    """XXH64 of every word shingle of one text; one of all words where they are fewer, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    joined, hashes = b" ".join(words), []
+        return []
+    joined = b" ".join(words)
     if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1:].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1:].tolist(), strict=True)]
+
+
+def text_fingerprint(text: str | None, width: int = 3) -> int:
+    """64 majority bits over the shingles of one text; 0 without words."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), CHUNK):
         part = np.array(hashes[i:i + CHUNK], dtype=np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -188,14 +194,14 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Pipeline form: of each component one row, that with the smallest id (nulls last), with its own columns.
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates, **options) -> DataFrame:
+    """Pipeline form: of each component of `near` one row, that with the smallest id (nulls last), with its own columns.
 
     Rows are numbered and written first, so that repeated and null ids are told apart.
     """
     key = own_name(docs.columns, "__row")
     stamped = staged(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(stamped, key, text_col, **options).select(F.col("id").alias(key), "fp", F.col("component_id").alias("__component"))
+    found = near(stamped, key, text_col, **options).select(F.col("id").alias(key), F.col("component_id").alias("__component"))
     ids = stamped.select(key, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("row")).alias("rank"))
     ranked = found.join(ids, key)
     best = ranked.groupBy("__component").agg(F.min("rank").alias("best"), F.count("*").alias("rows")).filter("rows > 1")
