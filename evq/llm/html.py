@@ -164,15 +164,18 @@ def main_text(source: str | None) -> str:
             while up >= 0 and far <= 5:
                 points[up] += own / (1 if far == 1 else 2 * (far - 1))
                 up, far = page.parent[up], far + 1
-    whole, links = size[:], linked[:]
+    whole, links, anchors = size[:], linked[:], [int(t == "a") for t in page.tag]
     for i in range(n - 1, 0, -1):
         whole[page.parent[i]] += whole[i]
         links[page.parent[i]] += links[i]
+        anchors[page.parent[i]] += anchors[i]
     density = [links[i] / whole[i] if whole[i] else 0.0 for i in range(n)]
     score = [points[i] * (1 - density[i]) for i in range(n)]
-    # Lists and tables that are nothing but links are menus.
+    # Lists and tables that are nothing but three or more links are menus; within an article they are its own text.
+    article = [t == "article" for t in page.tag]
     for i in range(1, n):
-        if page.drop[page.parent[i]] or page.tag[i] in ("ul", "ol", "table", "div") and density[i] > 0.8 and sum(1 for j in range(i + 1, min(n, i + 200)) if page.tag[j] == "a") > 2:
+        article[i] = article[i] or article[page.parent[i]]
+        if page.drop[page.parent[i]] or page.tag[i] in ("ul", "ol", "table", "div") and density[i] > 0.8 and anchors[i] > 2 and not article[i]:
             page.drop[i] = True
     # Where article elements hold a good part of the text, the best container is one of them.
     articles = [i for i in range(n) if page.tag[i] == "article" and not page.drop[i] and whole[i]]

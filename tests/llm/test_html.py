@@ -32,6 +32,19 @@ def test_small_and_broken():
     assert {k: main_text(k) for k in cases} == cases
 
 
+def test_blocks_of_one_link_stay():
+    long = "word, " * 50
+    two = f"<p>{long}<a href=1>one</a> and <a href=2>two</a></p>"
+    assert main_text(f"<article><div><a href=0>Read the full report here</a></div>{two}</article>") == f"Read the full report here {long}one and two"
+    for tag, row in (("ul", "<li>{}"), ("ol", "<li>{}"), ("table", "<tr><td>{}"), ("div", "{}")):
+        block = f"<{tag}>{row.format('<a href=0>The report</a>')}</{tag}>"
+        assert main_text(f"<body><div class=text>{block}{two}</div></body>") == f"The report {long}one and two"
+        many = f"<{tag}>{''.join(row.format(f'<a href={k}>Item {k}</a> ') for k in range(300))}</{tag}>"
+        assert "Item" not in main_text(f"<body><div class=text>{two}{many}</div></body>")
+        assert "Item 299" in main_text(f"<article>{two}{many}</article>")
+        assert "Item" not in main_text(f"<article>{two}{many.replace(tag, f'{tag} class=menu', 1)}</article>")
+
+
 def test_linear_time():
     t = time.time()
     for page in ("<div>" * 100000 + "x", "<" * 200000, "<a " + 'x="' * 60000, "<!--" * 50000, "<p>a" * 50000, "<ul>" * 300 + "<li><a>x</a>" * 20000, "&" * 200000):
