@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from evq.llm.common import batches
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*+>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</\1\s*+>|\Z)"
     r"|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -38,7 +38,27 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense s
 COMMENT = frozenset("comment comments commentlist disqus replies".split())
 KEPT_TAGS = frozenset("html body main article".split())
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = frozenset("ul ol dl table div section article main body html blockquote aside nav header footer form".split())
+#: Dropped with all they hold, without a block border; those of the second kind don't nest.
+HIDDEN = frozenset("svg template noscript iframe select".split())
+SINGLE = frozenset("noscript iframe select".split())
+SCOPES = frozenset("ul ol dl table div section article main body html blockquote aside nav header footer form".split()) | HIDDEN
+
+
+def ended(tokens: list[re.Match]) -> set[int]:
+    """Positions of the start tags of HIDDEN elements that have an end tag of their own; of any other only the tag goes."""
+    out, begun = set(), {name: [] for name in HIDDEN}
+    for m in tokens:
+        name = (m[3] or "").lower()
+        if name not in HIDDEN:
+            continue
+        if m[2]:
+            if begun[name]:
+                out.add(begun[name].pop())
+        elif not m[4].endswith("/"):
+            if name in SINGLE:
+                begun[name].clear()
+            begun[name].append(m.start())
+    return out
 
 
 class Page:
@@ -48,8 +68,14 @@ class Page:
         self.tag, self.parent, self.drop = ["html"], [-1], [False]
         #: (element, text) in page order; None as text is a block border.
         self.pieces: list[tuple[int, str | None]] = []
-        stack, at = [0], 0
-        for m in TOKEN.finditer(source):
+        #: Within a HIDDEN element; within an article or main element.
+        self.hidden, self.inside = [False], [False]
+        #: Where in the stack the open elements of each tag, the scopes and what isn't inline are, so that no depth makes a tag slow.
+        self.places: dict[str, list[int]] = {}
+        self.scopes, self.solid = [0], [0]
+        stack, at, tokens = [0], 0, list(TOKEN.finditer(source))
+        whole = ended(tokens)
+        for m in tokens:
             if m.start() > at:
                 self._text(stack[-1], source[at:m.start()])
             at = m.end()
@@ -59,7 +85,7 @@ class Page:
             name = name.lower()
             if m[2]:
                 self._close(stack, name)
-            else:
+            elif name not in HIDDEN or m.start() in whole:
                 self._open(stack, name, m[4])
         if at < len(source):
             self._text(stack[-1], source[at:])
@@ -67,47 +93,61 @@ class Page:
     def _text(self, node: int, text: str) -> None:
         self.pieces.append((node, html.unescape(text) if "&" in text else text))
 
+    def _border(self, node: int) -> None:
+        if not self.hidden[node]:
+            self.pieces.append((node, None))
+
+    def _cut(self, stack: list[int], k: int) -> None:
+        """Close what is open from place k on."""
+        for node in stack[k:]:
+            self.places[self.tag[node]].pop()
+        del stack[k:]
+        for kept in (self.scopes, self.solid):
+            while kept[-1] >= k:
+                kept.pop()
+
     def _close(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] == name:
-                del stack[k:]
-                break
-            if name in INLINE and self.tag[stack[k]] not in INLINE or name in PARAGRAPHS and self.tag[stack[k]] in SCOPES:
-                break
-        if name not in INLINE:
-            self.pieces.append((stack[-1], None))
+        # An inline end tag doesn't reach over a block, a paragraph's not over a scope.
+        if places := self.places.get(name):
+            if places[-1] >= (self.solid[-1] if name in INLINE else self.scopes[-1] if name in PARAGRAPHS else 0):
+                self._cut(stack, places[-1])
+        if name not in INLINE and name not in HIDDEN:
+            self._border(stack[-1])
 
     def _open(self, stack: list[int], name: str, attributes: str) -> None:
-        if name in INLINE or name == "br":
+        if name in INLINE or name in HIDDEN or name == "br":
             if name == "br":
-                self.pieces.append((stack[-1], None))
+                self._border(stack[-1])
             if name in VOID:
                 return
         else:
             # A block ends an open paragraph; items and cells end their like within the same list or table.
             ends = CLOSES.get(name, ()) + (("p",) if name not in ("td", "th", "tr") else ())
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in ends:
-                    del stack[k:]
-                    break
-                if self.tag[stack[k]] in SCOPES:
-                    break
-            self.pieces.append((stack[-1], None))
+            k = max((self.places[e][-1] for e in ends if self.places.get(e)), default=0)
+            if k > self.scopes[-1]:
+                self._cut(stack, k)
+            self._border(stack[-1])
             if name in VOID:
                 return
-        if name in ("html", "body") and name in (self.tag[s] for s in stack[1:]) or name == "html":
-            return
-        if len(stack) > 400:
+        if name == "html" or name == "body" and self.places.get(name):
             return
+        over = stack[-1]
         self.tag.append(name)
-        self.parent.append(stack[-1])
-        self.drop.append(self.drop[stack[-1]] or self._boilerplate(stack, name, attributes))
+        self.parent.append(over)
+        self.drop.append(self.drop[over] or name in HIDDEN or self._boilerplate(over, name, attributes))
+        self.hidden.append(self.hidden[over] or name in HIDDEN)
+        self.inside.append(self.inside[over] or name in ("article", "main"))
+        self.places.setdefault(name, []).append(len(stack))
+        if name in SCOPES:
+            self.scopes.append(len(stack))
+        if name not in INLINE:
+            self.solid.append(len(stack))
         stack.append(len(self.tag) - 1)
 
-    def _boilerplate(self, stack: list[int], name: str, attributes: str) -> bool:
+    def _boilerplate(self, over: int, name: str, attributes: str) -> bool:
         if name in DROPPED_TAGS:
             return True
-        inside = any(self.tag[s] in ("article", "main") for s in stack)
+        inside = self.inside[over]
         if name == "header" and not inside:
             return True
         if len(attributes) < 4:

@@ -45,6 +45,27 @@ def test_blocks_of_one_link_stay():
         assert "Item" not in main_text(f"<article>{two}{many.replace(tag, f'{tag} class=menu', 1)}</article>")
 
 
+def test_hidden_elements_keep_what_follows():
+    long = "word, " * 50
+    for tag in ("svg", "select", "template", "noscript", "iframe"):
+        for mark in (f"<{tag} a='1'/>", f"<{tag}>", f"<{tag}><{tag}>" if tag in ("svg", "template") else f"<{tag}>", f"<{tag}></{tag}>", f"<{tag}><b>gone<p>gone</p></b></{tag}>"):
+            assert main_text(f"<article><p>{long}in{mark}side</p><p>tail</p></article>") == f"{long}inside tail", mark
+            assert main_text(f"<article><p>{long}in{mark}side</p><p>tail</p></article><div>x<{tag}>gone</{tag}></div>") == f"{long}inside tail", mark
+
+
+def test_deep_pages():
+    long = "word, " * 50
+    for depth in (10, 399, 400, 401, 5000):
+        tower = "<div>" * depth
+        page = f"<body><article><p>{long}</p>{tower}<nav>menu</nav><aside>no</aside><footer>no</footer><form>no</form><p>deep</p>{'</div>' * depth}<p>end</p></article><p>outside</p></body>"
+        assert main_text(page) == f"{long}deep end", depth
+    t = time.time()
+    n = 40000
+    for page in ("<div>" * n + "</x>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<y>" * n + "<p>" * n, "<b>" * n + "<li>" * n, "<div>" * n + "<body>" * n, "<template>" * n + "</template>" * n, "<select>" * n):
+        main_text(page)
+    assert time.time() - t < 60
+
+
 def test_linear_time():
     t = time.time()
     for page in ("<div>" * 100000 + "x", "<" * 200000, "<a " + 'x="' * 60000, "<!--" * 50000, "<p>a" * 50000, "<ul>" * 300 + "<li><a>x</a>" * 20000, "&" * 200000):
