@@ -72,7 +72,8 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(m, r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3) & F.forall(F.split(m, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)) <= 255)
+        # Where a part has too many digits for an int, the cast fails.
+        return F.forall(F.split(m, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(256)) <= 255)
     if kind == "card":
         d = _digits(m)
         return F.when(F.length(d).between(16, 19), _luhn(d)).otherwise(False)

@@ -61,6 +61,13 @@ def test_long_runs_are_linear(spark):
     assert got[1] == got[2] == got[3] == got[6] == [] and got[4] == [("email", 0, 200003)] and len(got[5]) == 25000
 
 
+def test_ip_parts_beyond_int(spark):
+    texts = ["1.2.3.20240115123", "9999999999.1.1.1", "1.2.3.2147483648", "1.2.3.2147483647", "1.99999999999999999999.3.4 1.2.3.4", "0000000000001.2.3.0000000000255", "1.2.3.0000000000256"]
+    got = {r.doc_id: spans(r) for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i: [s for s in got[i] if s[0] == "ip"] for i in got} == {i: [s for s in plain(t) if s[0] == "ip"] for i, t in enumerate(texts)}
+    assert [sum(s[0] == "ip" for s in got[i]) for i in range(len(texts))] == [0, 0, 0, 0, 1, 1, 0]
+
+
 def test_disclosing_terms(spark):
     """A project name that goes with one address in different lines is removed; common words and words of mere copies stay."""
     common = [f"the plan number{i} was sent and filed again today" for i in range(3000)]
