@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +32,15 @@ def bounded_small(df: DataFrame, name: str, row_bytes: int = 64, most: int = BRO
     return F.broadcast(kept) if kept.count() * row_bytes <= most else kept
 
 
-def batches(spark: SparkSession, rows: int = 512) -> None:
-    """Let Arrow batches hold at most `rows` rows, so that very long texts stay bounded in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def sliced(parts: Iterator[pa.RecordBatch], rows: int = 512, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `rows` rows and about `most` bytes, so that a Python worker holds few texts at once.
+
+    Spark bounds the bytes of a batch itself (spark.sql.execution.arrow.maxBytesPerBatch); no setting of the session is touched.
+    """
+    for b in parts:
+        step = max(1, min(rows, b.num_rows * most // max(b.nbytes, 1)))
+        for i in range(0, max(b.num_rows, 1), step):
+            yield b.slice(i, step)
 
 
 def own_name(columns: list[str], base: str) -> str:

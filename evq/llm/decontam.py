@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.common import batches
+from evq.llm.common import sliced
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -99,7 +99,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
     """(id, n_words, n_hit, spans, items, contaminated) per row; with `keep`, the columns of docs instead, of clean rows only."""
     spark = docs.sparkSession
-    batches(spark)
     texts = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     blocks = int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
     row = F.struct(*docs.columns) if keep else F.struct(F.col(id_col).alias("id"))
@@ -109,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def searcher(patterns):
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = patterns.value
-            for b in parts:
+            for b in sliced(parts):
                 spans, items = [], []
                 for text, s, i in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     ranges, new = p.search(words_of(text))

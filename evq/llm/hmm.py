@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.common import batches, staged
+from evq.llm.common import sliced, staged
 
 STATES, CLASSES_HEAD, CLASSES_TAIL = 8, 1024, 1024
 HEAD = 1 << 16
@@ -63,7 +63,6 @@ def held_out(doc_id: Column, fold: int = 2, folds: int = 7) -> Column:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over the rows of (text); each task sends a word once per FLUSH distinct words."""
-    batches(texts.sparkSession)
     names = ["word", "n"]
 
     def out(c: Counter) -> pa.RecordBatch:
@@ -71,7 +70,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
-        for b in parts:
+        for b in sliced(parts):
             for t in b.column(0).to_pylist():
                 c.update(words_of(t))
             if b.num_rows:
@@ -128,7 +127,6 @@ def lexicon(counts: DataFrame) -> Lexicon:
 
 def encoded(docs: DataFrame, lex, id_col: str, text_col: str) -> DataFrame:
     """(key, id, held_out, n_tokens, classes, known, log_known, tail): class sequence, sums over head words and the words to look up."""
-    batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +134,7 @@ def encoded(docs: DataFrame, lex, id_col: str, text_col: str) -> DataFrame:
         logs = {w: float(np.log10(c + 1)) for w, c in x.counts.items()}
         task = TaskContext.get()
         at = task.partitionId() << 36 if task else 0
-        for b in parts:
+        for b in sliced(parts):
             n = b.num_rows
             classes, sizes, known, sums, tails = [], [], [], [], []
             for t in b.column(2).to_pylist():
@@ -232,7 +230,7 @@ def gathered(parts: Iterator[pa.RecordBatch], tokens: int = GATHER) -> Iterator[
         t = pa.Table.from_batches(held)
         return t, [np.frombuffer(x, dtype=np.uint16) for x in t.column("classes").to_pylist()]
 
-    for b in parts:
+    for b in sliced(parts):
         if b.num_rows:
             held.append(b)
             size += b.column("classes").nbytes // 2

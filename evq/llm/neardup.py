@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evq.llm.common import batches, bounded_small, staged
+from evq.llm.common import bounded_small, sliced, staged
 from evq.llm.simhash import components, shingle_hashes
 
 WIDTH = 5
@@ -57,7 +57,7 @@ def _signed(values, kind=np.uint64) -> pa.Array:
 def nodes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, node) of every row."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in sliced(parts):
             found = [_node(shingle_set(t, width)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _signed(found)], names=["id", "node"])
 
@@ -68,7 +68,7 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 def common_shingles(docs: DataFrame, text_col: str, width: int, common: int) -> np.ndarray:
     """Shingles near the front of the order by hash that are in many texts, by rising count."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in sliced(parts):
             low = [s[:prefix_length(len(s)) + len(s) // 8 + 2] for t in b.column(0).to_pylist() for s in [shingle_set(t, width)]]
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(low) if low else [])], names=["shingle"])
 
@@ -83,7 +83,7 @@ def prefix_entries(docs: DataFrame, text_col: str, width: int, last: np.ndarray)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = held.value
-        for b in parts:
+        for b in sliced(parts):
             out: list[list[np.ndarray]] = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]]
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, width)
@@ -106,7 +106,7 @@ def prefix_entries(docs: DataFrame, text_col: str, width: int, last: np.ndarray)
 def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes that have the similarity. firsts: (node, id) of one row of each node."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in sliced(parts):
             sets = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "s"])
 
@@ -142,13 +142,11 @@ def links(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", text_col:
     met = x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _fits(F.col("n1"), F.col("n2")) & (most * (OVER + UNDER) >= (F.col("n1") + F.col("n2")) * OVER))
     rest = staged(met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     more = confirmed(rest, docs, firsts, id_col, text_col, width)
-    batches(spark, 512)
     return found.union(more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, common: int = COMMON) -> DataFrame:
     """(id, component_id) for every row of docs, whose ids differ; component_id is the smallest id of the row's component."""
-    batches(docs.sparkSession, 512)
     rows = staged(nodes_of(docs, id_col, text_col, width), "shingle-nodes")
     firsts = staged(rows.groupBy("node").agg(F.min("id").alias("id")), "shingle-firsts")
     labels = components(staged(links(docs, firsts, id_col, text_col, width, common), "shingle-links"))

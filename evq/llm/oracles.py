@@ -50,16 +50,26 @@ s AS (
 x AS (SELECT doc_id, h, p, f.s s, least(9, length(ltrim(bin((1000 * f.a // greatest(f.b, 1) + 1)::BIGINT), '0')) - 1) bin FROM s),
 l AS (SELECT doc_id, sum((quality > 0)::INT) good, sum((quality <= 0)::INT) bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 c AS (SELECT s, bin, sum(good) g, sum(bad) b FROM x JOIN l USING (doc_id) GROUP BY ALL),
-r AS (SELECT s, bin, ln(((g + 0.5) / (sum(g) OVER (PARTITION BY s) + 5)) / ((b + 0.5) / (sum(b) OVER (PARTITION BY s) + 5))) v FROM c),
+sm AS (SELECT s, z.bin, sum(g * power(0.25, abs(c.bin - z.bin))) + 0.5 g, sum(b * power(0.25, abs(c.bin - z.bin))) + 0.5 b FROM c, (SELECT unnest(range(10)) bin) z GROUP BY ALL HAVING sum(g) > 0 AND sum(b) > 0),
+r AS (SELECT s, bin, ln((g / sum(g) OVER (PARTITION BY s)) / (b / sum(b) OVER (PARTITION BY s))) v FROM sm),
 e AS (SELECT doc_id, h, p, sum(coalesce(v, 0)) e FROM x LEFT JOIN r USING (s, bin) GROUP BY ALL),
 pa AS (SELECT h, p, sum(good)::DOUBLE k, sum(good + bad)::DOUBLE n FROM d JOIN l USING (doc_id) GROUP BY ALL),
 ho AS (SELECT h, sum(k) hk, sum(n) hn, sum(n * n) nn FROM pa GROUP BY 1),
-g AS (SELECT (sum(hk) + 0.5) / (sum(hn) + 1) mu, sum(hn) n, count(*) c, sum(hn * hn) nn FROM ho),
+g AS (SELECT (sum(hk) + 0.5) / (sum(hn) + 1) mu, sum(hk) k, sum(hn) n, count(*) c FROM ho),
 ab AS (SELECT 1 / least(greatest((sum(hn * power(hk / hn - mu, 2)) / any_value(mu * (1 - mu)) - any_value(c)) / greatest(any_value(n - c), 1), 0.0001), 0.9999) - 1 a FROM ho, g),
 hs AS (SELECT ho.*, (hk + a * mu) / (hn + a) hs FROM ho, g, ab),
 be AS (SELECT 1 / least(greatest((sum(n * power(k / n - hk / hn, 2) / (hs * (1 - hs))) - (count(*) - (SELECT count(*) FROM ho))) /
          greatest((SELECT sum(hn - nn / hn) FROM ho) - (count(*) - (SELECT count(*) FROM ho)), 1), 0.0001), 0.9999) - 1 b FROM pa JOIN hs USING (h)),
-ps AS (SELECT h, p, (k + b * hs) / (n + b) ps FROM pa JOIN hs USING (h), be),
-z AS (SELECT doc_id, e, least(greatest(coalesce(ps, hs, (SELECT mu FROM g)), 0.0001), 0.9999) site FROM e LEFT JOIN ps USING (h, p) LEFT JOIN hs USING (h))
+o AS (SELECT doc_id, e, coalesce(pa.k, 0) k, coalesce(pa.n, 0) n, coalesce(hk, 0) hk, coalesce(hn, 0) hn, coalesce(good, 0) x, coalesce(good + bad, 0) y
+  FROM e LEFT JOIN pa USING (h, p) LEFT JOIN ho USING (h) LEFT JOIN l USING (doc_id)),
+q AS (SELECT doc_id, e, (o.k - x + b * (hk - x + a * (g.k - x + 0.5) / (g.n - y + 1)) / (hn - y + a)) / (o.n - y + b) site FROM o, g, ab, be),
+z AS (SELECT doc_id, e, least(greatest(site, 0.0001), 0.9999) site FROM q)
 SELECT doc_id, round(1 / (1 + exp(-(ln(site / (1 - site)) + e))), 6) p_quality, 1 / (1 + exp(-(ln(site / (1 - site)) + e))) >= 0.5 kept FROM z
 """
+
+EXACT = """
+WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) keep_id, count(*) OVER (PARTITION BY t) group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 kept, sha256(t) text_sha256
+FROM d
+"""

@@ -1,13 +1,15 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
 Evidence. A document's statistics fall into few bins. Over all labelled documents one grouped
-aggregation counts good and bad per (statistic, bin); the evidence is the sum of the smoothed log
-likelihood ratios (a naive Bayes classifier of 60 numbers).
+aggregation counts good and bad per (statistic, bin); a bin also takes `NEAR` to the power of the
+distance of each other bin's counts, so that a bin few labels fell into follows its neighbours. The
+evidence is the sum of the smoothed log likelihood ratios (a naive Bayes classifier of 60 numbers).
 
 Sites. Labels are counted per host and per path below it. The share of good documents of a host is
 shrunk toward the global share, that of a path toward its host, each with a strength estimated from
 the counts by the method of moments (beta-binomial intraclass correlation), so sparse sites keep
-close to the level above. The posterior log odds of a document are the log odds of its path plus
+close to the level above. A labelled document's own labels are taken out of the counts of its path,
+host and the whole before its share is formed, so no document judges itself. The posterior log odds of a document are the log odds of its path plus
 its evidence; it is rejected below probability one half.
 
 Nulls: a null text counts as empty; null hosts and paths form a site of their own. Rows without
@@ -30,6 +32,7 @@ SAME_AGAIN = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)(?=[\x20\x09-\x0D]++\1(?
 BINS = 10
 STATISTICS = ("symbols", "marks", "capitals", "digits", "repeats", "distinct")
 SMOOTH = 0.5
+NEAR = 0.25
 FLOOR = 1e-4
 
 
@@ -54,18 +57,23 @@ def evidence_table(binned: DataFrame, labels: DataFrame) -> list:
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("bin")) for s in STATISTICS]))
     counts = binned.join(labels, "id").select(pairs.alias("p"), "good", "bad").groupBy("p.statistic", "p.bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     rows = counts.collect()
-    total = {s: (sum(r.good for r in rows if r.statistic == s), sum(r.bad for r in rows if r.statistic == s)) for s in STATISTICS}
-    full = [r for r in rows if min(total[r.statistic]) > 0]
-    return sorted((r.statistic, r.bin, (r.good + SMOOTH) / (total[r.statistic][0] + SMOOTH * BINS), (r.bad + SMOOTH) / (total[r.statistic][1] + SMOOTH * BINS)) for r in full)
-
-
-def site_posteriors(binned: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(host, path, path_share), (host, host_share) and the global share of good documents."""
+    out = []
+    for s in STATISTICS:
+        own = [r for r in rows if r.statistic == s]
+        if not sum(r.good for r in own) or not sum(r.bad for r in own):
+            continue
+        near = [[sum(r[c] * NEAR ** abs(r.bin - b) for r in own) + SMOOTH for b in range(BINS)] for c in ("good", "bad")]
+        out += [(s, b, near[0][b] / sum(near[0]), near[1][b] / sum(near[1])) for b in range(BINS)]
+    return out
+
+
+def site_counts(binned: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, float]]:
+    """(host, path, k, n), (host, hk, hn): good and all labels of the sites; the whole's counts and the strengths of both levels."""
     path = staged(binned.join(labels, "id").groupBy("host", "path").agg(F.sum("good").alias("k"), F.sum(F.col("good") + F.col("bad")).alias("n")).filter("n > 0"), "paths")
-    host = staged(path.groupBy("host").agg(F.sum("k").alias("hk"), F.sum("n").alias("hn"), F.count("*").alias("paths"), F.sum(F.col("n") * F.col("n")).alias("nn")), "hosts")
-    g = host.agg(F.sum("hk").alias("k"), F.sum("hn").alias("n"), F.count("*").alias("h"), F.sum(F.col("hn") * F.col("hn")).alias("nn")).first()
+    host = staged(path.groupBy("host").agg(F.sum("k").alias("hk"), F.sum("n").alias("hn"), F.sum(F.col("n") * F.col("n")).alias("nn")), "hosts")
+    g = host.agg(F.sum("hk").alias("k"), F.sum("hn").alias("n"), F.count("*").alias("h")).first()
     if not g.n:
-        return path.select("host", "path", F.lit(0.5).alias("path_share")), host.select("host", F.lit(0.5).alias("host_share")), 0.5
+        return path, host.drop("nn"), {"k": 0, "n": 0, "above": 1.0, "below": 1.0}
     mu = (g.k + SMOOTH) / (g.n + 2 * SMOOTH)
 
     def strength(spread: float, groups: float, effective: float) -> float:
@@ -75,14 +83,18 @@ def site_posteriors(binned: DataFrame, labels: DataFrame) -> tuple[DataFrame, Da
 
     spread = host.agg(F.sum(F.col("hn") * F.pow(F.col("hk") / F.col("hn") - mu, 2))).first()[0] / (mu * (1 - mu))
     above = strength(spread, g.h, g.n)
-    host = host.withColumn("host_share", (F.col("hk") + above * mu) / (F.col("hn") + above))
-    both = path.join(host, "host")
-    p = both.agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("hk") / F.col("hn"), 2) / (F.col("host_share") * (1 - F.col("host_share")))).alias("spread"),
-                 F.count("*").alias("paths")).first()
+    share = (F.col("hk") + above * mu) / (F.col("hn") + above)
+    p = path.join(host, "host").agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("hk") / F.col("hn"), 2) / (share * (1 - share))).alias("spread"), F.count("*").alias("paths")).first()
     inside = host.agg(F.sum(F.col("hn") - F.col("nn") / F.col("hn"))).first()[0]
-    below = strength(p.spread, p.paths - g.h, inside)
-    path = both.select("host", "path", ((F.col("k") + below * F.col("host_share")) / (F.col("n") + below)).alias("path_share"))
-    return path, host.select("host", "host_share"), mu
+    return path, host.drop("nn"), {"k": g.k, "n": g.n, "above": above, "below": strength(p.spread, p.paths - g.h, inside)}
+
+
+def site_share(c: dict[str, float], k: Column, n: Column, hk: Column, hn: Column, good: Column, bad: Column) -> Column:
+    """Share of a document's path, shrunk to its host, that to the whole, all without the document's own labels."""
+    less = lambda x, own: F.greatest(F.coalesce(x, F.lit(0)) - F.coalesce(own, F.lit(0)), F.lit(0))
+    whole = (less(F.lit(c["k"]), good) + SMOOTH) / (less(F.lit(c["n"]), good + bad) + 2 * SMOOTH)
+    host = (less(hk, good) + c["above"] * whole) / (less(hn, good + bad) + c["above"])
+    return (less(k, good) + c["below"] * host) / (less(n, good + bad) + c["below"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
@@ -94,16 +106,16 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     good = labels.filter(F.col(quality_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
         F.sum((F.col(quality_col) > 0).cast("long")).alias("good"), F.sum((F.col(quality_col) <= 0).cast("long")).alias("bad"))
     table = evidence_table(binned, good)
-    paths, hosts, mu = site_posteriors(binned, good)
-    paths, hosts = bounded_small(paths, "path-shares"), bounded_small(hosts, "host-shares")
+    paths, hosts, whole = site_counts(binned, good)
+    paths, hosts, own = bounded_small(paths, "path-counts"), bounded_small(hosts, "host-counts"), bounded_small(good.filter("id is not null"), "own-labels")
     ratio = {s: F.create_map(*([x for st, b, good_p, bad_p in table if st == s for x in (F.lit(int(b)), F.lit(math.log(good_p / bad_p)))] or [F.lit(-1), F.lit(0.0)]))
              for s in STATISTICS}
-    keys = {k: own_name(docs.columns, k) for k in ("__host", "__path", "__host_share", "__path_share", "__bins")}
-    kept = docs.withColumns({keys["__host"]: host, keys["__path"]: path, keys["__bins"]: F.struct(*statistic_bins(F.col(text_col)))})
-    kept = kept.join(paths.select(F.col("host").alias(keys["__host"]), F.col("path").alias(keys["__path"]), F.col("path_share").alias(keys["__path_share"])), [keys["__host"], keys["__path"]], "left")
-    kept = kept.join(hosts.select(F.col("host").alias(keys["__host"]), F.col("host_share").alias(keys["__host_share"])), keys["__host"], "left")
-    evidence = sum((F.coalesce(F.element_at(ratio[s], F.col(keys["__bins"])[s]), F.lit(0.0)) for s in STATISTICS), F.lit(0.0))
-    site = F.coalesce(F.col(keys["__path_share"]), F.col(keys["__host_share"]), F.lit(mu))
+    keys = {k: own_name(docs.columns, f"__{k}") for k in ("id", "host", "path", "bins", "k", "n", "hk", "hn", "good", "bad")}
+    named = lambda df: df.select(*[F.col(c).alias(keys[c]) for c in df.columns])
+    kept = docs.withColumns({keys["id"]: F.col(id_col), keys["host"]: host, keys["path"]: path, keys["bins"]: F.struct(*statistic_bins(F.col(text_col)))})
+    kept = kept.join(named(own), keys["id"], "left").join(named(paths), [keys["host"], keys["path"]], "left").join(named(hosts), keys["host"], "left")
+    evidence = sum((F.coalesce(F.element_at(ratio[s], F.col(keys["bins"])[s]), F.lit(0.0)) for s in STATISTICS), F.lit(0.0))
+    site = site_share(whole, *[F.col(keys[c]) for c in ("k", "n", "hk", "hn", "good", "bad")])
     site = F.least(F.greatest(site, F.lit(FLOOR)), F.lit(1 - FLOOR))
     p = 1 / (1 + F.exp(-(F.log(site / (1 - site)) + evidence)))
     return kept.select(*[kept[c] for c in docs.columns], F.struct(evidence.alias("evidence"), site.alias("site_share"), p.alias("p_quality"), (p >= 0.5).alias("kept")).alias(out))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm import decontam, hmm, html, mixing, oracles, pii, quality, rules, simhash, tokencount, warc
+from evq.llm import decontam, exactdedup, hmm, html, mixing, oracles, pii, quality, rules, simhash, tokencount, warc
 from evq.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_hidden_markov_score")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_exact_duplicates", oracles.EXACT)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays for its text."""
+    found = exactdedup.duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.common import batches, staged
+from evq.llm.common import sliced, staged
 
 MAX_LABELLED = 20_000
 WINDOW = 8
@@ -79,11 +79,10 @@ def text_statistics(text: str | None) -> tuple[int, ...]:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, BASE, EXTRA) per row."""
-    batches(docs.sparkSession)
     names = (*BASE, *EXTRA)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in sliced(parts):
             rows = np.array([text_statistics(t) for t in b.column(1).to_pylist()], dtype=np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(rows[:, j]) for j in range(len(names))]], names=["id", *names])
 
@@ -192,7 +191,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = [*BASE, *EXTRA]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in sliced(parts):
             v = {c: b.column(c).to_numpy() for c in names}
             p = 1 / (1 + np.exp(-forest.value.scores(features(v))))
             failed = (v["n_words"] < 20) | (100 * v["n_repeat_words"] > 30 * v["n_words"])

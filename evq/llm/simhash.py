@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.common import batches, bounded_small, own_name, staged
+from evq.llm.common import bounded_small, own_name, sliced, staged
 
 RADIUS = 3
 #: Fingerprints in one tile at most.
@@ -64,10 +64,9 @@ def text_fingerprint(text: str | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp): the fingerprint of every row as a signed long; rows are neither dropped nor merged."""
-    batches(docs.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in sliced(parts):
             fps = np.fromiter((text_fingerprint(t, width) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
@@ -136,7 +135,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     groups = rows.select("key", "fp", F.explode("pairs").alias("p")).groupBy("key", "p").agg(F.collect_list("fp").alias("fps"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts:
+        for b in sliced(parts):
             a, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             col = b.column(0)
             flat, cuts = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
@@ -146,7 +145,6 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
                 c.append(y.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], names=["a", "b"])
 
-    batches(nodes.sparkSession, 512)
     return groups.select("fps").mapInArrow(run, "a long, b long").distinct()
 
 

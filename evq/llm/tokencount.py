@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.common import batches
+from evq.llm.common import sliced
 
 CHUNK = 128
 CACHE = 400_000
@@ -284,7 +284,6 @@ _MERGERS: dict[tuple[str, int], Merger] = {}
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) per row. `path`: vocabulary file, read on the driver; its rules (bounded by the file) are broadcast."""
     spark = docs.sparkSession
-    batches(spark)
     rules = spark.sparkContext.broadcast(load_rules(path))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +292,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if key not in _MERGERS:
             _MERGERS[key] = Merger(merges)
         merger = _MERGERS[key]
-        for b in parts:
+        for b in sliced(parts):
             n = count_texts(b.column(1).to_pylist(), merger, specials)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, type=pa.int64())], names=["id", "n_bytes", "n_tokens"])
 

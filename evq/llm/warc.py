@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evq.functions.lineage import folder
-from evq.llm.common import batches, staged
+from evq.llm.common import staged
 
 MIN_BYTES = 100
 CRLF = "\r\n"
@@ -133,7 +133,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
-    batches(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, "id string, url string, record_type string, digest string, refers_to string, bytes long, intact boolean")
 

@@ -38,10 +38,21 @@ def test_sparse_sites_shrink(spark):
 
 
 def test_edges(spark, edge):
+    edge = edge.withColumnRenamed("_Quality_Model", "Quality_Model")
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (None, 1), (6, None), (8, 1)], "doc_id long, quality int")
     for lab in (labels, labels.limit(0)):
         out = quality.classify(edge, lab)
-        assert out.columns == [*edge.columns, "__quality_model"] and out.count() == edge.count()
-        assert out.filter(F.col("__quality_model.p_quality").isNull()).count() == 0
+        assert out.columns == [*edge.columns, "_quality_model"] and out.count() == edge.count()
+        assert out.filter(F.col("_quality_model.p_quality").isNull()).count() == 0
     assert quality.good_documents(edge, labels.limit(0)).count() == edge.count()
     assert quality.good_documents(edge.limit(0), labels).columns == edge.columns
+
+
+def test_own_label_is_left_out(spark):
+    """Turning a document's label round leaves its own site share as it was and changes that of its site."""
+    docs = spark.createDataFrame([(i, "same plain words", "en", f"h{i % 2}") for i in range(60)], "doc_id long, text string, lang string, source string")
+    share = []
+    for first in (0, 1):
+        labels = spark.createDataFrame([(i, first if i == 0 else int(i % 3 > 0)) for i in range(50)], "doc_id long, quality int")
+        share.append({r.doc_id: r.site for r in quality.classify(docs, labels).select("doc_id", F.col("quality_model.site_share").alias("site")).collect()})
+    assert abs(share[0][0] - share[1][0]) < abs(share[0][52] - share[1][52]) / 5 and share[0][52] < share[1][52]
