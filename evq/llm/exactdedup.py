@@ -46,7 +46,7 @@ def frequent(rows: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(digest): candidates, at most 2 x heavy, among them every digest of more than 1/heavy of the rows."""
     held = rows.groupBy((F.spark_partition_id() % FAN).alias("g")).agg(F.expr(f"approx_top_k_accumulate(digest, {TRACKED * heavy})").alias("s"))
     # Grouped by a constant, as a global aggregate would also merge an empty summary for every empty partition.
-    merged = held.groupBy(F.lit(0)).agg(F.expr("approx_top_k_combine(s)").alias("s"))
+    merged = held.groupBy(F.lit("all")).agg(F.expr("approx_top_k_combine(s)").alias("s"))
     return merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {2 * heavy})")).alias("x")).select(F.col("x.item").alias("digest"))
 
 

@@ -96,11 +96,11 @@ b AS (
 ra AS (SELECT k, g, pos // 8 run, n, list({'p': pos, 'h': h} ORDER BY pos) l FROM a WHERE n > 1 GROUP BY ALL),
 rb AS (SELECT k, pos // 8 run, n, list({'p': pos, 'h': h} ORDER BY pos) l FROM b WHERE n > 1 GROUP BY ALL),
 st AS (
-  SELECT p.g, p.pos, k, p.pos // (8 ** k)::BIGINT at, l FROM p JOIN ra ON ra.g = p.g AND run = p.pos // (8 ** (k + 1))::BIGINT
+  SELECT p.g, p.pos, k, p.pos // (8 ** k)::BIGINT mine, l FROM p JOIN ra ON ra.g = p.g AND run = p.pos // (8 ** (k + 1))::BIGINT
   UNION ALL
   SELECT p.g, p.pos, 100 + k, p.g // (8 ** k)::BIGINT, l FROM p JOIN rb ON run = p.g // (8 ** (k + 1))::BIGINT),
 sp AS (
-  SELECT g, pos, list({'l': array_to_string(list_transform(list_filter(l, lambda x: x.p < at), lambda x: x.h), ''), 'r': array_to_string(list_transform(list_filter(l, lambda x: x.p > at), lambda x: x.h), '')} ORDER BY k) z
+  SELECT g, pos, list({'l': array_to_string(list_transform(list_filter(l, lambda x: x.p < mine), lambda x: x.h), ''), 'r': array_to_string(list_transform(list_filter(l, lambda x: x.p > mine), lambda x: x.h), '')} ORDER BY k) z
   FROM st GROUP BY ALL),
 x AS (SELECT doc_id, leaf, alt, s.h subroot, (SELECT h FROM b WHERE n = 1) root, coalesce(z, []) z FROM p JOIN s USING (g) LEFT JOIN sp USING (g, pos)),
 y AS (SELECT *, sha256(array_to_string(list_transform(z, lambda e: e.l || e.r), '')) proof_sha256,
