@@ -107,3 +107,15 @@ y AS (SELECT *, sha256(array_to_string(list_transform(z, lambda e: e.l || e.r),
   list_reduce(list_prepend({'l': coalesce(alt, leaf), 'r': ''}, z), lambda h, e: {'l': sha256(e.l || h.l || e.r), 'r': ''}).l folded_root FROM x)
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root verified FROM y
 """
+
+NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r ar, a.vec_id anchor_id, a.label = b.label same, b.r, b.vec_id id, list_inner_product(a.q, b.q)::BIGINT score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id, r) <= 5),
+n AS (
+  SELECT p.ar, p.r pr, p.anchor_id, p.id positive_id, s.id negative_id, p.score positive_score, s.score negative_score, row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.id, s.r)::INT rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
