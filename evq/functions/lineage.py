@@ -40,3 +40,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `stage` wrote, once no later action reads it."""
+    spark = df.sparkSession
+    top = f"{_checkpoints(spark)}/tables/"
+    for name in {f[:f.index("/", f.index("/tables/") + len("/tables/"))] for f in df.inputFiles() if "/tables/" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.makeQualified(path).toString().startswith(fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(top)).toString()):
+            fs.delete(path, True)
