@@ -1,20 +1,24 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
+"""Near-duplicates by exact Jaccard similarity of word shingles, SimHash first.
 
 Two texts link when the sets of their five-word shingles have a Jaccard similarity of at least 4/5;
 a component is everything reachable. Texts of the same set are one node. No pair is missed.
 
+SimHash. The 64 majority bits of a node's shingles are compared in tiles (`simhash.links`); what lies within
+three bits is confirmed on the whole sets. This joins the closest copies, however many, at the cost of
+fingerprints. Similarity 0.8 may differ in more bits, so the rest goes through a prefix filter.
+
 Prefix filter. Under any one order of all shingles, two sets that link share a shingle among the first
 n - ceil(4n/5) + 1 of each (n: shingles of the set). The order is by hash, except that shingles counted
-often come last, by rising count, so that common lines bring few texts together. Which ones are counted
-affects the speed only. Texts that share a prefix shingle, fit in size and in the positions of the
-shingle are candidates, and each candidate is confirmed on its whole sets.
+often come last, by rising count, so that common lines bring few texts together. One counting pass, in
+which hashes travel packed in four bytes, yields these and a bitmap of fixed size of the shingles met twice;
+a shingle that was counted once joins nothing and is not shuffled again. Counts and bitmap affect the speed only.
 
-Hot groups. First every text meets only the smallest and the largest node under each of its prefix
-shingles: a number linear in the shingles, which joins large groups of near copies. Then all pairs that
-still lie in different components are compared, less those already compared.
+Hot groups. A shingle whose nodes lie in one component already is dropped by its smallest and largest label.
+First every node proposes the node with which it shares most of the ends of its shingles, one pair for each
+node. Then all pairs that still lie in different components are compared, in a join that may be split.
 
 Nulls and texts without words have the empty set and are one node; a text of fewer than five words is one
-shingle. Rows with a null or repeated id keep their own row.
+shingle. Rows with a null or repeated id keep their own row (`first_of_each`). Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,17 +28,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.common import bounded_small, sliced, staged
-from evq.llm.simhash import components, shingle_hashes
+from evq.functions.lineage import discard
+from evq.llm import simhash
+from evq.llm.common import bounded_small, own_name, sliced, staged
+from evq.llm.simhash import components, majority_bits, shingle_hashes
 
 WIDTH = 5
 #: Least Jaccard similarity, as a fraction of integers.
 OVER, UNDER = 4, 5
 #: Shingles in more texts than this come last in the order, at most so many of them.
 COMMON, MOST_COMMON = 50, 1 << 17
+#: Bits of the bitmap's size: 2**27 bits or 16 MB, whatever the corpus.
+MAP_BITS = 27
+#: Hashes that a task packs before it sends them on, and hashes of one group of the counting pass.
+PACK, GROUP = 1 << 21, 1 << 20
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -55,47 +65,100 @@ def _signed(values, kind=np.uint64) -> pa.Array:
 
 
 def nodes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, node) of every row."""
+    """(id, node, n, fp) of every row: the set's digest, size and majority bits."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(parts):
-            found = [_node(shingle_set(t, width)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed(found)], names=["id", "node"])
+            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed([_node(s) for s in sets]), pa.array([len(s) for s in sets], type=pa.int32()), _signed([majority_bits(s) for s in sets])],
+                                             names=["id", "node", "n", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, n int, fp long")
 
 
-def common_shingles(docs: DataFrame, text_col: str, width: int, common: int) -> np.ndarray:
-    """Shingles near the front of the order by hash that are in many texts, by rising count."""
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(parts):
-            low = [s[:prefix_length(len(s)) + len(s) // 8 + 2] for t in b.column(0).to_pylist() for s in [shingle_set(t, width)]]
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(low) if low else [])], names=["shingle"])
+def group_bits(shingles: int) -> int:
+    """Leading bits of a hash that name its group in the counting pass."""
+    return min(max(6, (max(shingles, 1) // GROUP).bit_length()), 20)
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") > common)
-    top = counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).collect()
-    return np.array([r.shingle for r in reversed(top)], dtype=np.int64).view(np.uint64)
 
+def counted_shingles(docs: DataFrame, text_col: str, width: int, common: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(common shingles by rising count, bitmap of those met twice), from the front of every text's order by hash.
 
-def prefix_entries(docs: DataFrame, text_col: str, width: int, last: np.ndarray) -> DataFrame:
-    """(shingle, node, n, at): the prefix of every text; at is the position in the order."""
-    held = docs.sparkSession.sparkContext.broadcast((np.sort(last), np.argsort(last, kind="stable")))
+    A shingle is told by the first bits + 32 of its hash, the bitmap by its first MAP_BITS.
+    """
+    shift = np.uint64(32 - bits)
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+            rows = []
+            group = (h >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(h) else np.empty(0, np.int64)
+            for i, j in zip(cuts, [*cuts[1:], len(h)]):
+                low, many = h[i:j].astype(np.uint32), n[i:j] > 1
+                rows.append((int(group[i]), low[~many].tobytes(), low[many].tobytes(), n[i:j][many].astype(np.uint32).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(list(x), type=k) for x, k in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["g", "one", "more", "counts"])
+
+        held, size = [], 0
+        for b in sliced(parts):
+            for t in b.column(0).to_pylist():
+                s = shingle_set(t, width)
+                held.append(s[:prefix_length(len(s)) + len(s) // 8 + 2] >> shift)
+                size += len(held[-1])
+            if size >= PACK:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def count(group: pa.Table) -> pa.Table:
+        g = group.column("g")[0].as_py()
+        join = lambda c: np.frombuffer(b"".join(group.column(c).to_pylist()), dtype=np.uint32)
+        one, more, n = join("one"), join("more"), join("counts")
+        low, where = np.unique(np.concatenate((one, more)), return_inverse=True)
+        total = np.bincount(where, weights=np.concatenate((np.ones(len(one)), n))).astype(np.int64)
+        bitmap = np.zeros(1 << (MAP_BITS - bits), dtype=bool)
+        bitmap[low[total > 1] >> np.uint32(32 - MAP_BITS + bits)] = True
+        often = np.flatnonzero(total > common)
+        often = often[np.argsort(-total[often], kind="stable")[:MOST_COMMON]]
+        key = (np.uint64(g) << np.uint64(32)) | low[often].astype(np.uint64)
+        return pa.table({"g": pa.array([g], type=pa.int32()), "bitmap": pa.array([np.packbits(bitmap).tobytes()], type=pa.binary()),
+                         "often": pa.array([key.view(np.int64)], type=pa.list_(pa.int64())), "n": pa.array([total[often]], type=pa.list_(pa.int64()))})
+
+    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(pack, "g int, one binary, more binary, counts binary")
+    counts = staged(packed.groupBy("g").applyInArrow(count, "g int, bitmap binary, often array<long>, n array<long>"), "shingle-counts")
+    bitmap = np.zeros(1 << (MAP_BITS - 3), dtype=np.uint8)
+    size = len(bitmap) >> bits
+    for r in counts.select("g", "bitmap").toLocalIterator():
+        bitmap[r.g * size:(r.g + 1) * size] = np.frombuffer(r.bitmap, dtype=np.uint8)
+    top = counts.select(F.explode(F.arrays_zip("often", "n")).alias("x")).select("x.*").orderBy(F.desc("n"), "often").limit(MOST_COMMON).collect()
+    discard(counts)
+    return np.array([r.often for r in reversed(top)], dtype=np.int64).view(np.uint64), bitmap
+
+
+def prefix_entries(docs: DataFrame, text_col: str, width: int, last: np.ndarray, bitmap: np.ndarray, bits: int) -> DataFrame:
+    """(shingle, node, n, at): the prefix of every text less the shingles counted once; at is the position in the order."""
+    held = docs.sparkSession.sparkContext.broadcast((np.sort(last), np.argsort(last, kind="stable"), bitmap))
+    shift = np.uint64(32 - bits)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = held.value
+        known, rank, twice = held.value
         for b in sliced(parts):
             out: list[list[np.ndarray]] = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]]
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, width)
-                n = len(s)
-                p = prefix_length(n)
-                ordered = s
+                n, p = len(s), prefix_length(len(s))
+                counted = np.arange(n) < p + n // 8 + 2
                 if len(known):
-                    i = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    late = known[i] == s
+                    i = np.minimum(np.searchsorted(known, s >> shift), len(known) - 1)
+                    late = known[i] == s >> shift
                     if late.any():
-                        ordered = np.concatenate((s[~late], s[late][np.argsort(rank[i[late]])]))
-                for o, x in zip(out, (ordered[:p], np.full(p, _node(s), np.uint64), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)), strict=True):
+                        order = np.concatenate((np.flatnonzero(~late), np.flatnonzero(late)[np.argsort(rank[i[late]], kind="stable")]))
+                        s, counted = s[order], counted[order]
+                place = s[:p] >> np.uint64(64 - MAP_BITS)
+                met = (twice[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1
+                keep = np.flatnonzero((met > 0) | ~counted[:p])
+                for o, x in zip(out, (s[keep], np.full(len(keep), _node(np.sort(s)), np.uint64), np.full(len(keep), n, np.int32), keep.astype(np.int32)), strict=True):
                     o.append(x)
             a, c, d, e = (np.concatenate(o) for o in out)
             yield pa.RecordBatch.from_arrays([_signed(a), _signed(c), pa.array(d), pa.array(e)], names=["shingle", "node", "n", "at"])
@@ -111,45 +174,80 @@ def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "s"])
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = bounded_small(firsts.join(wanted, "node", "left_semi").withColumnRenamed("id", "__id"), "candidates", 32)
+    rows = bounded_small(firsts.join(wanted, "node", "left_semi").select("node", F.col("id").alias("__id")), "candidates", 32)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(rows, "__id").select("node", "text")
     sets = staged(texts.mapInArrow(run, "node long, s array<long>"), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("k"))
-    return both.filter(F.col("k") * UNDER >= (F.col("n") - F.col("k")) * OVER).select("a", "b")
+    found = staged(both.filter(F.col("k") * UNDER >= (F.col("n") - F.col("k")) * OVER).select("a", "b"), "links")
+    discard(sets)
+    return found
 
 
 def _fits(n, m):
     return F.least(n, m) * UNDER >= F.greatest(n, m) * OVER
 
 
-def links(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, common: int = COMMON) -> DataFrame:
-    """(a, b): pairs of nodes with the similarity, enough of them to connect every component."""
-    spark = docs.sparkSession
-    entries = prefix_entries(docs, text_col, width, common_shingles(docs, text_col, width, common))
-    one, w = F.struct("node", "n"), Window.partitionBy("shingle")
-    shared = staged(entries.withColumn("low", F.min(one).over(w)).withColumn("high", F.max(one).over(w)).filter("low.node <> high.node").distinct(), "shared-shingles")
-    ends = [shared.filter((F.col("node") != F.col(f"{c}.node")) & _fits(F.col("n"), F.col(f"{c}.n"))).select(F.least("node", f"{c}.node").alias("a"), F.greatest("node", f"{c}.node").alias("b")) for c in ("low", "high")]
-    tried = staged(ends[0].union(ends[1]).distinct(), "end-pairs")
-    found = staged(confirmed(tried, docs, firsts, id_col, text_col, width), "end-links")
-    labels = components(found)
-    left = shared.select("shingle", "node", "n", "at").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = left.withColumn("few", F.min("label").over(w)).withColumn("many", F.max("label").over(w)).filter("few <> many").drop("few", "many")
-    apart = staged(apart, "apart")
+def _mixed(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries with the label of their node, of those shingles that are met in two components, with the smallest and the largest node."""
+    one = F.struct("node", "n")
+    named = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ends = named.groupBy("shingle").agg(F.min("label").alias("few"), F.max("label").alias("many"), F.min(one).alias("low"), F.max(one).alias("high")).filter("few <> many")
+    return named.join(ends.drop("few", "many"), "shingle")
+
+
+def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, common: int = COMMON) -> DataFrame:
+    """(a, b): pairs of nodes with the similarity, enough of them to connect every component.
+
+    nodes: (node, id, n, fp), one row of docs for each node; docs holds these rows alone.
+    """
+    close = simhash.links(nodes.filter("n > 0").select("fp").distinct())
+    first = nodes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("node"))
+    near = close.join(first.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+    same = nodes.filter("n > 0").join(first.withColumnRenamed("node", "x"), "fp").select("x", F.col("node").alias("y"))
+    tried = staged(near.union(same).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-pairs")
+    found = confirmed(tried, docs, nodes, id_col, text_col, width)
+
+    bits = group_bits((nodes.agg(F.sum("n")).first()[0] or 0) // 3)
+    last, bitmap = counted_shingles(docs, text_col, width, common, bits)
+    entries = staged(prefix_entries(docs, text_col, width, last, bitmap, bits), "prefixes")
+    mixed = staged(_mixed(entries, components(found)), "mixed")
+    discard(entries)
+    # Each node proposes the end with which it shares most shingles.
+    ends = [mixed.filter((F.col("node") != F.col(f"{c}.node")) & _fits(F.col("n"), F.col(f"{c}.n"))).select("node", F.col(f"{c}.node").alias("end")) for c in ("low", "high")]
+    best = ends[0].union(ends[1]).groupBy("node", "end").count().groupBy("node").agg(F.max(F.struct("count", "end")).alias("x"))
+    proposed = staged(best.select(F.least("node", "x.end").alias("a"), F.greatest("node", "x.end").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "proposals")
+    found, tried = staged(found.union(confirmed(proposed, docs, nodes, id_col, text_col, width)), "links"), staged(tried.union(proposed), "tried")
+    apart = staged(_mixed(mixed.select("shingle", "node", "n", "at"), components(found)).drop("low", "high"), "apart")
+    discard(mixed)
     x, y = (apart.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "at", "label")]) for k in (1, 2))
     # Where the shingle is the first that both share, no more than what follows it on either side can be shared.
     most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
     met = x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _fits(F.col("n1"), F.col("n2")) & (most * (OVER + UNDER) >= (F.col("n1") + F.col("n2")) * OVER))
     rest = staged(met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
-    more = confirmed(rest, docs, firsts, id_col, text_col, width)
-    return found.union(more)
+    discard(apart)
+    return found.union(confirmed(rest, docs, nodes, id_col, text_col, width))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, common: int = COMMON) -> DataFrame:
     """(id, component_id) for every row of docs, whose ids differ; component_id is the smallest id of the row's component."""
     rows = staged(nodes_of(docs, id_col, text_col, width), "shingle-nodes")
-    firsts = staged(rows.groupBy("node").agg(F.min("id").alias("id")), "shingle-firsts")
-    labels = components(staged(links(docs, firsts, id_col, text_col, width, common), "shingle-links"))
-    labelled = firsts.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
+    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp")), "shingle-firsts")
+    copies = bounded_small(rows.join(nodes.select("id"), "id", "left_anti").select(F.col("id").alias(id_col)), "copies", 32)
+    labels = components(links(docs.join(copies, id_col, "left_anti"), nodes, id_col, text_col, width, common))
+    labelled = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     return rows.join(labelled.join(smallest, "label").select("node", "component_id"), "node").select("id", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component one row, that with the smallest id, with its own columns.
+
+    Where ids are null or repeated, rows are numbered and written first (`simhash.first_of_each`), nulls coming last.
+    """
+    if not docs.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1)).isEmpty():
+        return simhash.first_of_each(docs, id_col, text_col, near=near_duplicates)
+    found = near_duplicates(docs, id_col, text_col)
+    key = own_name(docs.columns, "__gone")
+    gone = bounded_small(found.filter("id <> component_id").select(F.col("id").alias(key)), "gone", 32)
+    return docs.join(gone, F.col(id_col) == F.col(key), "left_anti")

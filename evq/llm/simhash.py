@@ -51,8 +51,12 @@ def shingle_hashes(text: str | None, width: int = 3) -> list[int]:
 
 def text_fingerprint(text: str | None, width: int = 3) -> int:
     """64 majority bits over the shingles of one text; 0 without words."""
-    hashes = shingle_hashes(text, width)
-    if not hashes:
+    return majority_bits(shingle_hashes(text, width))
+
+
+def majority_bits(hashes) -> int:
+    """Bits that are set in over half of the hashes; 0 without hashes."""
+    if not len(hashes):
         return 0
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), CHUNK):
