@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evq.functions.lineage import stage
-from evq.llm import decontam, mixing, neardup, pii, quality, simhash
+from evq.llm import decontam, mixing, neardup, pii, quality
 from evq.llm.common import table
 
 
@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (five-word shingles, similarity 0.8): that with the smallest id."""
-    return simhash.first_of_each(docs, near=neardup.near_duplicates)
+    return neardup.first_of_each(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
