@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evq.functions.lineage import cut
+from evq.functions.ordered import ordered_rank
 from evq.functions.cols import clip, log1p_or_zero, r6
 from evq.functions.sizing import settled
 from evq.operators.asof import anchor, calendar, dense_returns
@@ -148,21 +150,40 @@ def attach_event_type(results: DataFrame, car: DataFrame) -> DataFrame:
 
 
 def match_sets(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Assign each set in (a_id, item) to its best set in b (b_id, item) by Jaccard.
-
-    Sets of equal content are matched once, through one representative, and pairs meet
-    only through a shared item. Equal sets score one and so come first; ties go to the
-    smaller b_id. Several a sets may share a b set, unlike a one-by-one greedy pass.
+    """Assign every set of a (a_id, item) its own set of b (b_id, item): the best by Jaccard that no smaller a_id takes.
+
+    The result is that of a pass over a in ascending order in which each set takes its best free b set
+    (ties and no shared item: the smaller b_id); sets left over when b is used up get null. It is found in
+    rounds: each set without a partner asks the best b set that is free or held by a larger a_id, and
+    each b set keeps the smallest asker. Sets whose overlapping b sets are all refused ask in order of rank:
+    the i-th of them asks the i-th b set open to the first. Only pairs with a shared item are laid out, for
+    one representative of the sets of equal content.
     """
     a, b = a.select("a_id", "item").distinct(), b.select("b_id", "item").distinct()
     h1, h2 = F.xxhash64("item"), F.xxhash64(F.lit(17), "item")
     content = a.groupBy("a_id").agg(F.count("*").alias("na"), F.bit_xor(h1).alias("f1"), F.bit_xor(h2).alias("f2"))
     finger = ["na", "f1", "f2"]
-    rep = content.groupBy(*finger).agg(F.min("a_id").alias("a_id"))
-    nb = b.groupBy("b_id").agg(F.count("*").alias("nb"))
-    items = a.join(rep.select("a_id"), "a_id", "left_semi")
-    both = items.join(b, "item").groupBy("a_id", "b_id").agg(F.count("*").alias("n_both")).join(rep, "a_id").join(nb, "b_id")
-    j = both.withColumn("jaccard", F.col("n_both") / (F.col("na") + F.col("nb") - F.col("n_both")))
-    w = Window.partitionBy("a_id").orderBy(F.desc("jaccard"), "b_id")
-    best = j.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(*finger, "b_id", "jaccard")
-    return content.join(best, finger).select("a_id", "b_id", "jaccard", (F.col("jaccard") == 1).alias("exact"))
+    rep = content.groupBy(*finger).agg(F.min("a_id").alias("rep"))
+    sets = cut(content.join(rep, finger).select("a_id", "rep", "na"))
+    sizes = cut(b.groupBy("b_id").agg(F.count("*").alias("nb")))
+    items = a.withColumnRenamed("a_id", "rep").join(sets.select("rep").distinct(), "rep", "left_semi")
+    both = items.join(b, "item").groupBy("rep", "b_id").agg(F.count("*").alias("n_both")).join(sets.filter("a_id = rep").select("rep", "na"), "rep").join(sizes, "b_id")
+    edges = cut(both.select("rep", "b_id", (F.col("n_both") / (F.col("na") + F.col("nb") - F.col("n_both"))).alias("jaccard")))
+    held = cut(sizes.select("b_id").join(sets.select(F.col("a_id").alias("holder")).limit(0)))
+    while True:
+        alone = sets.join(held.select(F.col("holder").alias("a_id")), "a_id", "left_anti")
+        open_to = lambda x: F.col("holder").isNull() | (F.col("holder") > x)
+        asked = cut(alone.join(edges, "rep").join(held, "b_id", "left").filter(open_to(F.col("a_id"))).groupBy("a_id").agg(
+            F.min(F.struct((-F.col("jaccard")).alias("j"), "b_id")).alias("x")).select("x.b_id", F.col("a_id").alias("holder")))
+        refused = cut(alone.select("a_id").join(asked.select(F.col("holder").alias("a_id")), "a_id", "left_anti"))
+        first = refused.agg(F.min("a_id")).first()[0]
+        if first is not None:
+            free = ordered_rank(sizes.select("b_id").join(held, "b_id", "left").filter(open_to(F.lit(first))).select("b_id"), [], ["b_id"])
+            asked = asked.union(ordered_rank(refused, [], ["a_id"]).join(free, "rn").select("b_id", F.col("a_id").alias("holder")))
+        asked = cut(asked)
+        if asked.isEmpty():
+            break
+        held = cut(held.union(asked).groupBy("b_id").agg(F.min("holder").alias("holder")))
+    out = sets.join(held.withColumnRenamed("holder", "a_id"), "a_id", "left").join(edges, ["rep", "b_id"], "left")
+    jaccard = F.when(F.col("b_id").isNotNull(), F.coalesce("jaccard", F.lit(0.0)))
+    return out.select("a_id", "b_id", jaccard.alias("jaccard"), F.coalesce(jaccard == 1, F.lit(False)).alias("exact"))

@@ -139,14 +139,28 @@ def _(s):
     return E.attach_event_type(s.res(1), s.car).select("event_id", "event_date", "industry_code", "prob_up", "event_type")
 
 
-@query("d15_match_sets", """WITH a AS (SELECT DISTINCT s_nationkey AS a_id, p_brand AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey),
-  b AS (SELECT DISTINCT p_type AS b_id, p_brand AS item FROM part),
-  j AS (SELECT a_id, b_id, count(*) / CAST((SELECT count(*) FROM a x WHERE x.a_id = a.a_id) + (SELECT count(*) FROM b y WHERE y.b_id = b.b_id) - count(*) AS DOUBLE) AS jaccard
-    FROM a JOIN b USING (item) GROUP BY a_id, b_id)
-  SELECT a_id, b_id, r6(jaccard) AS jaccard, jaccard = 1 AS exact FROM j QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY jaccard DESC, b_id) = 1""")
+def match_sql(a: str, b: str) -> str:
+    """The sets of a one after another; each takes its best b set that none before it took."""
+    return f"""WITH RECURSIVE a AS ({a}), b AS ({b}), ia AS (SELECT a_id, row_number() OVER (ORDER BY a_id) AS k, count(*) AS na FROM a GROUP BY a_id), ib AS (SELECT b_id, count(*) AS nb FROM b GROUP BY b_id),
+  n AS (SELECT a_id, b_id, count(*) AS n FROM a JOIN b USING (item) GROUP BY 1, 2),
+  w AS (SELECT k, list({{'b': b_id, 'j': coalesce(n, 0) / CAST(na + nb - coalesce(n, 0) AS DOUBLE)}} ORDER BY coalesce(n, 0) / CAST(na + nb - coalesce(n, 0) AS DOUBLE) DESC, b_id) AS l FROM ia CROSS JOIN ib LEFT JOIN n USING (a_id, b_id) GROUP BY k),
+  r AS (SELECT 0 AS k, list_value((SELECT min(b_id) FROM b))[1:0] AS used, NULL::STRUCT(b VARCHAR, j DOUBLE) AS x
+    UNION ALL SELECT k, CASE WHEN x IS NULL THEN used ELSE list_append(used, x.b) END, x FROM (SELECT w.k, used, list_filter(l, lambda e: NOT list_contains(used, e.b))[1] AS x FROM r JOIN w ON w.k = r.k + 1))
+  SELECT a_id, x.b AS b_id, r6(x.j) AS jaccard, coalesce(x.j = 1, false) AS exact FROM r JOIN ia USING (k)"""
+
+
+@query("d15_match_sets", match_sql("SELECT DISTINCT s_nationkey AS a_id, p_brand AS item FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey", "SELECT DISTINCT p_type AS b_id, p_brand AS item FROM part"))
 def _(s):
     pt = s.t("part").select("p_partkey", "p_brand", "p_type")
     a = s.t("lineitem").join(s.t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(pt, F.col("l_partkey") == F.col("p_partkey"))
     a = a.select(F.col("s_nationkey").alias("a_id"), F.col("p_brand").alias("item"))
     b = pt.select(F.col("p_type").alias("b_id"), F.col("p_brand").alias("item"))
     return E.match_sets(a, b).withColumn("jaccard", r6("jaccard"))
+
+
+@query("d15_match_sets_left_over", match_sql("SELECT DISTINCT p_brand AS a_id, p_size AS item FROM part WHERE p_size % 10 <> 0 OR p_brand < 'Brand#3'", "SELECT DISTINCT p_type AS b_id, p_size AS item FROM part WHERE p_size % 10 = 0"))
+def _(s):
+    """More sets than partners, some without a shared item."""
+    pt = s.t("part")
+    a, b = (pt.select(F.col(c).alias(k), F.col("p_size").alias("item")) for c, k in (("p_brand", "a_id"), ("p_type", "b_id")))
+    return E.match_sets(a.filter("item % 10 <> 0 or a_id < 'Brand#3'"), b.filter("item % 10 = 0")).withColumn("jaccard", r6("jaccard"))
