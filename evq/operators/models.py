@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, StandardScaler, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evq.functions.boosting import Trees, boost, boost_all
 from evq.functions.cols import clip
 from evq.functions.lineage import cut
 from evq.functions.ordered import exact_quantiles
@@ -192,9 +194,45 @@ def forecast_ridge(train: DataFrame, test: DataFrame, horizon: int = 5, alpha: f
         featuresCol="_f", labelCol="_y", predictionCol=p, regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False, solver="normal"))
 
 
-def forecast_gbt(train: DataFrame, test: DataFrame, horizon: int = 5, rounds: int = 120) -> DataFrame:
-    return _fit_steps(train, test, horizon, lambda p: GBTRegressor(
-        featuresCol="_f", labelCol="_y", predictionCol=p, maxDepth=3, stepSize=0.05, maxIter=rounds, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42))
+def forecast_gbt(train: DataFrame, test: DataFrame, horizon: int = 5, rounds: int = 120, max_train: int = 50_000) -> DataFrame:
+    """Boosted trees on flattened windows, one model for each output step, fitted side by side.
+
+    Each fit is one task over at most max_train windows (those of the smallest hash, so all of them in smaller
+    tables); the models have a fixed size and score every window where it lies.
+    """
+    drawn = cut(train.select("x", F.slice("y", 1, horizon).alias("y")).orderBy(F.xxhash64("x", "y"), "x").limit(max_train))
+    steps = drawn.select("x", F.posexplode("y").alias("step", "t"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = boost(np.stack(pdf["x"].to_numpy()), pdf["t"].to_numpy(float), False, rounds, 3, 0.05, 0.8, 0.8, 1.0, 1)
+        return pd.DataFrame({"step": [pdf["step"].iloc[0]], "model": [m.pack()]})
+
+    models = {r.step: r.model for r in steps.groupBy("step").applyInPandas(fit, "step int, model binary").collect()}
+    held = test.sparkSession.sparkContext.broadcast([models[k] for k in sorted(models)])
+
+    @F.pandas_udf("array<double>")
+    def score(xs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trees = [Trees.unpack(m) for m in held.value]
+        for x in xs:
+            v = np.stack(x.to_numpy()) if len(x) else np.empty((0, 1))
+            yield pd.Series(list(np.stack([t.scores(v) for t in trees], axis=1)) if len(x) else [], dtype=object)
+
+    out = test.withColumn("mean", score("x")).withColumn("_mu", mean(F.col("x")))
+    out = out.withColumns({"var": variance(F.col("x"), F.col("_mu"), 0) + 1e-8, "signal": mean(F.col("mean"))})
+    prob = 1 / (1 + F.exp(-3.0 * F.col("signal") / F.greatest(F.sqrt("var"), F.lit(1e-6))))
+    return out.withColumn("prob_up", prob).drop("_mu")
+
+
+def forecast_pool(windows: DataFrame, horizon: int = 5, rounds: int = 120) -> DataFrame:
+    """Candidate forecasts of every window: momentum, and ridge and boosted trees fitted on the training windows (is_train)."""
+    w = windows.withColumn("is_val", ~F.col("is_train"))
+    train = w.filter("is_train")
+    made = {"momentum": forecast_momentum(w, horizon), "linear": forecast_ridge(train, w, horizon), "trees": forecast_gbt(train, w, horizon, rounds)}
+    out = None
+    for name, df in made.items():
+        one = df.withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def temporal_split(windows: DataFrame, share: float = 0.8) -> DataFrame:
@@ -275,15 +313,6 @@ def baseline_momentum(rows: DataFrame, rel: str = "rel_r20") -> DataFrame:
     return rows.withColumn("b3", F.when(F.coalesce(rel, F.lit(0.0)) >= 0, "+").otherwise("-"))
 
 
-def _classifier(kind: str, feats, rounds: int, n: int):
-    """Unfitted pipeline; the ridge term of the logistic one has weight 1 against the summed loss of n rows."""
-    vec = VectorAssembler(inputCols=list(feats), outputCol="_v", handleInvalid="skip")
-    if kind == "logistic":
-        sc = StandardScaler(inputCol="_v", outputCol="_f", withMean=True)
-        return Pipeline(stages=[vec, sc, _logistic(n)])
-    return Pipeline(stages=[vec, GBTClassifier(featuresCol="_v", labelCol="_y", predictionCol="_pd", maxDepth=4, maxIter=rounds, stepSize=0.05, subsamplingRate=0.9, seed=42)])
-
-
 def _logistic(n: int):
     return LogisticRegression(featuresCol="_f", labelCol="_y", predictionCol="_pd", probabilityCol="_pr", rawPredictionCol="_rw", maxIter=100, regParam=1.0 / n)
 
@@ -313,9 +342,88 @@ def _expanding(rows: DataFrame, features: Sequence[str], block: str, make, min_r
     return rows.limit(0).withColumn("pred", F.lit(None).cast("string")) if out is None else out
 
 
-def baseline_ml(rows: DataFrame, features: Sequence[str], kind: str, block: str, rounds: int = 120, min_rows: int = 20) -> DataFrame:
-    """Logistic or boosted-tree classifier of the features, refitted on the past at each block value."""
-    return _expanding(rows, features, block, lambda n: _classifier(kind, features, rounds, n), min_rows)
+def expanding_fits(rows: DataFrame, date: str, order: Sequence[str], fit, max_train: int, min_rows: int, chunk: int = 16) -> DataFrame:
+    """(date, model): fit([(x, y), ...]) gives one model for each set, which holds the last max_train of the rows (x, _y, date, order) strictly before every date.
+
+    Runs of `chunk` dates share a task, which holds the last max_train rows before the run and at most max_train
+    of each of its dates, sorted once; each date reads its prefix, and the run's fits go on together. Dates with fewer than min_rows earlier rows, or
+    rows of one direction only, get no model.
+    """
+    days = rows.select(date).distinct().withColumn("_chunk", F.floor((F.row_number().over(Window.orderBy(date)) - 1) / chunk).cast("int"))
+    base = rows.join(F.broadcast(days), date)
+    late = training_blocks(base, date, "_chunk", order, max_train).select("x", "_y", date, *order, F.col("fit_block").alias("_chunk"))
+    last = Window.partitionBy(date).orderBy(*[F.desc(c) for c in order])
+    own = base.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= max_train).select("x", "_y", date, *order, "_chunk")
+    held = late.withColumn("_own", F.lit(False)).unionByName(own.withColumn("_own", F.lit(True))).withColumn("_day", F.unix_date(F.col(date).cast("date")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_day", *order], kind="stable")
+        x, y, day = np.stack(pdf["x"].to_numpy()), pdf["_y"].to_numpy(float), pdf["_day"].to_numpy()
+        ends = {int(d): int(np.searchsorted(day, d)) for d in np.unique(day[pdf["_own"].to_numpy()])}
+        parts = {d: slice(max(0, n - max_train), n) for d, n in ends.items() if n >= min_rows}
+        parts = {d: p for d, p in parts.items() if 0 < y[p].sum() < len(y[p])}
+        return pd.DataFrame({"_day": list(parts), "model": fit([(x[p], y[p]) for p in parts.values()]) if parts else []})
+
+    fitted = held.groupBy("_chunk").applyInPandas(run, "_day int, model binary")
+    return fitted.select(F.date_from_unix_date("_day").alias("_day"), "model")
+
+
+def scored_by_date(rows: DataFrame, models: DataFrame, date: str, score, slice_rows: int = 10_000) -> DataFrame:
+    """rows (with an array x) and the column z: score(model, x) by the model of the row's date, null without one.
+
+    A date's rows meet its model in slices of about slice_rows rows.
+    """
+    counts = rows.groupBy(F.col(date).cast("date").alias("_day")).agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("_n"))
+    sliced = rows.withColumn("_day", F.col(date).cast("date")).join(counts, "_day").withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.col("_n")).cast("int")).drop("_n")
+    placed = models.join(counts, "_day").select("_day", "model", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = np.stack([np.asarray(v, dtype=float) for v in left.column("x").to_pylist()]) if left.num_rows else np.empty((0, 1))
+        z = score(right.column("model")[0].as_py(), x) if right.num_rows and left.num_rows else None
+        return left.drop_columns(["_day", "_s"]).append_column("z", pa.array(z, type=pa.float64()) if z is not None else pa.nulls(left.num_rows, pa.float64()))
+
+    shape = rows.withColumn("z", F.lit(None).cast("double")).schema
+    return sliced.groupBy("_day", "_s").cogroup(placed.groupBy("_day", "_s")).applyInArrow(run, shape)
+
+
+def logistic_fit(x: np.ndarray, y: np.ndarray) -> bytes:
+    """Ridge logistic (weight 1 against the summed loss) of standardised features by Newton steps: means, scales, coefficients."""
+    mu, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd > 0, sd, 1.0)
+    a = np.hstack([(x - mu) / sd, np.ones((len(x), 1))])
+    pen = np.eye(a.shape[1])
+    pen[-1, -1] = 1e-9
+    b = np.zeros(a.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + pen, a.T @ (p - y) + pen @ b)
+        b -= step
+        if np.abs(step).max() < 1e-10:
+            break
+    return np.concatenate([mu, sd, b]).tobytes()
+
+
+def logistic_score(model: bytes, x: np.ndarray) -> np.ndarray:
+    v, m = np.frombuffer(model), x.shape[1]
+    return (x - v[:m]) / v[m:2 * m] @ v[2 * m:-1] + v[-1]
+
+
+def baseline_ml(rows: DataFrame, features: Sequence[str], kind: str, date: str = "event_date", order: Sequence[str] = ("event_id",), rounds: int = 120, min_rows: int = 20,
+                max_train: int = 1_000) -> DataFrame:
+    """Logistic ("logistic") or boosted-tree ("gbt") classifier of the features, refitted at every date on earlier rows.
+
+    `pred` is '+' or '-'. A fit takes the last max_train earlier rows with all features. Rows without features and dates
+    without a fit (fewer than min_rows earlier rows, one direction only) take the majority baseline.
+    """
+    base = cut(baseline_majority(rows).withColumns({"_y": (F.col("real_dir") == "+").cast("double"), "x": F.array(*[F.col(c).cast("double") for c in features])}))
+    whole = base.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    trees = lambda sets: [t.pack() for t in boost_all(sets, True, rounds, 4, 0.05, 0.9, 0.9, 0.0, 5)]
+    lines = lambda sets: [logistic_fit(x, y) for x, y in sets]
+    models = expanding_fits(whole.select("x", "_y", date, *order), date, order, lines if kind == "logistic" else trees, max_train, min_rows)
+    scored = scored_by_date(whole, cut(models), date, logistic_score if kind == "logistic" else lambda m, x: Trees.unpack(m).scores(x))
+    rest = base.filter(~F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))).withColumn("z", F.lit(None).cast("double"))
+    out = scored.unionByName(rest)
+    return out.select(*rows.columns, F.when(F.col("z").isNull(), F.col("b1")).when(F.col("z") > 0, "+").otherwise("-").alias("pred"))
 
 
 def char_ngrams(text: Column, lo: int = 2, hi: int = 4) -> Column:

@@ -117,28 +117,36 @@ def _(s):
 @query("f9_forecast_gbt")
 def _(s):
     w = split(s)
-    f = M.forecast_gbt(w.filter("is_train"), w.filter("not is_train"), 2, 10)
+    f = M.forecast_gbt(w.filter("is_train"), w.filter("not is_train"))
     return f.select("industry_code", "start_d", r6("signal").alias("signal"), r6("prob_up").alias("prob_up"))
 
 
 def candidates(s):
-    """Momentum with two look-backs as candidate models over the same windows."""
+    """Three given forecasts over the same windows: momentum with two look-backs, and no change."""
     w = M.temporal_split(windows(s)).withColumn("is_val", ~F.col("is_train"))
     a = M.forecast_momentum(w, 5, 20).withColumn("model", F.lit("slow"))
-    return a.unionByName(M.forecast_momentum(w, 5, 5).withColumn("model", F.lit("fast")))
+    still = a.withColumns({"model": F.lit("still"), "mean": F.array_repeat(F.lit(0.0), 5), "signal": F.lit(0.0), "prob_up": F.lit(0.5)})
+    return a.unionByName(M.forecast_momentum(w, 5, 5).withColumn("model", F.lit("fast"))).unionByName(still)
 
 
 @query("f10_pool_select", """WITH n AS (SELECT industry_code, d, ret, row_number() OVER (PARTITION BY industry_code ORDER BY d) - 1 AS k FROM feat WHERE ret IS NOT NULL),
   w AS (SELECT a.industry_code, a.d AS start_d, a.k, sum(CASE WHEN b.k < a.k + 20 THEN b.ret END) / 5 AS slow, sum(CASE WHEN b.k BETWEEN a.k + 15 AND a.k + 19 THEN b.ret END) / 5 AS fast FROM n a JOIN n b ON a.industry_code = b.industry_code AND b.k BETWEEN a.k AND a.k + 24 WHERE a.k % 5 = 0 GROUP BY 1, 2, 3 HAVING count(*) = 25),
   v AS (SELECT *, row_number() OVER (PARTITION BY industry_code ORDER BY start_d) > greatest(1, floor(count(*) OVER (PARTITION BY industry_code) * 0.8)) AS is_val FROM w),
-  l AS (SELECT avg(abs(y.ret - slow)) AS ls, avg(abs(y.ret - fast)) AS lf FROM v JOIN n y ON y.industry_code = v.industry_code AND y.k BETWEEN v.k + 20 AND v.k + 24 WHERE is_val),
-  z AS (SELECT (1 / ls) / (1 / ls + 1 / lf) AS ws, (1 / lf) / (1 / ls + 1 / lf) AS wf, CASE WHEN lf <= ls THEN 'fast' ELSE 'slow' END AS selected FROM l)
-  SELECT industry_code, start_d, r6(ws * slow + wf * fast) AS signal, r6(ws / (1 + exp(-3 * slow)) + wf / (1 + exp(-3 * fast))) AS prob_up, selected, 2::BIGINT AS n_models FROM v, z""")
+  l AS (SELECT avg(abs(y.ret - slow)) AS ls, avg(abs(y.ret - fast)) AS lf, avg(abs(y.ret)) AS l0 FROM v JOIN n y ON y.industry_code = v.industry_code AND y.k BETWEEN v.k + 20 AND v.k + 24 WHERE is_val),
+  z AS (SELECT 1 / ls / t AS ws, 1 / lf / t AS wf, 1 / l0 / t AS w0, CASE WHEN lf <= ls AND lf <= l0 THEN 'fast' WHEN ls <= l0 THEN 'slow' ELSE 'still' END AS selected FROM (SELECT *, 1 / ls + 1 / lf + 1 / l0 AS t FROM l))
+  SELECT industry_code, start_d, r6(ws * slow + wf * fast) AS signal, r6(ws / (1 + exp(-3 * slow)) + wf / (1 + exp(-3 * fast)) + w0 / 2) AS prob_up, selected, 3::BIGINT AS n_models FROM v, z""")
 def _(s):
     p = M.pool_select(candidates(s), ["industry_code", "start_d"])
     return p.select("industry_code", "start_d", r6("signal").alias("signal"), r6("prob_up").alias("prob_up"), "selected", "n_models")
 
 
+@query("f10_pool_models")
+def _(s):
+    """Momentum, ridge and boosted trees, weighted by their loss on each series' last fifth of windows."""
+    p = M.pool_select(M.forecast_pool(split(s)), ["industry_code", "start_d"])
+    return p.select("industry_code", "start_d", r6("signal").alias("signal"), r6("prob_up").alias("prob_up"), "selected", "n_models")
+
+
 CF = """cf AS (SELECT industry_code, least(5, greatest(0.5, quantile_cont(abs(actual - mean) / ((upper_80 - lower_80) / 2 + 1e-8), 0.8))) AS f80, least(5, greatest(0.5, quantile_cont(abs(actual - mean) / ((upper_95 - lower_95) / 2 + 1e-8), 0.95))) AS f95 FROM fc GROUP BY 1)"""
 
 
@@ -186,17 +194,17 @@ def _(s):
 
 def ml_rows(s):
     b = X.baseline_features(s.scn, s.px, s.mkt).select("event_id", "industry_code", *X.BASELINE)
-    return s.res(0).join(b, EK).withColumn("block", F.year("event_date"))
+    return s.res(0).join(b, EK)
 
 
 @query("f17_baseline_logistic")
 def _(s):
-    return M.baseline_ml(ml_rows(s), X.BASELINE, "logistic", "block").select(*EK, "pred")
+    return M.baseline_ml(ml_rows(s), X.BASELINE, "logistic", order=EK).select(*EK, "pred")
 
 
 @query("f17_baseline_gbt")
 def _(s):
-    return M.baseline_ml(ml_rows(s), X.BASELINE, "gbt", "block", rounds=5).select(*EK, "pred")
+    return M.baseline_ml(ml_rows(s), X.BASELINE, "gbt", order=EK).select(*EK, "pred")
 
 
 @query("f18_baseline_text")

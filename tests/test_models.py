@@ -2,8 +2,10 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 
+from evq.functions.boosting import Trees, boost
 from evq.operators import models as M
 
 
@@ -24,9 +26,10 @@ def majority(df):
 @pytest.mark.parametrize("kind", ["logistic", "gbt"])
 def test_feature_baseline(spark, kind):
     df = rows(spark, True)
-    out = {r.id: r for r in M.baseline_ml(df, ["x"], kind, "block", rounds=5).collect()}
+    out = {r.id: r for r in M.baseline_ml(df.withColumnRenamed("x", "v"), ["v"], kind, order=["id"]).collect()}
     b1 = majority(df)
-    assert len(out) == 240 and all(out[k].pred == b1[k] for k in range(60)) and out[200].pred == b1[200]
+    early = [r.id for r in out.values() if sum(o.event_date < r.event_date and o.v is not None for o in out.values()) < 20]
+    assert len(out) == 240 and early and all(out[k].pred == b1[k] for k in early) and out[200].pred == b1[200]
     assert sum(out[k].pred == out[k].real_dir for k in range(60, 240)) > 170
 
 
@@ -49,3 +52,49 @@ def test_text_baseline_of_nothing(spark):
     df = rows(spark, False)
     assert M.baseline_text(df, "block", n_features=512).count() == 240
     assert M.baseline_text(df.limit(0), "block").columns == [*df.columns, "pred"]
+
+
+def test_every_date_has_its_own_fit(spark):
+    """Each date's score is that of an independent fit on all earlier rows, in any grouping of the dates."""
+    rng = np.random.default_rng(4)
+    data = [(k, dt.date(2001, 1, 1) + dt.timedelta(days=k // 3), float(a), float(b), "+" if a * b + 0.3 * e > 0 else "-") for k, (a, b, e) in enumerate(rng.normal(size=(180, 3)))]
+    df = spark.createDataFrame(data, "id int, event_date date, a double, b double, real_dir string")
+    x, y, day = np.array([r[2:4] for r in data]), np.array([r[4] == "+" for r in data], float), np.array([r[1] for r in data])
+    for kind, most in (("logistic", 1_000), ("gbt", 1_000), ("gbt", 50)):
+        out = {r.id: r.pred for r in M.baseline_ml(df, ["a", "b"], kind, order=["id"], rounds=12, max_train=most).collect()}
+        b1 = majority(df)
+        for d in np.unique(day):
+            past = np.flatnonzero(day < d)[-most:]
+            own = np.flatnonzero(day == d)
+            if (day < d).sum() < 20:
+                want = [b1[i] for i in own]
+            elif kind == "logistic":
+                want = ["+" if z > 0 else "-" for z in M.logistic_score(M.logistic_fit(x[past], y[past]), x[own])]
+            else:
+                want = ["+" if z > 0 else "-" for z in boost(x[past], y[past], True, 12, 4, 0.05, 0.9, 0.9, 0.0, 5).scores(x[own])]
+            assert [out[i] for i in own] == want
+
+
+def test_boosting_splits_like_brute_force():
+    """One tree of depth one takes the split of least squared error; many trees fit a product of two features."""
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=60)
+    t = boost(x, y, False, 1, 1, 1.0, 1.0, 1.0, 0.0, 1)
+    loss = {(j, c): ((y - np.where(x[:, j] > c, y[x[:, j] > c].mean(), y[x[:, j] <= c].mean())) ** 2).sum() for j in range(3) for c in np.sort(x[:, j])[:-1]}
+    assert ((y - t.scores(x)) ** 2).sum() == pytest.approx(min(loss.values()))
+    x = rng.normal(size=(3000, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    m = boost(x[:2000], y[:2000], True, 120, 4, 0.05, 0.9, 0.9, 0.0, 5)
+    assert ((m.scores(x[2000:]) > 0) == (y[2000:] > 0)).mean() > 0.9
+    assert (Trees.unpack(m.pack()).scores(x) == m.scores(x)).all()
+
+
+def test_pool_of_three_models(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(240):
+        v = np.sin(np.arange(25) / 3 + k)
+        rows.append((f"i{k % 4}", dt.date(2020, 1, 1) + dt.timedelta(days=k // 4), (v[:20] + rng.normal(size=20) * 0.05).tolist(), v[20:].tolist()))
+    w = M.temporal_split(spark.createDataFrame(rows, "industry_code string, start_d date, x array<double>, y array<double>"))
+    out = M.pool_select(M.forecast_pool(w, rounds=40), ["industry_code", "start_d"]).collect()
+    assert len(out) == 240 and {r.n_models for r in out} == {3} and {r.selected for r in out} == {"linear"}
