@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -313,37 +313,12 @@ def baseline_momentum(rows: DataFrame, rel: str = "rel_r20") -> DataFrame:
     return rows.withColumn("b3", F.when(F.coalesce(rel, F.lit(0.0)) >= 0, "+").otherwise("-"))
 
 
-def _logistic(n: int):
-    return LogisticRegression(featuresCol="_f", labelCol="_y", predictionCol="_pd", probabilityCol="_pr", rawPredictionCol="_rw", maxIter=100, regParam=1.0 / n)
+def _stacked(values: Sequence) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=float) for v in values])
 
 
-def _expanding(rows: DataFrame, features: Sequence[str], block: str, make, min_rows: int) -> DataFrame:
-    """Refit make(n) at each block value on all earlier rows; `pred` is '+' or '-'.
-
-    Blocks without min_rows earlier rows of both directions, and rows without features, take the
-    majority baseline. The loop runs over block values (a few dates); each fit and score is distributed.
-    """
-    base = cut(baseline_majority(rows).withColumn("_y", (F.col("real_dir") == "+").cast("double")))
-    counts = {r[block]: (r["n"], r["u"]) for r in base.dropna(subset=list(features)).groupBy(block).agg(F.count("*").alias("n"), F.sum("_y").alias("u")).collect()}
-    blocks = sorted(r[block] for r in base.select(block).distinct().collect())
-    out = None
-    for b in blocks:
-        n = sum(v[0] for k, v in counts.items() if k < b)
-        u = sum(v[1] for k, v in counts.items() if k < b)
-        part = base.filter(F.col(block) == b)
-        if n >= min_rows and 0 < u < n:
-            m = make(n).fit(base.filter(F.col(block) < b).dropna(subset=list(features)))
-            scored = m.transform(part.dropna(subset=list(features))).select(*rows.columns, F.when(F.col("_pd") > 0.5, "+").otherwise("-").alias("pred"))
-            rest = part.filter(sum((F.col(c).isNull().cast("int") for c in features), F.lit(0)) > 0).select(*rows.columns, F.col("b1").alias("pred"))
-            part = scored.unionByName(rest)
-        else:
-            part = part.select(*rows.columns, F.col("b1").alias("pred"))
-        out = part if out is None else out.unionByName(part)
-    return rows.limit(0).withColumn("pred", F.lit(None).cast("string")) if out is None else out
-
-
-def expanding_fits(rows: DataFrame, date: str, order: Sequence[str], fit, max_train: int, min_rows: int, chunk: int = 16) -> DataFrame:
-    """(date, model): fit([(x, y), ...]) gives one model for each set, which holds the last max_train of the rows (x, _y, date, order) strictly before every date.
+def expanding_fits(rows: DataFrame, date: str, order: Sequence[str], fit, max_train: int, min_rows: int, chunk: int = 16, decode=_stacked) -> DataFrame:
+    """(_day, model): decode(values of x) gives a matrix and fit([(x, y), ...]) one model for each set, which holds the last max_train of the rows (x, _y, date, order) strictly before every date.
 
     Runs of `chunk` dates share a task, which holds the last max_train rows before the run and at most max_train
     of each of its dates, sorted once; each date reads its prefix, and the run's fits go on together. Dates with fewer than min_rows earlier rows, or
@@ -351,14 +326,14 @@ def expanding_fits(rows: DataFrame, date: str, order: Sequence[str], fit, max_tr
     """
     days = rows.select(date).distinct().withColumn("_chunk", F.floor((F.row_number().over(Window.orderBy(date)) - 1) / chunk).cast("int"))
     base = rows.join(F.broadcast(days), date)
-    late = training_blocks(base, date, "_chunk", order, max_train).select("x", "_y", date, *order, F.col("fit_block").alias("_chunk"))
+    late = training_blocks(base, date, "_chunk", order, max_train).select("_x", "_y", date, *order, F.col("fit_block").alias("_chunk"))
     last = Window.partitionBy(date).orderBy(*[F.desc(c) for c in order])
-    own = base.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= max_train).select("x", "_y", date, *order, "_chunk")
+    own = base.withColumn("_k", F.row_number().over(last)).filter(F.col("_k") <= max_train).select("_x", "_y", date, *order, "_chunk")
     held = late.withColumn("_own", F.lit(False)).unionByName(own.withColumn("_own", F.lit(True))).withColumn("_day", F.unix_date(F.col(date).cast("date")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_day", *order], kind="stable")
-        x, y, day = np.stack(pdf["x"].to_numpy()), pdf["_y"].to_numpy(float), pdf["_day"].to_numpy()
+        x, y, day = decode(pdf["_x"]), pdf["_y"].to_numpy(float), pdf["_day"].to_numpy()
         ends = {int(d): int(np.searchsorted(day, d)) for d in np.unique(day[pdf["_own"].to_numpy()])}
         parts = {d: slice(max(0, n - max_train), n) for d, n in ends.items() if n >= min_rows}
         parts = {d: p for d, p in parts.items() if 0 < y[p].sum() < len(y[p])}
@@ -368,8 +343,8 @@ def expanding_fits(rows: DataFrame, date: str, order: Sequence[str], fit, max_tr
     return fitted.select(F.date_from_unix_date("_day").alias("_day"), "model")
 
 
-def scored_by_date(rows: DataFrame, models: DataFrame, date: str, score, slice_rows: int = 10_000) -> DataFrame:
-    """rows (with an array x) and the column z: score(model, x) by the model of the row's date, null without one.
+def scored_by_date(rows: DataFrame, models: DataFrame, date: str, score, slice_rows: int = 10_000, decode=_stacked) -> DataFrame:
+    """rows (with _x) and the column z: score(model, x) by the model of the row's date, null without one.
 
     A date's rows meet its model in slices of about slice_rows rows.
     """
@@ -378,8 +353,7 @@ def scored_by_date(rows: DataFrame, models: DataFrame, date: str, score, slice_r
     placed = models.join(counts, "_day").select("_day", "model", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = np.stack([np.asarray(v, dtype=float) for v in left.column("x").to_pylist()]) if left.num_rows else np.empty((0, 1))
-        z = score(right.column("model")[0].as_py(), x) if right.num_rows and left.num_rows else None
+        z = score(right.column("model")[0].as_py(), decode(left.column("_x").to_pylist())) if right.num_rows and left.num_rows else None
         return left.drop_columns(["_day", "_s"]).append_column("z", pa.array(z, type=pa.float64()) if z is not None else pa.nulls(left.num_rows, pa.float64()))
 
     shape = rows.withColumn("z", F.lit(None).cast("double")).schema
@@ -415,33 +389,111 @@ def baseline_ml(rows: DataFrame, features: Sequence[str], kind: str, date: str =
     `pred` is '+' or '-'. A fit takes the last max_train earlier rows with all features. Rows without features and dates
     without a fit (fewer than min_rows earlier rows, one direction only) take the majority baseline.
     """
-    base = cut(baseline_majority(rows).withColumns({"_y": (F.col("real_dir") == "+").cast("double"), "x": F.array(*[F.col(c).cast("double") for c in features])}))
-    whole = base.filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
+    base = cut(baseline_majority(rows).withColumns({"_y": (F.col("real_dir") == "+").cast("double"), "_x": F.array(*[F.col(c).cast("double") for c in features])}))
+    whole = base.filter(F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v)))
     trees = lambda sets: [t.pack() for t in boost_all(sets, True, rounds, 4, 0.05, 0.9, 0.9, 0.0, 5)]
     lines = lambda sets: [logistic_fit(x, y) for x, y in sets]
-    models = expanding_fits(whole.select("x", "_y", date, *order), date, order, lines if kind == "logistic" else trees, max_train, min_rows)
+    models = expanding_fits(whole.select("_x", "_y", date, *order), date, order, lines if kind == "logistic" else trees, max_train, min_rows)
     scored = scored_by_date(whole, cut(models), date, logistic_score if kind == "logistic" else lambda m, x: Trees.unpack(m).scores(x))
-    rest = base.filter(~F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))).withColumn("z", F.lit(None).cast("double"))
+    rest = base.filter(~F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v))).withColumn("z", F.lit(None).cast("double"))
     out = scored.unionByName(rest)
     return out.select(*rows.columns, F.when(F.col("z").isNull(), F.col("b1")).when(F.col("z") > 0, "+").otherwise("-").alias("pred"))
 
 
-def char_ngrams(text: Column, lo: int = 2, hi: int = 4) -> Column:
-    """Character n-grams inside words (words padded by a blank), over the whole text."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.flatten(F.transform(words, lambda w: F.flatten(F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(w) + 3 - n, F.lit(1))), lambda i: F.substr(F.concat(F.lit(" "), w, F.lit(" ")), i, n))))))
+def char_ngrams(word: str, lo: int = 2, hi: int = 4) -> list[str]:
+    """Character n-grams of a word padded by a blank on both sides; a shorter padded word is its own gram."""
+    w = f" {word} "
+    return [w[i:i + n] for n in range(lo, hi + 1) for i in range(max(len(w) - n + 1, 1))]
+
+
+def hashed_grams(n_features: int):
+    """Function of texts: hashed n-gram counts of each as bytes, feature numbers then counts, four bytes each."""
+    known: dict[str, np.ndarray] = {}
+
+    def ids(word: str) -> np.ndarray:
+        if word not in known:
+            if len(known) >= 1 << 16:
+                known.clear()
+            known[word] = np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % n_features for g in char_ngrams(word)], dtype=np.int64)
+        return known[word]
+
+    def count(text: str | None) -> bytes:
+        words = (text or "").lower().split()
+        total = np.zeros(n_features, dtype=np.uint32)
+        for i in range(0, len(words), 4096):
+            total += np.bincount(np.concatenate([ids(w) for w in words[i:i + 4096]]), minlength=n_features).astype(np.uint32)
+        at = np.flatnonzero(total).astype(np.uint32)
+        return np.concatenate([at, total[at]]).tobytes()
+
+    return count
+
+
+def text_logistic_fits(sets: list[tuple[np.ndarray, np.ndarray]], tolerance: float = 1e-7) -> list[bytes]:
+    """Ridge logistic fits (weight 1 against the summed loss) of counts times the set's own inverse document frequencies.
+
+    Newton steps by conjugate gradients on the counts, each set started from the fit of the one before it; the optimum
+    is unique, so the start only saves steps. A model holds the weights of counts and the intercept.
+    """
+    out, b = [], None
+    for x, y in sets:
+        idf = np.append(np.log((len(y) + 1) / ((x > 0).sum(axis=0) + 1.0)), 1.0)
+        pen = np.append(np.ones(x.shape[1]), 0.0)
+        b = np.zeros(len(pen)) if b is None else b
+        margin = lambda v: x @ (idf[:-1] * v[:-1]) + v[-1]  # noqa: B023, E731
+        back = lambda r: np.append(idf[:-1] * (r @ x), r.sum())  # noqa: B023, E731
+        loss = lambda v, z: np.logaddexp(0, z).sum() - y @ z + 0.5 * (pen * v * v).sum()  # noqa: B023, E731
+        z = margin(b)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            g = back(p - y) + pen * b
+            if np.abs(g).max() < tolerance:
+                break
+            h = np.maximum(p * (1 - p), 1e-12)
+            step, r = np.zeros(len(b)), -g
+            d, rr = r.copy(), r @ r
+            goal = rr * min(0.1, rr**0.25) ** 2
+            for _ in range(200):
+                hd = back(h * margin(d)) + pen * d
+                a = rr / (d @ hd)
+                step, r = step + a * d, r - a * hd
+                new = r @ r
+                if new <= goal:
+                    break
+                d, rr = r + new / rr * d, new
+            size, now, dz = 1.0, loss(b, z), margin(step)
+            while size > 1e-6 and loss(b + size * step, z + size * dz) > now + 1e-12 * abs(now):
+                size /= 2
+            b, z = b + size * step, z + size * dz
+        out.append((idf * b).tobytes())
+    return out
 
 
-def baseline_text(rows: DataFrame, block: str, text: str = "text", n_features: int = 4096, min_rows: int = 20) -> DataFrame:
-    """Character n-gram TF-IDF and a logistic classifier, refitted on the past at each block value.
+def baseline_text(rows: DataFrame, date: str = "event_date", order: Sequence[str] = ("doc_id",), text: str = "text", n_features: int = 4096, min_rows: int = 20,
+                  max_train: int = 1_000) -> DataFrame:
+    """Character n-gram TF-IDF and a logistic classifier, refitted at every date on the last max_train earlier rows; `pred` is '+' or '-'.
 
-    Counts are hashed once; inverse frequencies belong to each fit, so they hold earlier texts only. A null text is empty.
+    Counts are hashed once in one pass over the texts; inverse frequencies belong to each fit, so they hold earlier
+    texts only. Dates without a fit (fewer than min_rows earlier rows, one direction only) take the majority baseline.
+    A null text is empty.
     """
-    grams = rows.withColumn("_g", char_ngrams(F.coalesce(F.col(text), F.lit(""))))
-    tf = HashingTF(inputCol="_g", outputCol="_tf", numFeatures=n_features).transform(grams).drop("_g")
-    make = lambda n: Pipeline(stages=[IDF(inputCol="_tf", outputCol="_f"), _logistic(n)])
-    return _expanding(tf, ["_tf"], block, make, min_rows).drop("_tf")
+    def dense(values: Sequence) -> np.ndarray:
+        x = np.zeros((len(values), n_features))
+        for i, v in enumerate(values):
+            v = np.frombuffer(v, dtype=np.uint32)
+            x[i, v[: len(v) // 2]] = v[len(v) // 2:]
+        return x
+
+    @F.pandas_udf("binary")
+    def counts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = hashed_grams(n_features)
+        for p in parts:
+            yield p.map(count) if len(p) else pd.Series([], dtype=object)
+
+    base = baseline_majority(rows).withColumns({"_y": (F.col("real_dir") == "+").cast("double"), "_x": counts(F.coalesce(F.col(text), F.lit("")))})
+    base = cut(base.select(date, *[c for c in order if c != date], "b1", "_y", "_x", *[c for c in rows.columns if c not in {date, *order}]))
+    models = cut(expanding_fits(base.select("_x", "_y", date, *order), date, order, text_logistic_fits, max_train, min_rows, 32, dense))
+    scored = scored_by_date(base, models, date, lambda m, x: x @ np.frombuffer(m)[:-1] + np.frombuffer(m)[-1], 1_000, dense)
+    return scored.select(*rows.columns, F.when(F.col("z").isNull(), F.col("b1")).when(F.col("z") > 0, "+").otherwise("-").alias("pred"))
 
 
 def text_features(docs: DataFrame, key: str, text: str = "text", n_terms: int = 128, top: int = 16) -> DataFrame:

@@ -210,5 +210,5 @@ def _(s):
 @query("f18_baseline_text")
 def _(s):
     d = s.docs.join(s.t("labels").select("doc_id", F.when(F.col("quality") == 1, "+").otherwise("-").alias("real_dir")), "doc_id").filter("pub_date is not null")
-    d = d.select("doc_id", "text", "real_dir", F.col("pub_date").alias("event_date"), F.year("pub_date").alias("block"))
-    return M.baseline_text(d, "block").select("doc_id", "real_dir", "pred")
+    d = d.select("doc_id", "text", "real_dir", F.col("pub_date").alias("event_date"))
+    return M.baseline_text(d).select("doc_id", "real_dir", "pred")
