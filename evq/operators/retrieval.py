@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evq.functions.lineage import cut
+from evq.functions.lineage import cut, stage
 from evq.functions.sizing import small
 from evq.functions.windows import asof_join, past_totals
 from evq.operators.asof import visible_from
@@ -28,6 +28,16 @@ def tokens(text: Column, min_len: int = 2) -> Column:
     return F.filter(found, lambda t: (F.length(t) >= min_len) & ~t.isin(*STOP))
 
 
+def doc_tokens(docs: DataFrame) -> Column:
+    """Tokens of a document: the column `_t` of a table tokenised before, else from its text."""
+    return F.col("_t") if "_t" in docs.columns else tokens(F.col("text"))
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """docs without text but with their tokens `_t`, written once for several lists."""
+    return stage(docs.withColumn("_t", tokens(F.col("text"))).drop("text"), "tokens")
+
+
 def postings(docs: DataFrame, keep: DataFrame | None = None, carry: Sequence[str] = (), marker: bool = False) -> DataFrame:
     """(doc_id, token, tf, dl); `keep` restricts to the tokens some query needs before the shuffle.
 
@@ -35,7 +45,7 @@ def postings(docs: DataFrame, keep: DataFrame | None = None, carry: Sequence[str
     (query, document) reuse that layout without another shuffle. With `marker` every
     document also has one row with an empty token, which carries its length.
     """
-    toks = docs.select("doc_id", *carry, tokens(F.col("text")).alias("_t"))
+    toks = docs.select("doc_id", *carry, doc_tokens(docs).alias("_t"))
     if marker:
         rows = toks.select("doc_id", *carry, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "_t")).alias("token"))
         keep = keep.select("token").union(keep.sparkSession.createDataFrame([("",)], "token string"))
@@ -83,42 +93,70 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: f
     return top_k(scored, k)
 
 
-def tfidf_vocabulary(queries: DataFrame, docs: DataFrame, n_terms: int = 512) -> DataFrame:
+def date_segments(totals: Sequence[int], growth: float = 1.25) -> list[tuple[int, int]]:
+    """Runs (first, last) of query dates in which the number of visible tokens grows by at most the factor."""
+    out, start = [], 0
+    for i in range(1, len(totals) + 1):
+        if i == len(totals) or totals[i] > growth * max(totals[start], 1):
+            out.append((start, i - 1))
+            start = i
+    return out
+
+
+def tfidf_vocabulary(queries: DataFrame, docs: DataFrame, n_terms: int = 512, growth: float = 1.25) -> DataFrame:
     """(as_of, token, df, n): the n_terms most frequent tokens among the documents visible at each query date, their document counts and the number of documents.
 
-    Counts are summed per (token, first query date that sees them) and run forward over the query
-    dates; ranks are limited on the map side, so at most n_terms rows a date meet.
+    Counts only grow with the date. Query dates are cut into segments in which the visible tokens grow little; the
+    n-th count at a segment's first date bounds those of its later dates, so only tokens whose count at its last
+    date reaches that bound are laid out over its dates: about n_terms of them, whatever the size of the vocabulary.
+    Occurrences are summed per (token, first query date that sees them) with map-side combination.
     """
-    dates = cut(queries.select("as_of").distinct())
-    seen = docs.withColumn("vf", visible_from()).filter("vf is not null").select("vf", tokens(F.col("text")).alias("_t"))
-    # the calendar of query dates is one small row
-    cal = dates.agg(F.sort_array(F.collect_set("as_of")).alias("_days"))
-    first = seen.join(F.broadcast(cal)).select(F.expr("get(filter(_days, d -> d >= vf), 0)").alias("_day"), "_days", "_t").filter("_day is not null")
+    dates = [r.as_of for r in queries.select("as_of").filter("as_of is not null").distinct().orderBy("as_of").collect()]  # one row for each calendar day asked
+    shape = "as_of date, token string, df long, n long"
+    if not dates:
+        return queries.sparkSession.createDataFrame([], shape)
+    days = F.array(*[F.lit(d) for d in dates])
+    seen = docs.withColumn("vf", visible_from()).filter(F.col("vf") <= F.lit(dates[-1])).select(doc_tokens(docs).alias("_t"), F.size(F.filter(days, lambda d: d < F.col("vf"))).alias("_i"))
     both = F.explode(F.concat(F.transform("_t", lambda t: F.struct(t.alias("token"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
                               F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("c"), F.lit(1).alias("d"))))).alias("x")
-    added = first.select("_day", both).groupBy("x.token", "_day").agg(F.sum("x.c").alias("c"), F.sum("x.d").alias("d"))
-    steps = added.groupBy("token").agg(F.collect_list(F.struct("_day", "c", "d")).alias("_s")).join(F.broadcast(cal))
-    later = steps.select("token", "_s", F.explode("_days").alias("as_of")).withColumn("_s", F.expr("filter(_s, s -> s._day <= as_of)")).filter(F.size("_s") > 0)
-    run = later.select("as_of", "token", F.expr("aggregate(_s, 0L, (a, s) -> a + s.c)").alias("ctf"), F.expr("aggregate(_s, 0L, (a, s) -> a + s.d)").alias("df"))
-    top = run.withColumn("_r", F.row_number().over(Window.partitionBy("as_of").orderBy(F.desc("ctf"), "token"))).filter(F.col("_r") <= n_terms).select("as_of", "token", "df")
-    sizes = first.groupBy("_day").agg(F.count("*").alias("_k"))
-    n = dates.join(F.broadcast(cut(sizes)), F.col("_day") <= F.col("as_of"), "left").groupBy("as_of").agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("n"))
-    return top.join(F.broadcast(n), "as_of")
+    added = cut(seen.select("_i", both).groupBy("x.token", "_i").agg(F.sum("x.c").alias("c"), F.sum("x.d").alias("d")))
+    sizes = {r["_i"]: r for r in seen.groupBy("_i").agg(F.count("*").alias("n"), F.sum(F.size("_t")).alias("k")).collect()}
+    docs_at, words_at = (np.cumsum([getattr(sizes[i], c) if i in sizes else 0 for i in range(len(dates))]).tolist() for c in ("n", "k"))
+    segments = date_segments(words_at, growth)
+    upto = lambda i, c: F.sum(F.when(F.col("_i") <= i, F.col(c)).otherwise(0))
+    ends = cut(added.groupBy("token").agg(F.array(*[F.struct(F.lit(k).alias("seg"), upto(a, "c").alias("c0"), upto(a, "d").alias("d0"), upto(b, "c").alias("c1")) for k, (a, b) in enumerate(segments)]).alias("e")))
+    rows = ends.select("token", F.inline("e")).filter("c1 > 0")
+    bound = rows.withColumn("_r", F.row_number().over(Window.partitionBy("seg").orderBy(F.desc("c0"), "token"))).filter(F.col("_r") <= n_terms).groupBy("seg").agg(
+        F.when(F.count("*") == n_terms, F.min("c0")).otherwise(0).alias("bound"))
+    able = rows.join(F.broadcast(bound), "seg").filter("c1 >= bound").drop("bound", "c1")
+    limits = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in segments])
+    able = able.withColumn("_l", limits[F.col("seg")]).select("token", "seg", "c0", "d0", F.col("_l.a").alias("a"), F.col("_l.b").alias("b"))
+    steps = able.join(added, "token").filter((F.col("_i") > F.col("a")) & (F.col("_i") <= F.col("b"))).groupBy("token", "seg").agg(F.collect_list(F.struct("_i", "c", "d")).alias("_s"))
+    laid = able.join(steps, ["token", "seg"], "left").select("token", "c0", "d0", "_s", F.explode(F.sequence("a", "b")).alias("_i"))
+    more = lambda c: F.coalesce(F.aggregate(F.filter("_s", lambda x: x["_i"] <= F.col("_i")), F.lit(0).cast("long"), lambda t, x: t + x[c]), F.lit(0))
+    run = laid.select("token", "_i", (F.col("c0") + more("c")).alias("ctf"), (F.col("d0") + more("d")).alias("df")).filter("ctf > 0")
+    top = run.withColumn("_r", F.row_number().over(Window.partitionBy("_i").orderBy(F.desc("ctf"), "token"))).filter(F.col("_r") <= n_terms)
+    return top.select(days[F.col("_i")].alias("as_of"), "token", "df", F.array(*[F.lit(int(x)) for x in docs_at])[F.col("_i")].cast("long").alias("n"))
+
+
+#: Cells of a block's largest matrix.
+MAX_CELLS = 1 << 24
 
 
 def tfidf_topk(queries: DataFrame, docs: DataFrame, k: int, n_terms: int = 512, max_queries: int = 2048) -> DataFrame:
     """Cosine over the n_terms most frequent tokens with smoothed idf, all statistics as of the query's date.
 
-    Queries go in blocks of about max_queries by key hash; a block's weights are one matrix over its
-    vocabulary. Each block scans the documents once: token counts of a batch times the matrix give
-    all products, and their squares times the squared idf of each date the norms.
+    Queries go in blocks of at most about max_queries, halved by key hash until queries x vocabulary stays within
+    MAX_CELLS; a block's weights are one matrix over its vocabulary. Each block scans the documents once: token
+    counts of a batch times the matrix give all products, and their squares times the squared idf of each date the norms.
     """
     spark = docs.sparkSession
     vocab = cut(tfidf_vocabulary(queries, docs, n_terms))
     qtok = cut(query_tokens(queries))
-    blocks = max(1, -(-queries.count() // max_queries))
+    total, found = queries.count(), vocab.select("token").distinct().count()
+    blocks = max(1, -(-total // max_queries), -(-total * found // MAX_CELLS))
     qtype, dtype = dict(queries.dtypes)["query_id"], dict(docs.dtypes)["doc_id"]
-    rows = docs.withColumn("vf", visible_from()).filter("vf is not null").select("doc_id", "vf", tokens(F.col("text")).alias("t"))
+    rows = docs.withColumn("vf", visible_from()).filter("vf is not null").select("doc_id", "vf", doc_tokens(docs).alias("t"))
     out = None
     for i in range(blocks):
         mine = qtok.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
@@ -248,7 +286,8 @@ def decay_rerank(scored: DataFrame, queries: DataFrame, docs: DataFrame, k: int,
 
 def retrieve(queries: DataFrame, docs: DataFrame, k: int = 8, days: float = 30.0, dense: DataFrame | None = None, weights: Sequence[float] | None = None) -> DataFrame:
     """Visible documents: BM25, TF-IDF and, if given, dense lists (query_id, doc_id, rank) of 2k, fused, decayed, cut to k."""
-    lists = [bm25_topk(queries, docs, 2 * k), tfidf_topk(queries, docs, 2 * k), *([dense] if dense is not None else [])]
+    read = tokenised(docs)
+    lists = [bm25_topk(queries, read, 2 * k), tfidf_topk(queries, read, 2 * k), *([dense] if dense is not None else [])]
     return decay_rerank(rrf(lists, weights), queries, docs, k, days)
 
 
