@@ -155,13 +155,50 @@ def temporal_weight(as_of: Column, half_life: float = 60.0) -> Column:
     return F.col("weight") * F.col("confidence") * F.pow(F.lit(2.0), -age / half_life)
 
 
+def _k_found(live: DataFrame, source: str, target: str, k: int) -> float | None:
+    """Cost of the k-th of some k simple paths, found by deviations from the shortest-path tree; None if it finds fewer.
+
+    The tree's own path comes first. From every node of a path found, each other edge followed by the tree's way to
+    the target is a deviation; those that are simple are paths too. The cheapest are followed, until there are k of
+    them or no new one appears.
+    """
+    step = live.groupBy("node").agg(F.min_by(F.struct("target", "_c"), F.struct(F.round(F.col("_c") + F.col("rest"), 12).alias("t"), F.col("target").alias("n"))).alias("s"))
+    tree = cut(step.select("node", F.col("s.target").alias("_to"), F.col("s._c").alias("_d")))
+
+    def followed(part: DataFrame) -> DataFrame:
+        """Simple paths (nodes, costs) from started ones along the tree."""
+        whole = part.filter(F.element_at("nodes", -1) == target)
+        open_ = cut(part.filter(F.element_at("nodes", -1) != target))
+        while not open_.isEmpty():
+            more = open_.join(tree, F.element_at("nodes", -1) == F.col("node")).filter(~F.array_contains("nodes", F.col("_to"))).select(
+                F.concat("nodes", F.array("_to")).alias("nodes"), F.concat("costs", F.array(F.element_at("costs", -1) + F.col("_d"))).alias("costs"))
+            more = cut(more)
+            whole, open_ = cut(whole.unionByName(more.filter(F.element_at("nodes", -1) == target))), more.filter(F.element_at("nodes", -1) != target)
+        return whole
+
+    spark = live.sparkSession
+    found = new = cut(followed(spark.createDataFrame([([source], [0.0])], "nodes array<string>, costs array<double>")))
+    while not new.isEmpty():
+        if found.count() >= k:
+            return found.select(F.element_at("costs", -1).alias("c")).orderBy("c").limit(k).agg(F.max("c")).first()[0]
+        at = new.select("nodes", "costs", F.explode(F.sequence(F.lit(1), F.size("nodes") - 1)).alias("i"))
+        begun = at.select(F.slice("nodes", F.lit(1), F.col("i")).alias("nodes"), F.slice("costs", F.lit(1), F.col("i")).alias("costs"), F.col("nodes")[F.col("i")].alias("_was"))
+        turned = begun.join(live, F.element_at("nodes", -1) == F.col("node")).filter((F.col("target") != F.col("_was")) & ~F.array_contains("nodes", F.col("target")))
+        turned = turned.orderBy(F.element_at("costs", -1) + F.col("_c") + F.col("rest"), F.concat_ws(">", "nodes"), "target").limit(8 * k)
+        turned = turned.select(F.concat("nodes", F.array("target")).alias("nodes"), F.concat("costs", F.array(F.element_at("costs", -1) + F.col("_c"))).alias("costs"))
+        new = cut(followed(cut(turned)).dropDuplicates(["nodes"]).join(found.select("nodes"), "nodes", "left_anti"))
+        found = cut(found.unionByName(new))
+    return None
+
+
 def causal_paths(edges: DataFrame, source: str, target: str, k: int) -> DataFrame:
     """The k cheapest simple paths: rank, nodes, cost, confidence, hops, edges, evidence_ids.
 
     edges: (source, target, w, confidence[, relation, evidence_ids]); an edge costs
-    1 - min(w, .999). The cheapest way from every node to the target is found first, to the fixpoint,
-    so that a prefix is extended only while its cost plus that bound can beat the k-th path found; there
-    is no bound on hops. Ties are ordered by the node names.
+    1 - min(w, .999). The cheapest way from every node to the target is found first, to the fixpoint;
+    deviations from that tree give k simple paths and so a bound before any prefix is built. A prefix is
+    extended only while its cost plus the cheapest way on can reach the bound; there is no bound on hops.
+    Ties are ordered by the node names.
     """
     has = set(edges.columns)
     e = cut(edges.filter(F.col("source") != F.col("target")).select(
@@ -183,7 +220,7 @@ def causal_paths(edges: DataFrame, source: str, target: str, k: int) -> DataFram
     paths = spark.createDataFrame([([source], source, 0.0, 1.0)], "nodes array<string>, node string, cost double, confidence double").withColumn("edges", F.array().cast(f"array<{kind}>"))
     done = paths.filter(F.lit(False))
     order = [F.round("cost", 9), F.concat_ws(">", "nodes")]
-    bound = None
+    bound = _k_found(live, source, target, k)
     while True:
         ext = paths.join(live, "node").filter(~F.array_contains("nodes", F.col("target")))
         if bound is not None:
@@ -194,7 +231,7 @@ def causal_paths(edges: DataFrame, source: str, target: str, k: int) -> DataFram
             break
         done = cut(done.unionByName(ext.filter(F.col("node") == target)).orderBy(*order).limit(k))
         worst = done.agg(F.max("cost").alias("c"), F.count("*").alias("n")).first()
-        bound = worst.c if worst.n >= k else None
+        bound = worst.c if worst.n >= k else bound
         paths = ext.filter(F.col("node") != target)
     return done.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "nodes", "cost", "confidence", (F.size("nodes") - 1).alias("hops"), "edges",
                        F.array_sort(F.array_distinct(F.flatten(F.transform("edges", lambda x: x["evidence_ids"])))).alias("evidence_ids"))

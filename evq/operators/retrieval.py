@@ -81,16 +81,47 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """BM25 over the documents visible at each query's date, statistics included."""
+def bm25_scored(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block_docs: int = 128, seeds: int = 4) -> DataFrame:
+    """(query_id, doc_id, score, n_postings) of the documents that can be among the k best of a query; all others are left unscored.
+
+    Postings lie in blocks of about block_docs documents of neighbouring first-visible dates. The largest part a
+    token can add in a block bounds every score in it: the sum over a query's tokens of (token, block) maxima. The
+    `seeds` best blocks of a query by that bound are scored first; then only blocks whose bound reaches the k-th
+    score found there. Joins are by (token, block), so a frequent token is many keys.
+    """
     qtok = cut(query_tokens(queries))
     posts = cut(postings(docs.withColumn("vf", visible_from()), qtok, ["vf"], marker=True))
     stats = bm25_stats(qtok, posts)
-    j = posts.join(small(cut(stats)), "token").filter(F.col("vf") <= F.col("as_of"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1e-8))))
-    scored = j.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top_k(scored, k)
+    weights = cut(stats.filter("df > 0").select("query_id", "as_of", "token", (F.col("qtf") * idf).alias("w"), F.greatest("avgdl", F.lit(1e-8)).alias("avgdl")))
+    longest = weights.agg(F.max("avgdl")).first()[0]
+    if longest is None:
+        return queries.select("query_id").join(docs.select("doc_id")).select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_postings")).limit(0)
+    part = lambda avgdl: F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    sizes = posts.filter("token = '' and vf is not null")
+    days = past_totals(sizes, [], "vf", {"before": F.lit(1)}).join(sizes.groupBy("vf").agg(F.count("*").alias("n")), "vf")
+    days = small(cut(days.select("vf", F.floor(F.col("before") / block_docs).alias("at"), F.ceil(F.col("n") / block_docs).alias("parts"))))
+    block = F.struct("at", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    blocked = posts.filter("token <> ''").join(days, "vf").select("doc_id", "vf", "dl", "token", "tf", block.alias("block"))
+    # a part grows with the mean length, so the largest mean bounds it for every query
+    maxima = blocked.groupBy("token", "block").agg(F.max(part(F.lit(longest))).alias("m"), F.min("vf").alias("vf0"))
+    bounds = cut(maxima.join(small(weights), "token").filter("vf0 <= as_of").groupBy("query_id", "block").agg(F.sum(F.col("w") * F.col("m")).alias("bound")))
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        wanted = chosen.select("query_id", "block").join(small(weights), "query_id")
+        j = blocked.join(wanted, ["token", "block"]).filter(F.col("vf") <= F.col("as_of"))
+        return j.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * part(F.col("avgdl"))), 9).alias("score"), F.count("*").alias("n_postings"))
+
+    first = bounds.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).filter(F.col("_r") <= seeds)
+    found = cut(scored(first))
+    least = top_k(found, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    rest = bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(small(cut(least)), "query_id", "left")
+    return found.unionByName(scored(rest.filter(F.col("bound") + 1e-6 >= F.coalesce("least", F.lit(0.0)))))
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """BM25 over the documents visible at each query's date, statistics included; exact, by bounds of posting blocks."""
+    return top_k(bm25_scored(queries, docs, k, k1, b).drop("n_postings"), k)
 
 
 def date_segments(totals: Sequence[int], growth: float = 1.25) -> list[tuple[int, int]]:

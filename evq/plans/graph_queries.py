@@ -117,13 +117,17 @@ def _(s):
     return G.pagerank(e, tol=1e-9).select("node", r6(F.col("rank") * 1000).alias("rank_k"))
 
 
-@query("k10_causal_paths", """WITH RECURSIVE e AS (SELECT src, dst, greatest(1e-6, 1 - least(weight * confidence, 0.999)) AS c, confidence AS f FROM kg_edges),
-  p(nodes, node, cost, conf, h) AS (SELECT 's:1', 's:1', 0.0::DOUBLE, 1.0::DOUBLE, 0 UNION ALL SELECT nodes || '>' || dst, dst, cost + c, conf * f, h + 1 FROM p JOIN e ON src = node WHERE node <> 'a:7' AND NOT list_contains(string_split(nodes, '>'), dst))
-  SELECT CAST(row_number() OVER (ORDER BY round(cost, 9), nodes) AS INT) AS rank, nodes, r6(cost) AS cost, r6(conf) AS confidence FROM p WHERE node = 'a:7' QUALIFY rank <= 5""")
-def _(s):
-    e = s.kg_edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), (F.col("weight") * F.col("confidence")).alias("w"), "confidence")
+@query("k10_causal_paths", """WITH RECURSIVE e AS (SELECT src, dst, relation, weight * confidence AS w, greatest(1e-6, 1 - least(weight * confidence, 0.999)) AS c, confidence AS f, 'd' || length(src) || length(dst) AS v FROM kg_edges),
+  p(nodes, node, cost, conf, h, edges, ev) AS (SELECT 's:1', 's:1', 0.0::DOUBLE, 1.0::DOUBLE, 0, '', []::VARCHAR[]
+    UNION ALL SELECT nodes || '>' || dst, dst, cost + c, conf * f, h + 1, edges || CASE WHEN h > 0 THEN ',' ELSE '' END || src || '-' || relation || '-' || dst || '-' || CAST(round(w * 1000) AS INT), list_append(list_append(ev, v), dst)
+    FROM p JOIN e ON src = node WHERE node <> 'a:7' AND NOT list_contains(string_split(nodes, '>'), dst))
+  SELECT CAST(row_number() OVER (ORDER BY round(cost, 9), nodes) AS INT) AS rank, nodes, r6(cost) AS cost, r6(conf) AS confidence, h AS hops, edges, array_to_string(list_sort(list_distinct(ev)), ',') AS evidence_ids FROM p WHERE node = 'a:7' QUALIFY rank <= 5""")
+def _(s):
+    evidence = F.array(F.concat(F.lit("d"), F.length("src"), F.length("dst")), "dst")
+    e = s.kg_edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), "relation", (F.col("weight") * F.col("confidence")).alias("w"), "confidence", evidence.alias("evidence_ids"))
     p = G.causal_paths(e, "s:1", "a:7", 5)
-    return p.select("rank", F.concat_ws(">", "nodes").alias("nodes"), r6("cost").alias("cost"), r6("confidence").alias("confidence"))
+    told = F.transform("edges", lambda x: F.concat_ws("-", x["source"], x["relation"], x["target"], F.round(x["weight"] * 1000).cast("int")))
+    return p.select("rank", F.concat_ws(">", "nodes").alias("nodes"), r6("cost").alias("cost"), r6("confidence").alias("confidence"), "hops", F.array_join(told, ",").alias("edges"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
 @query("k11_graph_quality", f"WITH {CE}, u AS (SELECT * FROM ce QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY time DESC, seq DESC) = 1) SELECT count(*) AS edge_count, r6(avg(n_ev)) AS evidence_coverage, r6(avg(confidence)) AS avg_confidence, false AS has_cycle FROM u")

@@ -98,6 +98,22 @@ def _(s):
     return R.retrieve(s.qry, s.docs, 8).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
+DENSE = """dq AS (SELECT qry.query_id, as_of, i, c0.x / n AS x FROM qry JOIN c0 ON c0.query_id = qry.query_id % 10 JOIN cn ON cn.query_id = c0.query_id),
+  dv AS (SELECT dq.query_id, vec_id AS doc_id, round(sum(dq.x * v.x), 9) AS score FROM dq JOIN v USING (i) JOIN docs ON docs.doc_id = v.vec_id WHERE coalesce(valid_from, pub_date + 1) <= as_of GROUP BY 1, 2),
+  de1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dv),
+  rr AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 16 UNION ALL SELECT query_id, doc_id, rank FROM ti WHERE rank <= 16
+    UNION ALL SELECT query_id, doc_id, rank FROM de1 WHERE rank <= 16) GROUP BY 1, 2)"""
+
+
+@query("j8_retrieve_dense", f"WITH {TOK}, {QT}, {STAT}, {BM}, {TI}, {VEC}, {DENSE}, {DEC} SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM de WHERE rank <= 8")
+def _(s):
+    """Three lists: BM25, TF-IDF and the vectors of the documents against a label's centroid."""
+    v = s.t("embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("vec"))
+    q = s.qry.select("query_id", "as_of", (F.col("query_id") % 10).alias("_l")).join(R.centroids(v).withColumnRenamed("query_id", "_l"), "_l")
+    dated = v.join(s.docs.select("doc_id", R.visible_from().alias("vf")), "doc_id")
+    return R.retrieve(s.qry, s.docs, 8, dense=R.vector_topk(q, dated, 16)).select("query_id", "doc_id", F.col("rank").cast("int").alias("rank"))
+
+
 @query("j9_packages", f"""WITH {TOK}, {QT}, {STAT}, {BM}, w AS (SELECT doc_id, len(regexp_split_to_array(regexp_replace(text, '^ +| +$', '', 'g'), '\\s+')) AS k FROM docs)
   SELECT query_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS doc_ids, CAST(floor(round(sum(k) * 1.3, 6)) AS BIGINT) AS tokens_est FROM bm JOIN w USING (doc_id) WHERE rank <= 5 GROUP BY 1""")
 def _(s):
