@@ -110,7 +110,7 @@ def _(s):
 def _(s):
     raw = runs.file_stream(s.spark, s.dir, s.t("events").schema, "events.parquet")
     src = raw.select(F.col("event_type").alias("industry_code"), F.col("event_id").alias("seq"), (F.col("value") - 10).alias("residual"), F.col("value").between(0.5, 25).alias("in_interval"))
-    return runs.run_available(runs.residual_monitor_stream(src, "industry_code", 12.003))
+    return runs.residual_monitor_stream(src, "industry_code", 12.003)
 
 
 @query("l8_stream_visible", """WITH e AS (SELECT event_id, CAST(ts AS DATE) - 9000 AS d FROM events), c AS (SELECT d, count(*) AS k FROM (SELECT DISTINCT d FROM e) JOIN docs ON coalesce(valid_from, pub_date + 1) <= d GROUP BY 1)

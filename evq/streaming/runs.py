@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evq.functions.lineage import shared_folder, stage
+from evq.functions.ordered import lay_out
 from evq.operators.asof import visibility_run, visible_at
 from evq.operators.ticks import tick_windows
 
@@ -60,35 +58,63 @@ def stream_visible(src: DataFrame, docs: DataFrame) -> DataFrame:
     return run_available(t, batch=lambda df: visible_at(df, run, total))
 
 
-def rolling_mean(x: np.ndarray, n: int) -> np.ndarray:
-    """Mean of the last n values at each place; nan where there are fewer."""
-    out = np.full(len(x), np.nan)
-    if len(x) >= n:
-        out[n - 1:] = np.lib.stride_tricks.sliding_window_view(x, n).sum(axis=1) / n
-    return out
+def run_carrying(stream: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], state: DataFrame) -> DataFrame:
+    """As run_available, with a table carried from batch to batch: step(rows, state) gives (result, next state).
 
+    state is the one before the first batch. Each state is written under its batch's id, so a replay reads the one before.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:8]}"
+    shape = step(spark.createDataFrame([], stream.schema), state)[0].schema
+    states = {-1: state}
 
-MONITOR_STATE = "residuals array<double>, inside array<boolean>"
+    def sink(df: DataFrame, epoch: int) -> None:
+        out, after = step(df, states[max(k for k in states if k < epoch)])
+        out.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+        after.write.mode("overwrite").parquet(f"{base}/carried/epoch={epoch}")
+        states[epoch] = spark.read.schema(state.schema).parquet(f"{base}/carried/epoch={epoch}")
 
+    stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return spark.read.schema(shape).parquet(f"{base}/out").drop("epoch") if len(states) > 1 else spark.createDataFrame([], shape)
 
-def residual_monitor_stream(src: DataFrame, key: str, threshold: float, window: int = 5, coverage_window: int = 20,
-                            min_coverage: float = 0.70) -> DataFrame:
-    """Stateful monitor per key: the residuals and interval hits that later windows reach back to are the state.
 
-    Rows of a micro-batch are taken in seq order within a key.
+def monitored(rows: DataFrame, key: str, threshold: float, window: int, coverage_window: int, min_coverage: float) -> tuple[DataFrame, DataFrame]:
+    """(key, seq, reason) of the rows not marked `old`, and the last rows of every key that later windows reach back to.
+
+    Rows are range-partitioned by (key, seq), so a key of any size is cut into slices. A slice takes over the last
+    rows of the slices before it, which are a few for each slice, and its windows run inside the slice.
+    """
+    reach = max(window, coverage_window) - 1
+    laid = lay_out(rows.select(key, "seq", F.abs("residual").alias("a"), F.col("in_interval").cast("int").alias("i"), "old"), [key], ["seq"])
+    row = F.struct("seq", "a", "i")
+    latest = Window.partitionBy(key, "_p").orderBy(F.desc("seq"))
+    ends = laid.withColumn("_k", F.row_number().over(latest)).filter(F.col("_k") <= reach).groupBy(key, "_p").agg(F.sort_array(F.collect_list(row)).alias("end"))
+    before = Window.partitionBy(key).orderBy("_p")
+    last = lambda x: F.slice(x, F.greatest(F.size(x) - reach + 1, F.lit(1)), F.lit(reach))
+    halo = ends.withColumn("_b", F.flatten(F.collect_list("end").over(before.rowsBetween(-reach, -1)))).select(key, "_p", F.inline(last(F.col("_b"))))
+    w = Window.partitionBy(key, "_p").orderBy("seq")
+    both = laid.withColumn("own", ~F.col("old")).drop("old").unionByName(halo.withColumn("own", F.lit(False)))
+    n = F.row_number().over(w)
+    near, far = F.sum("a").over(w.rowsBetween(-(window - 1), 0)) / window, F.sum("i").over(w.rowsBetween(-(coverage_window - 1), 0)) / coverage_window
+    reason = F.when((n >= window) & (near > threshold), "residual").when((n >= coverage_window) & (far < min_coverage), "coverage")
+    out = both.select(key, F.col("seq").cast("long").alias("seq"), reason.alias("reason"), "own").filter("own").drop("own")
+    whole = ends.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "end"))).alias("e"))
+    after = whole.select(key, F.inline(last(F.flatten(F.transform(F.slice("e", F.greatest(F.size("e") - reach + 1, F.lit(1)), F.lit(reach)), lambda x: x["end"])))))
+    return out, after
+
+
+def residual_monitor_stream(src: DataFrame, key: str, threshold: float, window: int = 5, coverage_window: int = 20, min_coverage: float = 0.70) -> DataFrame:
+    """Monitor of a stream (key, seq, residual, in_interval): reason of every row, run over all available batches.
+
+    Rows of a micro-batch are taken in seq order within a key; the state is the last rows of every key that later
+    windows reach back to, as a written table.
     """
-    ktype = dict(src.dtypes)[key]
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        held = [np.asarray(x) for x in state.get] if state.exists else [np.empty(0), np.empty(0)]
-        res = np.concatenate([held[0], rows["residual"].abs().to_numpy(dtype=float)])
-        ins = np.concatenate([held[1], rows["in_interval"].to_numpy(dtype=float)])
-        n = len(rows)
-        high = rolling_mean(res, window)[-n:] > threshold
-        thin = (rolling_mean(ins, coverage_window)[-n:] < min_coverage) & (np.arange(len(res))[-n:] + 1 >= window)
-        keep = max(window, coverage_window) - 1
-        state.update((res[len(res) - keep:].tolist() if keep < len(res) else res.tolist(), [bool(x) for x in ins[max(0, len(ins) - keep):]]))
-        yield pd.DataFrame({key: k[0], "seq": rows["seq"].astype("int64"), "reason": np.where(high, "residual", np.where(thin, "coverage", None))})
-
-    return src.groupBy(key).applyInPandasWithState(step, f"{key} {ktype}, seq long, reason string", MONITOR_STATE, "append", GroupStateTimeout.NoTimeout)
+    kind = dict(src.dtypes)
+    state = src.sparkSession.createDataFrame([], f"`{key}` {kind[key]}, seq {kind['seq']}, a {kind['residual']}, i int")
+
+    def step(rows: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        old = held.select(key, "seq", F.col("a").alias("residual"), F.col("i").cast("boolean").alias("in_interval"), F.lit(True).alias("old"))
+        out, after = monitored(rows.select(key, "seq", "residual", "in_interval", F.lit(False).alias("old")).unionByName(old), key, threshold, window, coverage_window, min_coverage)
+        return out, after.select(key, "seq", "a", "i")
+
+    return run_carrying(src, step, state)
