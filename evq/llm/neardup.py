@@ -13,6 +13,9 @@ often come last, by rising count, so that common lines bring few texts together.
 which hashes travel packed in four bytes, yields these and a bitmap of fixed size of the shingles met twice;
 a shingle that was counted once joins nothing and is not shuffled again. Counts and bitmap affect the speed only.
 
+Confirmation. Each node keeps how many of its shingles fall into each of 256 buckets; the sum of the smaller counts
+of two nodes bounds what they share, so pairs below the limit are dropped before whole sets meet.
+
 Hot groups. A shingle whose nodes lie in one component already is dropped by its smallest and largest label.
 First every node proposes the node with which it shares most of the ends of its shingles, one pair for each
 node. Then all pairs that still lie in different components are compared, in a join that may be split.
@@ -41,6 +44,8 @@ WIDTH = 5
 OVER, UNDER = 4, 5
 #: Shingles in more texts than this come last in the order, at most so many of them.
 COMMON, MOST_COMMON = 50, 1 << 17
+#: Buckets of a node's counts.
+BUCKETS = 256
 #: Bits of the bitmap's size: 2**27 bits or 16 MB, whatever the corpus.
 MAP_BITS = 27
 #: Hashes that a task packs before it sends them on, and hashes of one group of the counting pass.
@@ -64,16 +69,21 @@ def _signed(values, kind=np.uint64) -> pa.Array:
     return pa.array(np.asarray(values, dtype=kind).view(np.int64))
 
 
+def bucket_counts(s: np.ndarray) -> bytes:
+    """Shingles in each bucket, two bytes each; the largest value stands for any number from there on."""
+    return np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype(np.uint16).tobytes()
+
+
 def nodes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, node, n, fp) of every row: the set's digest, size and majority bits."""
+    """(id, node, n, fp, counts) of every row: the set's digest, size, majority bits and bucket counts."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(parts):
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed([_node(s) for s in sets]), pa.array([len(s) for s in sets], type=pa.int32()), _signed([majority_bits(s) for s in sets])],
-                                             names=["id", "node", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed([_node(s) for s in sets]), pa.array([len(s) for s in sets], type=pa.int32()), _signed([majority_bits(s) for s in sets]),
+                                              pa.array([bucket_counts(s) for s in sets], type=pa.binary())], names=["id", "node", "n", "fp", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, n int, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, n int, fp long, counts binary")
 
 
 def group_bits(shingles: int) -> int:
@@ -166,6 +176,20 @@ def prefix_entries(docs: DataFrame, text_col: str, width: int, last: np.ndarray,
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "shingle long, node long, n int, at int")
 
 
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose bucket counts leave room for the similarity. nodes: (node, counts, ...)."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(parts, 8192):
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(-1, BUCKETS) for c in (2, 3))
+            low = np.minimum(x, y)
+            fits = (OVER + UNDER) * low.sum(axis=1, dtype=np.int64) >= OVER * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64))
+            keep = pa.array(fits | (x == 65535).any(axis=1) | (y == 65535).any(axis=1))
+            yield b.select(["a", "b"]).filter(keep)
+
+    counts = lambda c: nodes.select(F.col("node").alias(c), F.col("counts").alias(f"{c}_counts"))
+    return pairs.join(counts("a"), "a").join(counts("b"), "b").select("a", "b", "a_counts", "b_counts").mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes that have the similarity. firsts: (node, id) of one row of each node."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +197,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
             sets = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "s"])
 
+    pairs = staged(possible(pairs, firsts), "possible-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     rows = bounded_small(firsts.join(wanted, "node", "left_semi").select("node", F.col("id").alias("__id")), "candidates", 32)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(rows, "__id").select("node", "text")
@@ -181,6 +206,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, id_col: str,
     both = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("k"))
     found = staged(both.filter(F.col("k") * UNDER >= (F.col("n") - F.col("k")) * OVER).select("a", "b"), "links")
     discard(sets)
+    discard(pairs)
     return found
 
 
@@ -232,12 +258,12 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, common: int = COMMON) -> DataFrame:
     """(id, component_id) for every row of docs, whose ids differ; component_id is the smallest id of the row's component."""
     rows = staged(nodes_of(docs, id_col, text_col, width), "shingle-nodes")
-    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp")), "shingle-firsts")
+    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("counts").alias("counts")), "shingle-firsts")
     copies = bounded_small(rows.join(nodes.select("id"), "id", "left_anti").select(F.col("id").alias(id_col)), "copies", 32)
     labels = components(links(docs.join(copies, id_col, "left_anti"), nodes, id_col, text_col, width, common))
     labelled = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    return rows.join(labelled.join(smallest, "label").select("node", "component_id"), "node").select("id", "component_id")
+    return rows.select("id", "node").join(labelled.join(smallest, "label").select("node", "component_id"), "node").select("id", "component_id")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,3 +61,20 @@ def test_sample(spark):
     texts = {r.doc_id: r.text.lower() for r in docs.collect()}
     got = {r.id: r.component_id for r in neardup.near_duplicates(docs).collect()}
     assert got == plain_components(texts)
+
+
+def test_bucket_counts_never_exclude_a_link(spark):
+    """The bound holds for every pair, drops unlike pairs, and very many equal buckets count as unbounded."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(30):
+        base = rng.integers(0, 1 << 63, size=rng.integers(1, 400)).astype(np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate((base[len(base) // 12:], rng.integers(0, 1 << 63, size=len(base) // 12).astype(np.uint64)))), np.unique(base[:len(base) * 6 // 10])]
+    sets.append(np.arange(70000, dtype=np.uint64) << np.uint64(8))
+    nodes = spark.createDataFrame([(i, bytearray(neardup.bucket_counts(s))) for i, s in enumerate(sets)], "node long, counts binary")
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)]
+    got = {(r.a, r.b) for r in neardup.possible(spark.createDataFrame(pairs, "a long, b long"), nodes).collect()}
+    links = {(i, j) for i, j in pairs if linked(set(sets[i].tolist()), set(sets[j].tolist()))}
+    assert links <= got and len(got) < len(pairs) / 4 and all((i, len(sets) - 1) in got for i in range(len(sets) - 1))

@@ -4,7 +4,7 @@ import pandas as pd
 
 import corpus_pipeline
 from evq.llm import oracles, pii
-from tests.llm import test_decontam, test_pii, test_quality, test_simhash
+from tests.llm import test_decontam, test_neardup, test_pii, test_quality
 
 
 def frame(con, name, rows):
@@ -16,12 +16,8 @@ def test_run(spark, sf):
     docs = pd.read_parquet(f"{sf}/documents.parquet")
     kept = {r[0] for r in test_quality.sql(sf, oracles.QUALITY) if r[2]}
     docs = docs[docs.doc_id.isin(kept)]
-    fps = {i: test_simhash.plain_fingerprint(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
-    comp = test_simhash.plain_components(set(fps.values()))
-    first = {}
-    for i in sorted(fps):
-        first.setdefault(min(comp[fps[i]]), i)
-    docs = docs[docs.doc_id.isin(set(first.values()))]
+    comp = test_neardup.plain_components(dict(zip(docs.doc_id, docs.text, strict=True)))
+    docs = docs[docs.doc_id.isin(set(comp.values()))]
     items = [(str(i), t) for i, t in pd.read_parquet(f"{sf}/benchmark.parquet")[["item_id", "text"]].itertuples(index=False)]
     grams = {tuple(w[j:j + 13]) for _, t in items for w in [test_decontam.words(t)] for j in range(max(1, len(w) - 12))}
     near = lambda t: any(tuple(w[j:j + 13]) in grams for w in [test_decontam.words(t)] for j in range(max(1, len(w) - 12)))
