@@ -32,3 +32,9 @@ def settled(df: DataFrame) -> DataFrame:
     size both sides would be exchanged before the small one turns out to be small.
     """
     return small(cut(df))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table of few splits over all cores; a table with a split for each core stays as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,6 +21,7 @@ from evq.functions.boosting import Trees, boost, boost_all
 from evq.functions.cols import clip
 from evq.functions.lineage import cut
 from evq.functions.ordered import exact_quantiles
+from evq.functions.sizing import spread
 from evq.functions.series import mean, total, variance
 from evq.functions.windows import past_totals
 
@@ -496,25 +499,51 @@ def baseline_text(rows: DataFrame, date: str = "event_date", order: Sequence[str
     return scored.select(*rows.columns, F.when(F.col("z").isNull(), F.col("b1")).when(F.col("z") > 0, "+").otherwise("-").alias("pred"))
 
 
-def text_features(docs: DataFrame, key: str, text: str = "text", n_terms: int = 128, top: int = 16) -> DataFrame:
+def _grams(words: list[str]) -> list[str]:
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def text_features(docs: DataFrame, key: str, text: str = "text", n_terms: int = 128, top: int = 16, held: int = 1 << 18) -> DataFrame:
     """Weights of a text's strongest terms: 1-2 grams, the n_terms most frequent terms, smoothed idf, unit length.
 
-    Only the n_terms table leaves the rows; nothing is shuffled by document.
+    One pass counts terms and their documents in each task, sending on at most about `held` distinct terms at a time; a
+    second one looks up the n_terms of the vocabulary in each text. Nothing is shuffled by document. A null text has no terms.
     """
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    base = docs.select(key, words.alias("_w"))
-    pairs = F.when(F.size("_w") > 1, F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(1))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    rows = base.select(key, F.concat("_w", pairs).alias("_t"))
-    # Pass 1: counts combined on the map side; at most n_terms rows remain.
-    seen = rows.select(F.explode(F.concat(F.transform("_t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
-                                          F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))))).alias("x"))
+    rows = spread(docs.select(key, text)).select(key, F.coalesce(words, F.array().cast("array<string>")).alias("_w"))
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, docs_with = Counter(), Counter()
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(list(every)), pa.array(list(every.values()), pa.int64()), pa.array([docs_with[t] for t in every], pa.int64())], ["term", "c", "d"])
+        for b in parts:
+            for w in b.column(0).to_pylist():
+                terms = Counter(_grams(w))
+                every.update(terms)
+                docs_with.update(terms.keys())
+                if len(every) > held:
+                    yield send()
+                    every.clear()
+                    docs_with.clear()
+        if every:
+            yield send()
+
     n = docs.count()
-    vocab = seen.groupBy("x.term").agg(F.sum("x.c").alias("ctf"), F.sum("x.d").alias("df")).orderBy(F.desc("ctf"), "term").limit(n_terms).select("term", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    table = F.broadcast(cut(vocab.agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("_idf"))))
-    # Pass 2: everything inside the row.
-    held = rows.crossJoin(table).select(key, "_idf", F.filter("_t", lambda t: F.map_contains_key("_idf", t)).alias("_t"))
-    raw = held.select(key, F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), (F.size(F.filter("_t", lambda x: x == t)) * F.element_at("_idf", t)).alias("w"))).alias("_s"))
-    norm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    unit = raw.withColumn("_n", norm).withColumn("_s", F.transform("_s", lambda x: F.struct((-F.round(x["w"] / F.col("_n"), 12)).alias("neg"), x["term"].alias("term"))))
-    best = unit.select(key, F.posexplode(F.slice(F.array_sort("_s"), 1, top)).alias("rank", "x"))
-    return best.select(key, (F.col("rank") + 1).alias("rank"), "x.term", (-F.col("x.neg")).alias("weight"))
+    counts = rows.select("_w").mapInArrow(count, "term string, c long, d long").groupBy("term").agg(F.sum("c").alias("ctf"), F.sum("d").alias("df"))
+    vocab = counts.orderBy(F.desc("ctf"), "term").limit(n_terms).select("term", (F.ln((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect()
+    shared = docs.sparkSession.sparkContext.broadcast({r.term: r.idf for r in vocab})
+
+    def weigh(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        for b in parts:
+            at, rank, term, weight = [], [], [], []
+            for i, w in enumerate(b.column(1).to_pylist()):
+                found = [(t, c * idf[t]) for t, c in sorted(Counter(g for g in _grams(w) if g in idf).items())]
+                norm = math.sqrt(sum(v * v for _, v in found))
+                best = sorted((-round(v / norm, 12), t) for t, v in found)[:top]
+                at += [i] * len(best)
+                rank += range(1, len(best) + 1)
+                term += [t for _, t in best]
+                weight += [-v for v, _ in best]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(rank, pa.int32()), pa.array(term, pa.string()), pa.array(weight, pa.float64())], [key, "rank", "term", "weight"])
+
+    return rows.mapInArrow(weigh, f"`{key}` {dict(docs.dtypes)[key]}, rank int, term string, weight double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evq.functions.lineage import cut, stage
-from evq.functions.sizing import small
+from evq.functions.sizing import small, spread
 from evq.functions.windows import asof_join, past_totals
 from evq.operators.asof import visible_from
 
@@ -35,7 +35,7 @@ def doc_tokens(docs: DataFrame) -> Column:
 
 def tokenised(docs: DataFrame) -> DataFrame:
     """docs without text but with their tokens `_t`, written once for several lists."""
-    return stage(docs.withColumn("_t", tokens(F.col("text"))).drop("text"), "tokens")
+    return stage(spread(docs).withColumn("_t", tokens(F.col("text"))).drop("text"), "tokens")
 
 
 def postings(docs: DataFrame, keep: DataFrame | None = None, carry: Sequence[str] = (), marker: bool = False) -> DataFrame:
@@ -90,6 +90,7 @@ def bm25_scored(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b:
     score found there. Joins are by (token, block), so a frequent token is many keys.
     """
     qtok = cut(query_tokens(queries))
+    docs = docs if "_t" in docs.columns else spread(docs)
     posts = cut(postings(docs.withColumn("vf", visible_from()), qtok, ["vf"], marker=True))
     stats = bm25_stats(qtok, posts)
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
@@ -182,6 +183,7 @@ def tfidf_topk(queries: DataFrame, docs: DataFrame, k: int, n_terms: int = 512,
     counts of a batch times the matrix give all products, and their squares times the squared idf of each date the norms.
     """
     spark = docs.sparkSession
+    docs = docs if "_t" in docs.columns else tokenised(docs)
     vocab = cut(tfidf_vocabulary(queries, docs, n_terms))
     qtok = cut(query_tokens(queries))
     total, found = queries.count(), vocab.select("token").distinct().count()

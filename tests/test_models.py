@@ -114,3 +114,17 @@ def test_pool_of_three_models(spark):
     w = M.temporal_split(spark.createDataFrame(rows, "industry_code string, start_d date, x array<double>, y array<double>"))
     out = M.pool_select(M.forecast_pool(w, rounds=40), ["industry_code", "start_d"]).collect()
     assert len(out) == 240 and {r.n_models for r in out} == {3} and {r.selected for r in out} == {"linear"}
+
+
+def test_text_features_counts(spark):
+    """Terms flushed early add up; a null text has no rows; the weights are those of a plain count."""
+    texts = {1: "b a a c", 2: "A b", 3: None, 4: "", 5: "c c c d"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {}
+    for r in M.text_features(df, "doc_id", n_terms=4, top=2, held=2).collect():
+        got.setdefault(r.doc_id, []).append((r["rank"], r.term, r.weight))
+    idf = {t: np.log(6 / (1 + n)) + 1 for t, n in (("a", 2), ("b", 2), ("c", 2), ("c c", 1))}
+    norm = np.sqrt((2 * idf["a"]) ** 2 + idf["b"] ** 2 + idf["c"] ** 2)
+    assert set(got) == {1, 2, 5}
+    assert sorted(got[1]) == [(1, "a", pytest.approx(2 * idf["a"] / norm)), (2, "b", pytest.approx(idf["b"] / norm))]
+    assert [t for _, t, _ in sorted(got[5])] == ["c", "c c"]
