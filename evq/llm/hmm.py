@@ -116,8 +116,8 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
-    """counts: (word, c), written. The head is a top-k of fixed size; the rest arrives as sums by class."""
-    head = [(r.word, r.c) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    """counts: (word, c), written. The head is the end token and a top-k of fixed size; the rest arrives as sums by class."""
+    head = [(r.word, r.c) for r in counts.orderBy(F.desc(F.col("word") == END), F.desc("c"), "word").limit(HEAD).collect()]
     own = [END, *[w for w, _ in head if w != END][:CLASSES_HEAD - 1]]
     tail = counts.filter(~F.col("word").isin(own)).groupBy((F.crc32(F.right("word", F.lit(2)).cast("binary")) % CLASSES_TAIL + CLASSES_HEAD).alias("k")).agg(
         F.sum("c").alias("n"), F.count("*").alias("v")).collect()

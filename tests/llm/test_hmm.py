@@ -48,6 +48,13 @@ def test_small_head_looks_words_up(spark, sf, monkeypatch):
     assert all(a[i].n_known == b[i].n_known and a[i].base_score == pytest.approx(b[i].base_score, rel=1e-9) and a[i].score == pytest.approx(b[i].score, rel=1e-6) for i in a)
 
 
+def test_end_counts_whatever_the_head(spark, monkeypatch):
+    """With a head of one word and words more frequent than the end, the end is still known."""
+    monkeypatch.setattr(hmm, "HEAD", 1)
+    texts = [(i, " ".join(f"w{k}" for k in range(40)) + " w1 w2 w1") for i in range(12)]
+    check_base(hmm.score(spark.createDataFrame(texts, "doc_id long, text string"), rounds=1).withColumnRenamed("id", "doc_id").collect(), texts)
+
+
 def test_edges(spark, edge):
     rows = hmm.score(edge, rounds=1).withColumnRenamed("id", "doc_id").collect()
     check_base(rows, [(r.doc_id, r.text) for r in edge.collect()])
