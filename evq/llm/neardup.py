@@ -14,11 +14,13 @@ which hashes travel packed in four bytes, yields these and a bitmap of fixed siz
 a shingle that was counted once joins nothing and is not shuffled again. Counts and bitmap affect the speed only.
 
 Confirmation. Each node keeps how many of its shingles fall into each of 256 buckets; the sum of the smaller counts
-of two nodes bounds what they share, so pairs below the limit are dropped before whole sets meet.
+of two nodes bounds what they share, so pairs below the limit are dropped before whole sets meet. The odd buckets, as
+256 bits, bound it more loosely but cheaply: buckets odd in one node alone are no more than the shingles that the two do not share.
 
 Hot groups. A shingle whose nodes lie in one component already is dropped by its smallest and largest label.
 First every node proposes the node with which it shares most of the ends of its shingles, one pair for each
-node. Then all pairs that still lie in different components are compared, in a join that may be split.
+node. Then all pairs that still lie in different components are compared, in a join that may be split and that
+makes a pair only if its odd buckets allow the similarity.
 
 Nulls and texts without words have the empty set and are one node; a text of fewer than five words is one
 shingle. Rows with a null or repeated id keep their own row (`first_of_each`). Empty tables give empty results.
@@ -46,6 +48,8 @@ OVER, UNDER = 4, 5
 COMMON, MOST_COMMON = 50, 1 << 17
 #: Buckets of a node's counts.
 BUCKETS = 256
+#: Columns of 64 bits that tell which buckets are odd.
+ODD = [f"odd{k}" for k in range(BUCKETS // 64)]
 #: Bits of the bitmap's size: 2**27 bits or 16 MB, whatever the corpus.
 MAP_BITS = 27
 #: Hashes that a task packs before it sends them on, and hashes of one group of the counting pass.
@@ -74,16 +78,22 @@ def bucket_counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype(np.uint16).tobytes()
 
 
+def odd_buckets(s: np.ndarray) -> np.ndarray:
+    """Which buckets hold an odd number of the shingles, in len(ODD) words of 64 bits."""
+    return np.packbits(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint8) & 1).view(np.int64)
+
+
 def nodes_of(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, node, n, fp, counts) of every row: the set's digest, size, majority bits and bucket counts."""
+    """(id, node, n, fp, counts, odd0, ...) of every row: the set's digest, size, majority bits, bucket counts and odd buckets."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(parts):
             sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+            odd = np.array([odd_buckets(s) for s in sets], dtype=np.int64).reshape(-1, len(ODD))
             yield pa.RecordBatch.from_arrays([b.column(0), _signed([_node(s) for s in sets]), pa.array([len(s) for s in sets], type=pa.int32()), _signed([majority_bits(s) for s in sets]),
-                                              pa.array([bucket_counts(s) for s in sets], type=pa.binary())], names=["id", "node", "n", "fp", "counts"])
+                                              pa.array([bucket_counts(s) for s in sets], type=pa.binary()), *[pa.array(odd[:, k]) for k in range(len(ODD))]], names=["id", "node", "n", "fp", "counts", *ODD])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, n int, fp long, counts binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, n int, fp long, counts binary, {', '.join(f'{c} long' for c in ODD)}")
 
 
 def group_bits(shingles: int) -> int:
@@ -225,7 +235,7 @@ def _mixed(entries: DataFrame, labels: DataFrame) -> DataFrame:
 def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, common: int = COMMON) -> DataFrame:
     """(a, b): pairs of nodes with the similarity, enough of them to connect every component.
 
-    nodes: (node, id, n, fp), one row of docs for each node; docs holds these rows alone.
+    nodes: (node, id, n, fp, counts, odd0, ...), one row of docs for each node; docs holds these rows alone.
     """
     close = simhash.links(nodes.filter("n > 0").select("fp").distinct())
     first = nodes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("node"))
@@ -244,12 +254,16 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     best = ends[0].union(ends[1]).groupBy("node", "end").count().groupBy("node").agg(F.max(F.struct("count", "end")).alias("x"))
     proposed = staged(best.select(F.least("node", "x.end").alias("a"), F.greatest("node", "x.end").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "proposals")
     found, tried = staged(found.union(confirmed(proposed, docs, nodes, id_col, text_col, width)), "links"), staged(tried.union(proposed), "tried")
-    apart = staged(_mixed(mixed.select("shingle", "node", "n", "at"), components(found)).drop("low", "high"), "apart")
+    marked = nodes.filter("n > 0").select("node", *ODD).join(components(found), "node", "left")
+    apart = staged(_mixed(mixed.select("shingle", "node", "n", "at"), marked).drop("low", "high"), "apart")
     discard(mixed)
-    x, y = (apart.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "at", "label")]) for k in (1, 2))
+    x, y = (apart.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "at", "label", *ODD)]) for k in (1, 2))
     # Where the shingle is the first that both share, no more than what follows it on either side can be shared.
     most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-    met = x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & _fits(F.col("n1"), F.col("n2")) & (most * (OVER + UNDER) >= (F.col("n1") + F.col("n2")) * OVER))
+    # Sets of the similarity differ in at most (UNDER - OVER) / (OVER + UNDER) of the shingles of both.
+    differ = sum(F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in ODD)
+    fits = _fits(F.col("n1"), F.col("n2")) & (most * (OVER + UNDER) >= (F.col("n1") + F.col("n2")) * OVER) & (differ * (OVER + UNDER) <= (F.col("n1") + F.col("n2")) * (UNDER - OVER))
+    met = x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & fits)
     rest = staged(met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     discard(apart)
     return found.union(confirmed(rest, docs, nodes, id_col, text_col, width))
@@ -258,7 +272,7 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, common: int = COMMON) -> DataFrame:
     """(id, component_id) for every row of docs, whose ids differ; component_id is the smallest id of the row's component."""
     rows = staged(nodes_of(docs, id_col, text_col, width), "shingle-nodes")
-    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("counts").alias("counts")), "shingle-firsts")
+    nodes = staged(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("counts").alias("counts"), *[F.first(c).alias(c) for c in ODD]), "shingle-firsts")
     copies = bounded_small(rows.join(nodes.select("id"), "id", "left_anti").select(F.col("id").alias(id_col)), "copies", 32)
     labels = components(links(docs.join(copies, id_col, "left_anti"), nodes, id_col, text_col, width, common))
     labelled = nodes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))

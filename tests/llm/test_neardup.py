@@ -78,3 +78,29 @@ def test_bucket_counts_never_exclude_a_link(spark):
     got = {(r.a, r.b) for r in neardup.possible(spark.createDataFrame(pairs, "a long, b long"), nodes).collect()}
     links = {(i, j) for i, j in pairs if linked(set(sets[i].tolist()), set(sets[j].tolist()))}
     assert links <= got and len(got) < len(pairs) / 4 and all((i, len(sets) - 1) in got for i in range(len(sets) - 1))
+
+
+def test_odd_buckets_never_exclude_a_link():
+    """Buckets odd in one set alone are at most the shingles not shared, for any two sets; unlike sets are far apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, size=rng.integers(0, 300)).astype(np.uint64)) for _ in range(20)]
+    sets += [np.unique(np.concatenate((s[len(s) // 10:], rng.integers(0, 1 << 63, size=len(s) // 10).astype(np.uint64)))) for s in sets]
+    sets.append(np.arange(70001, dtype=np.uint64) << np.uint64(8))
+    apart = 0
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            differ = sum(int(x ^ y).bit_count() for x, y in zip(*(neardup.odd_buckets(s).view(np.uint64).tolist() for s in (a, b)), strict=True))
+            assert differ <= len(np.setxor1d(a, b))
+            apart += 9 * differ > len(a) + len(b)
+    assert apart > len(sets) * (len(sets) - 1) / 4
+
+
+def test_common_passage_makes_few_pairs(spark):
+    """Texts that share a long passage but little else are equal to brute force, whether or not their pairs are made."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = {i: passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((3, 60)))) for i in range(150)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.id: r.component_id for r in neardup.near_duplicates(docs, common=20).collect()} == plain_components(texts)
