@@ -6,6 +6,8 @@ unrelated and every index below 2**52 is equally likely up to 2**-52 n.
 `multinomial_sums` resamples rows through the counts of their distinct values: how often a value
 of multiplicity k is drawn among the draws left is binomial, found by inverting its distribution
 at the uniform of (replicate, value). The work grows with the distinct values, not with the rows.
+`bootstrap_tails` draws the counts of ascending values in the same way and stops behind the order
+statistics it needs.
 """
 
 from __future__ import annotations
@@ -78,8 +80,11 @@ def binomial_quantiles(n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
     return out
 
 
-def multinomial_counts(sizes: Sequence[int], reps: np.ndarray, total: np.ndarray, label: str) -> np.ndarray:
-    """(len(sizes), len(reps)) counts of `total` draws over groups of the given sizes, one group after another."""
+def multinomial_counts(sizes: Sequence[int], reps: np.ndarray, total: np.ndarray, label: str, until: np.ndarray | None = None) -> np.ndarray:
+    """(len(sizes), len(reps)) counts of `total` draws over groups of the given sizes, one group after another.
+
+    With `until` the counts end at the group by which every replicate has that many draws; later groups have no row.
+    """
     left, rest = total.copy(), int(sum(sizes))
     out = np.zeros((len(sizes), len(reps)), dtype=np.int64)
     for i, k in enumerate(sizes):
@@ -89,9 +94,22 @@ def multinomial_counts(sizes: Sequence[int], reps: np.ndarray, total: np.ndarray
             out[i] = binomial_quantiles(left, k / rest, _uniforms(reps, f"{label}{i}"))
         left = left - out[i]
         rest -= int(k)
+        if until is not None and (total - left >= until).all():
+            return out[:i + 1]
     return out
 
 
+def chunked(counts: DataFrame, values: list[str], reps: int, by: Sequence[str]) -> DataFrame:
+    """Rows (by, values, n, _rn, _chunk, _sizes, _from): distinct values in order, cut into chunks, once for each block of replicates."""
+    merged = counts.groupBy(*by, *values).agg(F.sum("n").cast("long").alias("n")).filter("n > 0")
+    ranked = cut(ordered_rank(merged, list(by), values, "_rn").withColumn("_chunk", F.expr(f"cast((_rn - 1) div {CHUNK} as int)")))
+    sizes = ranked.groupBy(*by, "_chunk").agg(F.sum("n").alias("_k"))
+    totals = sizes.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "_k"))), lambda s: s["_k"]).alias("_sizes"))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK))).alias("_from")
+    rows = ranked.join(totals, list(by)) if by else ranked.crossJoin(totals)
+    return rows.select(*by, *values, "n", "_rn", "_chunk", "_sizes", starts)
+
+
 def multinomial_sums(counts: DataFrame, values: list[str], reps: int, by: Sequence[str] = ()) -> DataFrame:
     """Bootstrap rows from the counts `n` of their distinct values, per group `by`.
 
@@ -99,13 +117,8 @@ def multinomial_sums(counts: DataFrame, values: list[str], reps: int, by: Sequen
     a chunk's share of the draws comes from the multinomial over the chunk totals, which every task
     of a replicate finds alike.
     """
-    merged = counts.groupBy(*by, *values).agg(F.sum("n").cast("long").alias("n")).filter("n > 0")
-    ranked = cut(ordered_rank(merged, list(by), values, "_rn").withColumn("_chunk", F.expr(f"cast((_rn - 1) div {CHUNK} as int)")))
-    sizes = ranked.groupBy(*by, "_chunk").agg(F.sum("n").alias("k"))
-    totals = sizes.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "k"))), lambda s: s["k"]).alias("_sizes"))
-    starts = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK))).alias("_from")
-    rows = ranked.join(totals, list(by)) if by else ranked.crossJoin(totals)
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name in by), "rep long", *(f"`{v}` double" for v in values), "n long"])
+    rows = chunked(counts, values, reps, by)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by), "rep long", *(f"`{v}` double" for v in values), "n long"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn")
@@ -120,10 +133,53 @@ def multinomial_sums(counts: DataFrame, values: list[str], reps: int, by: Sequen
         out["n"] = share
         return out
 
-    parts = rows.select(*by, *values, "n", "_rn", "_chunk", "_sizes", starts).groupBy(*by, "_chunk", "_from").applyInPandas(run, fields)
+    parts = rows.groupBy(*by, "_chunk", "_from").applyInPandas(run, fields)
     return parts.groupBy(*by, "rep").agg(*[F.sum(v).alias(v) for v in values], F.sum("n").alias("n"))
 
 
+def bootstrap_tails(counts: DataFrame, value: str, alphas: Sequence[float], reps: int, by: Sequence[str]) -> DataFrame:
+    """(by, rep, alpha, v, e): the interpolated alpha quantile of each replicate and the mean of its values up to it.
+
+    counts: distinct values with how often (`n`) each occurs. A replicate's counts are drawn over ascending values
+    and end behind the order statistics of the largest alpha; chunks that lie behind them for all replicates
+    draw nothing. Values between the two order statistics don't exist, so the tail is what is not above the lower one.
+    """
+    rows = chunked(counts, [value], reps, by)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in by), "rep long, alpha double, _f double, _a double, _b double, _s double, _k long"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn")
+        first, chunk = pdf.iloc[0], int(pdf["_chunk"].iloc[0])
+        r = np.arange(first["_from"], min(reps, first["_from"] + BLOCK))
+        sizes = [int(k) for k in first["_sizes"]]
+        n = sum(sizes)
+        places = [((n - 1) * a, math.floor((n - 1) * a), min(math.floor((n - 1) * a) + 1, n - 1)) for a in alphas]
+        last = max(hi for _, _, hi in places)
+        shares = multinomial_counts(sizes, r, np.full(len(r), n), "chunk")
+        below = shares[:chunk].sum(axis=0)
+        if (below > last).all():
+            return pd.DataFrame()
+        parts = []
+        c = multinomial_counts(pdf["n"].tolist(), r, shares[chunk], f"{chunk}/", last + 1 - below)
+        x, upto, at = pdf[value].to_numpy(dtype=np.float64)[:len(c)], below + np.cumsum(c, axis=0), np.arange(len(r))
+        sums = np.cumsum(c * x[:, None], axis=0)
+        for alpha, (h, lo, hi) in zip(alphas, places, strict=True):
+            here = [(below <= k) & (upto[-1] > k) for k in (lo, hi)]
+            where = [np.argmax(upto > k, axis=0) for k in (lo, hi)]
+            end = np.where(here[0], where[0], len(c) - 1)
+            begun = below <= lo
+            parts.append({
+                "rep": r, "alpha": np.full(len(r), alpha), "_f": np.full(len(r), h - lo), "_a": np.where(here[0], x[where[0]], np.nan), "_b": np.where(here[1], x[where[1]], np.nan),
+                "_s": np.where(begun, sums[end, at], 0.0), "_k": np.where(begun, upto[end, at] - below, 0)})
+        out = {c: np.concatenate([p[c] for p in parts]) for c in ("rep", "alpha", "_f", "_a", "_b", "_s", "_k")}
+        return pd.DataFrame({b: [first[b]] * len(out["rep"]) for b in by} | out)
+
+    parts = rows.groupBy(*by, "_chunk", "_from").applyInPandas(run, fields)
+    lo, hi = (F.max(F.when(~F.isnan(c), F.col(c))) for c in ("_a", "_b"))
+    whole = parts.groupBy(*by, "rep", "alpha").agg(F.max("_f").alias("_f"), lo.alias("_a"), hi.alias("_b"), F.sum("_s").alias("_s"), F.sum("_k").alias("_k"))
+    return whole.select(*by, "rep", "alpha", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("v"), (F.col("_s") / F.col("_k")).alias("e"))
+
+
 def resample_rows(rows: DataFrame, idx: str, n: int, values: list[str], reps: int) -> DataFrame:
     """Bootstrap of indexed rows (idx from zero, dense), few enough to be a calendar: sums of each value per replicate."""
     d = draws(rows.sparkSession, n, reps)

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from evq.functions.cols import clip
 from evq.functions.ordered import ordered_lag
-from evq.functions.resample import draw
+from evq.functions.resample import bootstrap_tails
 from evq.functions.series import drawdown, mean, quantile, running, tail_mean, total, variance
 
 # fixed values: standard normal quantiles
 Z = {0.05: -1.6448536269514722, 0.01: -2.3263478740408408, 0.025: -1.9599639845400545, 0.1: -1.2815515655446004}
-#: Replicates drawn from one copy of a series; forecast rows simulated at once.
-REP_BLOCK, SIMULATED_ROWS = 64, 256
+#: Forecast rows simulated at once.
+SIMULATED_ROWS = 256
 METHODS = ("historical", "bootstrap", "parametric", "ewma", "evt")
 
 
@@ -85,9 +85,8 @@ def risk_grid(rets: DataFrame, by: Sequence[str], alphas: Sequence[float] = (0.0
               horizons: Sequence[int] = (1, 5, 20), value: str = "r", on: str = "d", reps: int = 1000) -> DataFrame:
     """Every alpha and method per series from one grouped array, scaled by the root of the horizon.
 
-    The bootstrap averages the VaR and ES of resampled arrays, replicate by replicate.
+    The bootstrap averages the VaR and ES of the replicates, whose tails come from counts of distinct returns.
     """
-    arr = series_arrays(rets, by, value, on)
     closed = [m for m in methods if m != "bootstrap"]
     parts = []
     for a in alphas:
@@ -96,21 +95,14 @@ def risk_grid(rets: DataFrame, by: Sequence[str], alphas: Sequence[float] = (0.0
             parts.append(F.struct(F.lit(a).alias("alpha"), F.lit(m).alias("method"), v.alias("var"), e.alias("es")))
     out = None
     if parts:
-        df = _staged(arr, closed)
+        df = _staged(series_arrays(rets, by, value, on), closed)
         for a in alphas:
             k = f"{a}".replace(".", "_")
             df = df.withColumn(f"_h{k}", quantile(F.col("_s"), a)).withColumn(f"_e{k}", tail_mean(F.col("_s"), F.col(f"_h{k}")))
         out = df.select(*by, F.explode(F.array(*parts)).alias("g")).select(*by, "g.*")
     if "bootstrap" in methods:
-        n = F.size("_x")
-        # A series is copied once per block of replicates and drawn from inside the row.
-        first = F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(REP_BLOCK))).alias("_from")
-        blocks = arr.filter(n > 0).select(*by, "_x", first).repartition(*by, "_from")
-        ids = F.sequence(F.col("_from"), F.least(F.col("_from") + REP_BLOCK, F.lit(reps)) - 1)
-        sample = lambda rep: F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(F.col("_x"), draw(rep, k, n).cast("int"))))
-        rs = blocks.select(*by, F.explode(F.transform(ids, sample)).alias("_s"))
-        stats = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), quantile(F.col("_s"), a).alias("v")) for a in alphas]))
-        each = rs.select(*by, "_s", stats.alias("g")).select(*by, "g.alpha", "g.v", tail_mean(F.col("_s"), F.col("g.v")).alias("e"))
+        counts = rets.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+        each = bootstrap_tails(counts, "_v", list(alphas), reps, list(by))
         boot = each.groupBy(*by, "alpha").agg(F.avg("v").alias("var"), F.avg("e").alias("es")).withColumn("method", F.lit("bootstrap"))
         out = boot if out is None else out.unionByName(boot)
     h = F.explode(F.array(*[F.lit(k) for k in horizons])).alias("horizon")

@@ -46,13 +46,26 @@ def draw_sql(rep="rep", slot="slot", n="n"):
     return f"CAST(floor({uniform_sql(rep, slot)} * {n}) AS BIGINT)"
 
 
-@query("i2_var_es_bootstrap", f"""WITH v AS (SELECT industry_code, r, row_number() OVER (PARTITION BY industry_code ORDER BY d) - 1 AS idx, count(*) OVER (PARTITION BY industry_code) AS n FROM ret WHERE r IS NOT NULL),
-  dr AS (SELECT industry_code, rep, {draw_sql()} AS idx FROM (SELECT industry_code, idx AS slot, n, rep FROM v CROSS JOIN range(1000) g(rep))),
-  sm AS (SELECT industry_code, rep, r FROM dr JOIN v USING (industry_code, idx)), q AS (SELECT industry_code, rep, quantile_cont(r, 0.05) AS q FROM sm GROUP BY 1, 2),
-  e AS (SELECT industry_code, rep, q, avg(r) AS e FROM sm JOIN q USING (industry_code, rep) WHERE r <= q GROUP BY 1, 2, 3)
-  SELECT industry_code, r6(avg(q)) AS var, r6(avg(e)) AS es FROM e GROUP BY 1""")
-def _(s):
-    return _ve(s, "bootstrap")
+# Counts of ascending distinct values, each binomial given those before it, until the order statistics are passed.
+@query("i2_var_es_bootstrap", f"""WITH RECURSIVE v AS (SELECT industry_code, round(r, 12) AS x, count(*) AS k FROM ret WHERE r IS NOT NULL GROUP BY 1, 2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY industry_code ORDER BY x) - 1 AS i, CAST(sum(k) OVER (PARTITION BY industry_code) AS BIGINT) AS n, CAST(sum(k) OVER (PARTITION BY industry_code ORDER BY x DESC) AS BIGINT) AS l FROM v),
+  z AS (SELECT *, (n - 1) * CAST(0.05 AS DOUBLE) AS h, least(CAST(floor((n - 1) * CAST(0.05 AS DOUBLE)) AS BIGINT) + 1, n - 1) AS hi FROM o),
+  near AS (SELECT *, CAST(k AS DOUBLE) / l AS p FROM z WHERE n - l <= 2 * hi + 100),
+  g AS (SELECT industry_code, i, p, k, m, unnest(range(0, least(m, 60 + 2 * k) + 1)) AS j FROM (SELECT *, unnest(range(n - hi, n + 1)) AS m FROM near)),
+  t AS (SELECT industry_code, i, m, j, sum(CASE WHEN p >= 1 THEN CAST(j = m AS INT) ELSE exp(lgamma(m + 1.0) - lgamma(j + 1.0) - lgamma(m - j + 1.0) + j * ln(p) + (m - j) * ln(1 - p)) END)
+    OVER (PARTITION BY industry_code, i, m ORDER BY j) AS f FROM g),
+  c AS (SELECT industry_code, i, m, list(f ORDER BY j) AS fs FROM t GROUP BY 1, 2, 3),
+  u AS (SELECT i, rep, {uniform_sql("rep", "'0/' || i")} AS u FROM (SELECT DISTINCT i FROM near), range(1000) q(rep)),
+  w AS (SELECT industry_code, rep, CAST(-1 AS BIGINT) AS i, CAST(any_value(n) AS BIGINT) AS m, CAST(0 AS BIGINT) AS d FROM o, range(1000) q(rep) GROUP BY 1, 2
+    UNION ALL SELECT w.industry_code, w.rep, z.i, w.m - len(list_filter(c.fs, lambda f: f < u.u)), len(list_filter(c.fs, lambda f: f < u.u))
+      FROM w JOIN z ON z.industry_code = w.industry_code AND z.i = w.i + 1 AND w.m >= z.n - z.hi JOIN c ON c.industry_code = z.industry_code AND c.i = z.i AND c.m = w.m JOIN u ON u.i = z.i AND u.rep = w.rep),
+  s AS (SELECT w.industry_code, w.rep, x, d, n - w.m AS upto, h, floor(h) AS lo, hi FROM w JOIN z USING (industry_code, i)),
+  a AS (SELECT industry_code, rep, any_value(h) - any_value(lo) AS f, min(x) FILTER (WHERE upto > lo) AS xa, min(x) FILTER (WHERE upto > hi) AS xb,
+    sum(d * x) FILTER (WHERE upto - d <= lo) / sum(d) FILTER (WHERE upto - d <= lo) AS e FROM s GROUP BY 1, 2)
+  SELECT industry_code, r6(avg(xa + f * (xb - xa))) AS var, r6(avg(e)) AS es FROM a GROUP BY 1""")
+def _(s):
+    v = R.var_es(rets(s).withColumn("r", F.round("r", 12)), ["industry_code"], "bootstrap", 0.05)
+    return v.select("industry_code", r6("var").alias("var"), r6("es").alias("es"))
 
 
 @query("i3_var_es_parametric", f"SELECT industry_code, r6(avg(r) - 1.6448536269514722 * stddev_samp(r)) AS var, r6(avg(r) - stddev_samp(r) * {PDF5}) AS es FROM ret WHERE r IS NOT NULL GROUP BY 1")

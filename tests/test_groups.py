@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evq.functions.ordered import exact_quantiles, ordered_lag, ordered_rank
 from evq.functions import resample
-from evq.functions.resample import binomial_quantiles, draw, multinomial_sums
+from evq.functions.resample import binomial_quantiles, bootstrap_tails, draw, multinomial_counts, multinomial_sums
 from evq.operators import metrics as M
 from evq.operators import models as L
 from evq.operators import portfolio as P
@@ -196,3 +196,49 @@ def test_calibrators(spark):
         assert p.iloc[-30:].mean() > p.iloc[:30].mean() + 0.3 and p.between(0, 1).all()
     flat = L.fit_calibrator(df.withColumn("y", F.lit(1)), ["x"], "y", ["t"])(df)
     assert flat.select("prob_up").distinct().first()[0] == 0.5
+
+
+def plain_tails(values, n, reps, alphas):
+    """{(rep, alpha): (v, e)} from whole replicates, written out and sorted."""
+    r = np.arange(reps)
+    c = multinomial_counts(n, r, np.full(reps, sum(n)), "0/")
+    out = {}
+    for rep in r.tolist():
+        x = np.repeat(np.array(values, dtype=float), c[:, rep])
+        for a in alphas:
+            q = np.quantile(x, a)
+            out[rep, a] = (q, x[x <= q + 1e-15].mean())
+    return out
+
+
+def test_bootstrap_tails(spark):
+    """Equal to whole replicates for ties, one value, one row, many values; an empty table gives no row."""
+    rng = np.random.default_rng(4)
+    many = sorted(set(np.round(rng.normal(0, 0.02, 300), 6).tolist()))
+    series = {"many": (many, rng.integers(1, 4, len(many)).tolist()), "ties": ([-0.1, 0.0, 0.2], [2, 40, 3]), "flat": ([0.5], [7]), "single": ([0.5], [1]), "two": ([-1.0, 1.0], [1, 1])}
+    rows = [(s, float(v), int(k)) for s, (vs, ks) in series.items() for v, k in zip(vs, ks, strict=True)]
+    alphas = [0.05, 0.01, 0.5]
+    counts = spark.createDataFrame(rows, "s string, x double, n long")
+    got = {(r.s, r.rep, r.alpha): (r.v, r.e) for r in bootstrap_tails(counts, "x", alphas, 300, ["s"]).collect()}
+    want = {(s, *k): v for s, (vs, ks) in series.items() for k, v in plain_tails(vs, ks, 300, alphas).items()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+    assert bootstrap_tails(counts.filter("n < 0"), "x", alphas, 300, ["s"]).isEmpty()
+
+
+def test_bootstrap_tails_in_chunks(spark, monkeypatch):
+    """Cut into chunks, replicates stay whole: their quantiles have the mean and spread of an ordinary bootstrap."""
+    from evq.functions import resample
+
+    monkeypatch.setattr(resample, "CHUNK", 16)
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.normal(0, 1, 400))
+    counts = spark.createDataFrame([("a", float(v), 1) for v in x], "s string, x double, n long")
+    got = bootstrap_tails(counts, "x", [0.05, 0.2], 1000, ["s"]).toPandas()
+    draws = rng.choice(x, size=(4000, len(x)))
+    for a, part in got.groupby("alpha"):
+        q = np.quantile(draws, a, axis=1)
+        e = np.array([d[d <= k].mean() for d, k in zip(draws, q, strict=True)])
+        assert len(part) == 1000
+        for mine, plain in ((part.v, q), (part.e, e)):
+            assert abs(mine.mean() - plain.mean()) < 5 * plain.std() / 1000**0.5 and abs(mine.std() / plain.std() - 1) < 0.15
