@@ -60,7 +60,8 @@ VCOLS = ", ".join(WM.format(c=c, a=a) for a, c in P.VIEW.items())
 
 def wrows(s):
     rr = s.risk_rows()
-    return rr.withColumn("weight", F.lit(1.0)).join(rr.groupBy("horizon").agg(F.count("*").alias("_n")), "horizon").withColumn("weight", 1.0 / F.col("_n"))
+    # one row for each horizon of a fixed list: joined by shuffle, a third of all rows would meet in one task
+    return rr.withColumn("weight", F.lit(1.0)).join(F.broadcast(rr.groupBy("horizon").agg(F.count("*").alias("_n"))), "horizon").withColumn("weight", 1.0 / F.col("_n"))
 
 
 @query("i18_portfolio_view", f"WITH {VW} SELECT CAST(horizon AS INT) AS horizon, {VCOLS}, r6(sum(weight * weight) * 1000) AS hhi_k, r4(1 / sum(weight * weight)) AS effective_n, count(*) AS n FROM wv GROUP BY 1")
