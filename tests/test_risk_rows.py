@@ -7,7 +7,9 @@ import pytest
 
 from evq.functions.cols import r6
 from evq.operators.events import realized_path
+from evq.operators.features import BASELINE, baseline_features
 from evq.operators.portfolio import portfolio_view, vol_var
+from evq.plans.models_queries import ml_rows
 from evq.plans.portfolio_queries import wrows
 from evq.sources.sample import Sample
 
@@ -39,14 +41,24 @@ def test_rows_are_those_of_the_join_by_event(sample):
     assert sum(r.event_id == 5 for r in got) == 4 * len({(r.industry_code, r.horizon) for r in got if r.event_id == 5})
 
 
-def test_scenarios_are_not_shuffled(spark, sample):
+def test_baseline_rows_are_those_of_the_join_by_event(sample):
+    b = baseline_features(sample.scn, sample.px, sample.mkt).select(*KEYS[:2], *BASELINE)
+    show = lambda df: sorted(map(str, df.select(*KEYS[:2], "event_date", "prob_up", *BASELINE).collect()))
+    assert show(ml_rows(sample)) == show(sample.res(0).join(b, KEYS[:2]))
+
+
+@pytest.mark.parametrize("rows", [wrows, ml_rows])
+def test_scenarios_are_not_shuffled(spark, sample, rows):
     """With every join above the size for an unasked broadcast, neither the paths nor the three horizons gather the rows."""
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = wrows(sample)._jdf.queryExecution().executedPlan().toString()
-        n = {r.horizon: r.n for r in portfolio_view(wrows(sample)).collect()}
+        plan = rows(sample)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
-    assert n == {r.horizon: r["count"] for r in sample.risk_rows().groupBy("horizon").count().collect()}
+
+
+def test_weights_of_a_horizon(sample):
+    n = {r.horizon: r.n for r in portfolio_view(wrows(sample)).filter("abs(hhi * n - 1) < 1e-9").collect()}
+    assert n == {r.horizon: r["count"] for r in sample.risk_rows().groupBy("horizon").count().collect()} and len(n) == 3
