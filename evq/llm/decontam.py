@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evq.llm.common import sliced
+from evq.llm.common import own_name
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -101,33 +101,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     texts = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
     blocks = int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
-    row = F.struct(*docs.columns) if keep else F.struct(F.col(id_col).alias("id"))
-    found = docs.select(row.alias("row"), F.col(text_col).alias("text"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = found.schema
+    shape = "struct<spans: array<struct<a: int, b: int>>, items: array<string>>"
+    hits, col = own_name(docs.columns, "__hits"), F.col(text_col)
+    found = docs.withColumn(hits, F.lit(None).cast(shape))
+    kind = found.schema[hits].dataType
 
     def searcher(patterns):
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Only the texts and earlier hits go to Python; the rows wait on the other side.
+        @F.arrow_udf(kind)
+        def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             p = patterns.value
-            for b in sliced(parts):
-                spans, items = [], []
-                for text, s, i in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    ranges, new = p.search(words_of(text))
-                    spans.append([{"a": x, "b": y} for x, y in merged([(r["a"], r["b"]) for r in s] + ranges)] if s else [{"a": x, "b": y} for x, y in ranges])
-                    items.append(sorted(set(i) | {x for x in new if x is not None}))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, type=b.schema.field(2).type), pa.array(items, type=b.schema.field(3).type)], schema=b.schema)
+            for texts, before in parts:
+                out = []
+                for text, old in zip(texts, before, strict=True):
+                    (ranges, new), old = p.search(words_of(text.as_py())), old.as_py() or {"spans": [], "items": []}
+                    ranges = merged([(r["a"], r["b"]) for r in old["spans"]] + ranges) if old["spans"] else ranges
+                    out.append({"spans": [{"a": x, "b": y} for x, y in ranges], "items": sorted(set(old["items"]) | {x for x in new if x is not None})})
+                yield pa.array(out, type=before.type)
 
         return run
 
     for k in range(blocks):
         part = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        found = found.mapInArrow(searcher(spark.sparkContext.broadcast(Patterns([(r.item, r.text) for r in part], window))), schema)
+        found = found.withColumn(hits, searcher(spark.sparkContext.broadcast(Patterns([(r.item, r.text) for r in part], window)))(col, F.col(hits)))
     # Runs of the same characters before lower-casing: A-Z belong to words.
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
+    n_words = F.regexp_count(F.coalesce(col, F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("long")
+    n_hit = F.aggregate(F.col(hits)["spans"], F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
     bad = (n_hit > 0) & (share * n_hit >= n_words)
     if keep:
-        return found.filter(~bad).select("row.*")
-    return found.select("row.id", n_words.alias("n_words"), n_hit.alias("n_hit"), "spans", "items", bad.alias("contaminated"))
+        return found.filter(~bad).drop(hits)
+    return found.select(F.col(id_col).alias("id"), n_words.alias("n_words"), n_hit.alias("n_hit"), F.col(hits)["spans"].alias("spans"), F.col(hits)["items"].alias("items"), bad.alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:

@@ -55,3 +55,10 @@ def test_edges(spark, edge):
     assert decontam.contamination(edge.limit(0), bench).count() == 0
     kept = decontam.clean_documents(edge, bench)
     assert kept.columns == edge.columns and kept.count() == edge.count() - 3
+
+
+def test_rows_stay_out_of_python(spark, edge):
+    """The search reads texts alone: a row's own columns neither go to Python nor come back."""
+    bench = spark.createDataFrame([("q", "one two")], "item_id string, text string")
+    plan = decontam.clean_documents(edge, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
