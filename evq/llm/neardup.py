@@ -20,7 +20,8 @@ of two nodes bounds what they share, so pairs below the limit are dropped before
 Hot groups. A shingle whose nodes lie in one component already is dropped by its smallest and largest label.
 First every node proposes the node with which it shares most of the ends of its shingles, one pair for each
 node. Then all pairs that still lie in different components are compared, in a join that may be split and that
-makes a pair only if its odd buckets allow the similarity.
+makes a pair only if its odd buckets allow the similarity, and not again where one of the BEFORE shingles before
+this one is shared as well: texts that share a long passage meet once for each run of it, not at each shingle.
 
 Nulls and texts without words have the empty set and are one node; a text of fewer than five words is one
 shingle. Rows with a null or repeated id keep their own row (`first_of_each`). Empty tables give empty results.
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evq.functions.lineage import discard
@@ -52,6 +53,8 @@ BUCKETS = 256
 ODD = [f"odd{k}" for k in range(BUCKETS // 64)]
 #: Bits of the bitmap's size: 2**27 bits or 16 MB, whatever the corpus.
 MAP_BITS = 27
+#: Shingles before an entry, in its node's order, by which a pair that was met before is known.
+BEFORE = 4
 #: Hashes that a task packs before it sends them on, and hashes of one group of the counting pass.
 PACK, GROUP = 1 << 21, 1 << 20
 
@@ -232,6 +235,27 @@ def _mixed(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(ends.drop("few", "many"), "shingle")
 
 
+def with_before(entries: DataFrame) -> DataFrame:
+    """Entries with `before`: up to BEFORE shingles that precede each in its node's order."""
+    return entries.withColumn("before", F.collect_list("shingle").over(Window.partitionBy("node").orderBy("at").rowsBetween(-BEFORE, -1)))
+
+
+def met_pairs(apart: DataFrame) -> DataFrame:
+    """(a, b), some more than once: nodes of different labels that share a shingle and may have the similarity.
+
+    All nodes have one order, so the first shingle that two nodes share has no shared one before it in either, and
+    the bound by position is loosest there: a pair left out at a later shingle was made at an earlier one.
+    """
+    x, y = (apart.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "at", "label", "before", *ODD)]) for k in (1, 2))
+    # Where the shingle is the first that both share, no more than what follows it on either side can be shared.
+    most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
+    # Sets of the similarity differ in at most (UNDER - OVER) / (OVER + UNDER) of the shingles of both.
+    differ = sum(F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in ODD)
+    fits = _fits(F.col("n1"), F.col("n2")) & (most * (OVER + UNDER) >= (F.col("n1") + F.col("n2")) * OVER) & (differ * (OVER + UNDER) <= (F.col("n1") + F.col("n2")) * (UNDER - OVER))
+    met = x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & fits & ~F.arrays_overlap("before1", "before2"))
+    return met.select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+
+
 def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, common: int = COMMON) -> DataFrame:
     """(a, b): pairs of nodes with the similarity, enough of them to connect every component.
 
@@ -255,16 +279,9 @@ def links(docs: DataFrame, nodes: DataFrame, id_col: str = "doc_id", text_col: s
     proposed = staged(best.select(F.least("node", "x.end").alias("a"), F.greatest("node", "x.end").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "proposals")
     found, tried = staged(found.union(confirmed(proposed, docs, nodes, id_col, text_col, width)), "links"), staged(tried.union(proposed), "tried")
     marked = nodes.filter("n > 0").select("node", *ODD).join(components(found), "node", "left")
-    apart = staged(_mixed(mixed.select("shingle", "node", "n", "at"), marked).drop("low", "high"), "apart")
+    apart = staged(with_before(_mixed(mixed.select("shingle", "node", "n", "at"), marked).drop("low", "high")), "apart")
     discard(mixed)
-    x, y = (apart.select("shingle", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "at", "label", *ODD)]) for k in (1, 2))
-    # Where the shingle is the first that both share, no more than what follows it on either side can be shared.
-    most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
-    # Sets of the similarity differ in at most (UNDER - OVER) / (OVER + UNDER) of the shingles of both.
-    differ = sum(F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in ODD)
-    fits = _fits(F.col("n1"), F.col("n2")) & (most * (OVER + UNDER) >= (F.col("n1") + F.col("n2")) * OVER) & (differ * (OVER + UNDER) <= (F.col("n1") + F.col("n2")) * (UNDER - OVER))
-    met = x.join(y, "shingle").filter((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & fits)
-    rest = staged(met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = staged(met_pairs(apart).distinct().join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     discard(apart)
     return found.union(confirmed(rest, docs, nodes, id_col, text_col, width))
 
