@@ -109,7 +109,7 @@ def test_common_passage_makes_few_pairs(spark):
 def test_pair_met_at_many_shingles_is_made_once(spark):
     """Texts that share a run of shingles make one pair, not one for each; every pair that shares one is made."""
     rows = [(s, k, 100, at, k, *[0] * len(neardup.ODD)) for k in range(10) for at, s in enumerate(range(12))]
-    rows += [(100 + k // 2, k, 100, 12, k, *[0] * len(neardup.ODD)) for k in range(10, 20)]
+    rows += [(100 + k // 2, k, 100, 0, k, *[0] * len(neardup.ODD)) for k in range(10, 20)]
     entries = spark.createDataFrame(rows, f"shingle long, node long, n int, at int, label long, {', '.join(f'{c} long' for c in neardup.ODD)}")
     got = [(r.a, r.b) for r in neardup.met_pairs(neardup.with_before(entries)).collect()]
     assert sorted(got) == sorted([(i, j) for j in range(10) for i in range(j)] + [(k, k + 1) for k in range(10, 20, 2)])
