@@ -5,7 +5,9 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from evq.functions.boosting import Trees, boost
+from pyspark.sql import functions as F
+
+from evq.functions.boosting import Trees, bin_edges, boost, boost_all
 from evq.operators import models as M
 
 
@@ -91,6 +93,75 @@ def test_every_date_has_its_own_fit(spark):
             assert [out[i] for i in own] == want
 
 
+@pytest.mark.parametrize("kind", ["logistic", "gbt"])
+def test_fits_take_every_earlier_row(spark, kind):
+    """The direction follows x in the first 3,000 rows and is unrelated to it in the next 1,200: only a fit on all rows sees it."""
+    rng = np.random.default_rng(5)
+    data = []
+    for k in range(4_400):
+        x = float(rng.normal())
+        up = x > 0 if k < 3_000 or k >= 4_200 else k % 2 == 0
+        data.append((k, dt.date(2001, 1, 1) + dt.timedelta(days=k // 200), x, "+" if up else "-"))
+    out = M.baseline_ml(spark.createDataFrame(data, "id int, event_date date, x double, real_dir string"), ["x"], kind, order=["id"], rounds=20).collect()
+    late = [r for r in out if r.id >= 4_200]
+    assert len(out) == 4_400 and sum(r.pred == r.real_dir for r in late) >= 190
+
+
+@pytest.mark.parametrize("kind", ["logistic", "gbt"])
+def test_every_date_is_fitted_on_all_earlier_rows(spark, kind):
+    """Each date's calls are those of an independent fit on all of its more than 1,000 earlier rows, in any grouping of the dates; a row of unknown direction is only scored."""
+    rng = np.random.default_rng(6)
+    data = [(k, dt.date(2001, 1, 1) + dt.timedelta(days=k // 60), float(a), float(b), "+" if a * b + a + 0.3 * e > 0 else "-") for k, (a, b, e) in enumerate(rng.normal(size=(1_500, 3)))]
+    data.append((1_500, data[700][1], 0.1, 0.2, None))
+    df = spark.createDataFrame(data, "id int, event_date date, a double, b double, real_dir string")
+    x, y, day = np.array([r[2:4] for r in data]), np.array([r[4] == "+" for r in data], float), np.array([r[1] for r in data])
+    out = {r.id: r.pred for r in M.baseline_ml(df, ["a", "b"], kind, order=["id"], rounds=6).collect()}
+    for d in np.unique(day)[1:]:
+        past, own = np.flatnonzero((day < d) & (np.arange(1_501) < 1_500)), np.flatnonzero(day == d)
+        if kind == "logistic":
+            z = M.logistic_score(M.logistic_fit(x[past], y[past]), x[own])
+        else:
+            z = boost(x[past], y[past], True, 6, 4, 0.05, 0.9, 0.9, 0.0, 5).scores(x[own])
+        assert [out[i] for i in own] == ["+" if v > 0 else "-" for v in z]
+
+
+@pytest.mark.parametrize("kind", ["logistic", "gbt"])
+def test_equal_rows_count_each(spark, kind):
+    """900 rows share two feature vectors, most of them up in one and down in the other; rare vectors of 20 rows differ. One row per vector would call both alike."""
+    data, k = [], 0
+    for day in range(30):
+        for x, ups, downs in ((0.0, 20, 4), (1.0, 3, 21), (0.5 + day / 100, 0, 1)):
+            for up in [True] * ups + [False] * downs:
+                data.append((k, dt.date(2001, 1, 1) + dt.timedelta(days=day), x, "+" if up else "-"))
+                k += 1
+    out = M.baseline_ml(spark.createDataFrame(data, "id int, event_date date, x double, real_dir string"), ["x"], kind, order=["id"], rounds=20).collect()
+    late = {(r.x, r.pred) for r in out if r.event_date > dt.date(2001, 1, 2) and r.x in (0.0, 1.0)}
+    assert late == {(0.0, "+"), (1.0, "-")} and len(out) == k
+
+
+def test_fits_of_nothing(spark):
+    """No rows, rows of one direction, rows of null features: the majority baseline."""
+    df = spark.createDataFrame([(k, dt.date(2001, 1, 1 + k % 28), None if k % 2 else 1.0, "+") for k in range(60)], "id int, event_date date, x double, real_dir string")
+    for kind in ("logistic", "gbt"):
+        assert M.baseline_ml(df.limit(0), ["x"], kind, order=["id"]).collect() == []
+        for one in (df, df.withColumn("x", F.lit(None).cast("double"))):
+            assert [r.pred for r in M.baseline_ml(one, ["x"], kind, order=["id"]).collect()] == ["+"] * 60
+
+
+def test_boosting_of_counts_is_that_of_repeated_rows():
+    """Without a draw the trees of counted rows are those of the rows written out, edges at quantiles included; each of equal rows is drawn with the same chance."""
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=(400, 3)), rng.integers(1, 9, 400)
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    many = np.repeat(x, c, axis=0), np.repeat(y, c)
+    for a, b in zip(bin_edges(many[0], 32), bin_edges(x, 32, c), strict=True):
+        assert (a == b).all()
+    a, b = (boost_all([s], True, 40, 4, 0.05, 1.0, 0.9, 0.0, 5)[0].scores(x) for s in (many, (x, y, c)))
+    assert np.abs(a - b).max() < 1e-9
+    a, b = (boost_all([s], True, 40, 4, 0.05, 0.9, 0.9, 0.0, 5)[0] for s in ((x, y), (x, y, np.ones(400))))
+    assert (a.value == b.value).all() and (a.feature == b.feature).all() and (a.limit == b.limit).all()
+
+
 def test_boosting_splits_like_brute_force():
     """One tree of depth one takes the split of least squared error; many trees fit a product of two features."""
     rng = np.random.default_rng(7)
